@@ -15,5 +15,32 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup,)}
+def op3_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kgspark.llm.fingerprints import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kgspark.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kgspark.llm.warc import read_warc, write_warc
+
+    got = read_warc(write_warc(_table(spark, sf_dir, "pages")), keep_payload=False)
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from kgspark.llm.token_output import read_tokens, write_tokens
+
+    return read_tokens(write_tokens(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_imatch_fingerprints, op4_source_mixing, op6_warc, op9_token_output)}
 ORACLES: dict[str, str] = {}

@@ -2,9 +2,10 @@
 
 A lexicon keeps the terms whose inverse document frequency lies in a band. From it come LEXICONS chains of nested random
 subsets, at rates of powers of two; a document uses in each chain the subset whose rate suits its number of terms, so
-that some two terms are expected of any document. The sorted distinct terms of the document in that subset are hashed.
-The chains' rates are shifted against each other, so that two texts of slightly different size use the same subset in
-most chains. The likeness of two fingerprints is the share of equal hashes among the chains that either has terms in.
+that a term or two are expected of any document, and the next smaller one. The sorted distinct terms of the document in
+either subset are hashed. The chains' rates are shifted against each other, so that two texts of different size have
+a subset in common in each chain unless one is over twice the other. The likeness of two fingerprints is the share of
+chains with an equal hash among those that either has terms in.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 LEXICONS = 16
-#: Terms of a document that a subset holds, at least, on average.
+#: Terms of a document that the larger subset holds, at least, on average, before the band is applied.
 PER_SUBSET = 1.0
 #: ln(documents / documents with the term). The upper end bounds the lexicon: e**7 times a document's mean number of terms.
 IDF_BAND = (1.0, 7.0)
@@ -37,32 +38,39 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
     return counts.where((idf >= band[0]) & (idf <= band[1])).select("term_hash")
 
 
+def _level(n: Column, chain: int) -> Column:
+    """How often a chain's rate is halved for a document with n terms."""
+    return F.floor(F.log2(F.greatest(n, F.lit(1))) + chain / LEXICONS)
+
+
 def _subsets(term: Column, n: Column) -> Column:
-    """A bit for each chain whose subset for a document with n terms holds the term."""
-    bits = []
+    """A bit for each chain whose subset for a document with n terms holds the term; LEXICONS bits up, for the next subset."""
+    total = F.lit(0).cast("long")
     for r in range(LEXICONS):
-        rate = PER_SUBSET * F.pow(F.lit(2.0), F.lit(r / LEXICONS) - F.floor(F.log2(n) + r / LEXICONS) + 1)
-        hashed = F.xxhash64(term, F.lit(r)).bitwiseAND((1 << BITS) - 1)
-        bits.append(F.when(hashed < (rate * (1 << BITS) / 2), F.lit(1 << r)).otherwise(0))
-    total = bits[0]
-    for b in bits[1:]:
-        total = total + b
+        rate = F.pow(F.lit(2.0), F.lit(r / LEXICONS) - _level(n, r)) * PER_SUBSET
+        hashed = F.xxhash64(term, F.lit(r)).bitwiseAND((1 << BITS) - 1) / float(1 << BITS)
+        total = total + F.when(hashed < rate / 2, F.lit(1 << r | 1 << r + LEXICONS)).when(hashed < rate, F.lit(1 << r)).otherwise(0)
     return total
 
 
-def _signatures(found: Column) -> Column:
-    """For each chain the hash of the terms that its subset holds, '' if none."""
-    one = lambda r: F.transform(F.filter(found, lambda x: x["subsets"].bitwiseAND(F.lit(1 << r)) != 0), lambda x: x["term"])
-    sigs = [F.when(F.size(one(r)) > 0, F.hex(F.xxhash64(one(r)))).otherwise("") for r in range(LEXICONS)]
-    return F.array(*sigs)
+def _signatures(found: Column, n: Column) -> Column:
+    """For each chain the hashes of the terms in its subset and in the next, 'hash.hash', either '' if it holds none."""
+
+    def one(bit: int, level: Column) -> Column:
+        inside = F.transform(F.filter(found, lambda x: x["subsets"].bitwiseAND(F.lit(1 << bit)) != 0), lambda x: x["term"])
+        return F.when(F.size(inside) > 0, F.hex(F.xxhash64(inside, level))).otherwise("")
+
+    return F.array(*[F.concat(one(r, _level(n, r)), F.lit("."), one(r + LEXICONS, _level(n, r) + 1)) for r in range(LEXICONS)])
 
 
 def likeness(a: str, b: str) -> Column:
-    """From 0 to 1, of two fingerprints; equal ones are alike, and so are no terms at all."""
-    x, y = F.split(a, "-"), F.split(b, "-")
-    either = F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: (F.coalesce(p["x"], F.lit("")) != "") | (F.coalesce(p["y"], F.lit("")) != ""))
-    same = F.filter(either, lambda p: F.coalesce(p["x"] == p["y"], F.lit(False)))
-    return F.when(F.col(a) == F.col(b), F.lit(1.0)).when(F.size(either) == 0, F.lit(0.0)).otherwise(F.size(same) / F.size(either)).cast("double")
+    """From 0 to 1, of two fingerprints; equal ones are alike."""
+    lists = [F.transform(F.split(x, "-"), lambda p: F.array_remove(F.split(p, r"\."), "")) for x in (a, b)]
+    both = F.zip_with(*lists, lambda x, y: F.when(F.size(F.concat(x, y)) > 0, F.coalesce(F.arrays_overlap(x, y), F.lit(False)).cast("int")))
+    both = F.filter(both, lambda x: x.isNotNull())
+    share = F.aggregate(both, F.lit(0), lambda t, x: t + x) / F.size(both)
+    listed = F.col(a).contains("-") & F.col(b).contains("-")
+    return F.when(F.col(a) == F.col(b), F.lit(1.0)).when(listed & (F.size(both) > 0), share).otherwise(0.0).cast("double")
 
 
 def fingerprints(docs: DataFrame, parts: int | None = None, band: tuple[float, float] = IDF_BAND) -> DataFrame:
@@ -106,12 +114,13 @@ def fingerprints(docs: DataFrame, parts: int | None = None, band: tuple[float, f
     rows = rows.withColumn("subsets", F.when(F.col("term") == "", 0).otherwise(_subsets(F.col("term"), F.col("n")))).where("term = '' or subsets <> 0")
     rows = rows.withColumn("term_hash", F.xxhash64("term")).join(words.withColumn("kept", F.lit(True)), "term_hash", "left").where("kept or term = ''")
     found = lambda which: F.array_sort(F.collect_list(F.when((F.col("which") == which) & (F.col("term") != ""), F.struct("term", "subsets"))))
-    sign = lambda which: F.max(F.when(F.col("which") == which, F.col("plain")))
+    of = lambda which, name: F.max(F.when(F.col("which") == which, F.col(name)))
     got = rows.groupBy("range", "place", "guest", "doc_id", "n_chars").agg(
-        F.max("sha").alias("edited_sha256"), found(0).alias("own"), found(1).alias("other"), sign(0).alias("own_plain"), sign(1).alias("other_plain")
-    )
-    shown = lambda sigs, plain: F.when(F.array_join(sigs, "") == "", F.concat(F.lit("all"), F.col(plain))).otherwise(F.array_join(sigs, "-"))
-    got = got.withColumn("own", _signatures(F.col("own"))).withColumn("other", _signatures(F.col("other")))
+        F.max("sha").alias("edited_sha256"), found(0).alias("own"), found(1).alias("other"), of(0, "plain").alias("own_plain"),
+        of(1, "plain").alias("other_plain"), of(0, "n").alias("own_n"), of(1, "n").alias("other_n"),
+    )
+    shown = lambda sigs, plain: F.when(F.array_join(sigs, "") == "." * LEXICONS, F.concat(F.lit("all"), F.col(plain))).otherwise(F.array_join(sigs, "-"))
+    got = got.withColumn("own", _signatures(F.col("own"), F.col("own_n"))).withColumn("other", _signatures(F.col("other"), F.col("other_n")))
     got = got.withColumn("fingerprint", shown(F.col("own"), "own_plain")).withColumn("edited_fingerprint", shown(F.col("other"), "other_plain"))
     got = got.withColumn("next_fingerprint", F.lead("fingerprint").over(W.partitionBy("range").orderBy("place"))).where("not guest")
     return got.select(

@@ -27,6 +27,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kgspark.llm.html_wrappers import main_texts
+
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kgspark.llm.warc import read_warc, write_warc
 
@@ -42,5 +48,5 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_imatch_fingerprints, op4_source_mixing, op6_warc, op9_token_output)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_imatch_fingerprints, op4_source_mixing, op5_html_wrappers, op6_warc, op9_token_output)}
 ORACLES: dict[str, str] = {}

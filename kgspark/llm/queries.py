@@ -48,5 +48,11 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_imatch_fingerprints, op4_source_mixing, op5_html_wrappers, op6_warc, op9_token_output)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kgspark.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_imatch_fingerprints, op4_source_mixing, op5_html_wrappers, op6_warc, op9_token_output, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}

@@ -84,3 +84,33 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     return int((b[at] == a).sum())
+
+
+#: Every letter as one class, every digit as another; other bytes stand for themselves.
+SHAPE = np.arange(256, dtype=np.uint8)
+SHAPE[65:91], SHAPE[97:123], SHAPE[128:], SHAPE[48:58] = 65, 97, 97, 48
+
+
+def batches_of(texts: list[str | None], size: int = BLOCK) -> list[tuple[int, int]]:
+    """Ranges of texts that hold some `size` characters each, or one longer text."""
+    out, at, held = [], 0, 0
+    for k, t in enumerate(texts):
+        held += len(t or "") + 1
+        if held >= size:
+            out.append((at, k + 1))
+            at, held = k + 1, 0
+    return [*out, (at, len(texts))] if at < len(texts) else out
+
+
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the words of several texts: their hashes, the hashes of their shapes (runs of a class count once), their text."""
+    raw = [(t or "").encode() for t in texts]
+    a = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    first = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))[:-1]
+    space = SPACE[a]
+    start = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    of = np.searchsorted(first, start, "right") - 1
+    words = _block_words(np.frombuffer(LOWER, np.uint8)[a])
+    shape = SHAPE[a]
+    again = (shape == np.concatenate(([0], shape[:-1]))) & ((shape == 65) | (shape == 97) | (shape == 48))
+    return words, _block_words(shape[~again]), of

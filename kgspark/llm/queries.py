@@ -15,6 +15,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kgspark.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kgspark.llm.fingerprints import fingerprints
 
@@ -54,5 +60,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_imatch_fingerprints, op4_source_mixing, op5_html_wrappers, op6_warc, op9_token_output, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_dedup, op3_imatch_fingerprints, op4_source_mixing, op5_html_wrappers, op6_warc, op9_token_output, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}

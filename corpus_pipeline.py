@@ -1,9 +1,58 @@
-"""The corpus pipeline: stages from raw documents to token files."""
+"""The corpus pipeline: from raw documents to token files, stage by stage.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns what it keeps of docs; the last returns what it reads back from the
+token files. Every stage works on all rows of the one before.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from kgspark.llm.common import staged
+from kgspark.llm.decontaminate import clean
+from kgspark.llm.minhash_dedup import one_of_each
+from kgspark.llm.mixing import mixture
+from kgspark.llm.quality import good
+from kgspark.llm.token_output import read_tokens, write_tokens
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixture(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the token files hold for each document."""
+    import public_tokenizers
+
+    return read_tokens(write_tokens(docs, str(public_tokenizers.path("word_bpe_49k.json"))))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_output)]
+#: The classifier and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply every stage to documents."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply every stage to documents; each but the last is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = staged(docs, name)
+    return docs

@@ -44,6 +44,14 @@ def narrowed(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids, key, "left_semi")
 
 
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is not in ids, null keys among them: a broadcast below BROADCAST_IDS rows, else a shuffle."""
+    ids = staged(ids.distinct(), "ids")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, key, "left_anti")
+
+
 def least_hits(n: int, share: float = 0.75, miss: float = 1e-9) -> int:
     """The most hits out of n that a binomial with that share falls short of with a chance under miss."""
     below = 0.0

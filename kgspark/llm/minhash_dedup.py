@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kgspark.llm.common import components, least_hits, narrowed, rows_of, staged
+from kgspark.llm.common import components, least_hits, narrowed, rows_of, staged, without
 from kgspark.llm.shingles import overlap, shingle_set
 
 K = 64
@@ -134,3 +134,8 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     belongs = belongs.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep"))).join(joined, "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return belongs.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, less those that resemble one of a smaller doc_id, directly or by way of others."""
+    return without(docs, near_duplicates(docs).where("not kept").select("doc_id"), "doc_id")

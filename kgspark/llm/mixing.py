@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kgspark.llm.common import staged
+from kgspark.llm.common import BROADCAST_IDS, staged
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -104,3 +104,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     stop = F.col("start") + F.col("rest")
     part = inside(F.col("start"), F.least(stop, whole)) + inside(F.lit(0), stop - whole)
     return x.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mixture(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, with all their columns, as often as the mix takes them: parts of a text of half of it or more count as one.
+
+    Rows that share a doc_id are taken as often as the one taken most. Rows without doc_id, and without words, are left out.
+    """
+    size = F.greatest("size", F.lit(1))
+    times = mix(docs, **how).select("doc_id", F.round(F.col("taken") / size).cast("int").alias("times")).where("times > 0")
+    times = staged(times.groupBy("doc_id").agg(F.max("times").alias("times")), "times")
+    if times.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        times = F.broadcast(times)
+    ids = times.withColumnsRenamed({"doc_id": "mix_doc_id_", "times": "mix_times_"})
+    rows = docs.join(ids, docs["doc_id"] == ids["mix_doc_id_"])
+    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("mix_times_"))).alias("mix_copy_")).drop("mix_copy_")

@@ -169,3 +169,15 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     rows = docs.select("doc_id", "text", held_out().alias("held_out"))
     return rows.mapInArrow(lambda it: _score(it, model.value), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def _good(batches: Iterator[pa.RecordBatch], p: dict[str, np.ndarray], column: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(scores(p, batch.column(column).to_pylist()) >= 0.5))
+
+
+def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that the classifier predicts to be of label 1."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    column = docs.columns.index("text")
+    return docs.mapInArrow(lambda it: _good(it, model.value, column), docs.schema)

@@ -46,6 +46,18 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kgspark.llm.compact_windows import near_passages
+
+    return near_passages(_table(spark, sf_dir, "documents"))
+
+
+def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kgspark.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,5 +72,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_dedup, op3_imatch_fingerprints, op4_source_mixing, op5_html_wrappers, op6_warc, op9_token_output, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_dedup, op3_imatch_fingerprints, op4_source_mixing, op5_html_wrappers, op6_warc, op7_compact_windows, op8_cgk_decontamination, op9_token_output, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}

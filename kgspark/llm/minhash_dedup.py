@@ -25,6 +25,10 @@ from kgspark.llm.common import components, least_hits, narrowed, rows_of, staged
 from kgspark.llm.shingles import overlap, shingle_set
 
 K = 64
+#: Rounds in which each list's members are compared with one of them before all that is left is.
+PIVOT_ROUNDS = 2
+#: Pairs that a list may still hold then; the texts of one with more are listed anew by their whole sets.
+DENSE = 200
 #: Similarity in hundredths.
 PERCENT = 75
 
@@ -83,6 +87,74 @@ def _plausible(pairs: DataFrame, reps: DataFrame, k: int, percent: int, hits: in
     return x.where((F.col("hits") >= hits) | ((F.col("n") < k) & (100 * F.col("hits") >= percent * F.col("n")))).select("a", "b")
 
 
+def rare_lists(values: DataFrame) -> DataFrame:
+    """(value, rep, n, shared): each class (rep, n, need, value) under as many of its rarest values as its need leaves.
+
+    Values of one class alone are dropped; a class left with fewer values than it needs to share is in no list. shared
+    grows with how common all of its values are.
+    """
+    common = values.groupBy("value").agg(F.count("*").alias("lists")).where("lists > 1")
+    own = W.partitionBy("rep", "n")
+    listed = values.join(common, "value").withColumn("have", F.count("*").over(own)).where("have >= need")
+    listed = listed.withColumn("shared", F.sum(F.log("lists")).over(own)).withColumn("rank", F.row_number().over(own.orderBy("lists", "value")))
+    return staged(listed.where("rank <= have - need + 1").select("value", "rep", "n", "shared", "have", "rank"), "lists")
+
+
+def open_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in the same list, of sizes that can be similar enough."""
+    x = left.where("not in_main").select("value", F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("cx"))
+    y = left.select("value", "rep", "n", "component", "in_main")
+    near = F.least("n_a", "n") * 100 >= F.greatest("n_a", "n") * percent
+    rest = x.join(y, "value").where(near & (F.col("cx") != F.col("component")) & (F.col("in_main") | (F.col("x") < F.col("rep"))))
+    return rest.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+
+
+def whole_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """As open_pairs, where the lists are of whole sets: only pairs that can still share enough.
+
+    Sets of n <= m shingles share percent / (100 + percent) of n + m at least, the smaller thus more of its own than the
+    larger, and at the rarest value in common neither has more to share than what follows it.
+    """
+    least = F.lit(percent / (100 + percent))
+    small = left.where(F.col("have") - F.col("rank") + 1 >= 2 * least * F.col("n") - 1e-6)
+    small = small.select("value", F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("cx"), (F.col("have") - F.col("rank")).alias("after_x"), F.col("in_main").alias("main_x"))
+    large = left.select("value", "rep", "n", "component", (F.col("have") - F.col("rank")).alias("after"), "in_main")
+    enough = F.least("after_x", "after") + 1 >= least * (F.col("n_a") + F.col("n")) - 1e-6
+    first = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("x") < F.col("rep")))
+    rest = small.join(large, "value").where(first & enough & (F.col("cx") != F.col("component")) & ~(F.col("main_x") & F.col("in_main")))
+    return rest.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts in rows_of(batches, "doc_id", "text"):
+        sets = [shingle_set(t) for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "n", "set"])
+
+
+def pivot_links(docs: DataFrame, lists: DataFrame, reps: DataFrame, k: int, percent: int, hits: int) -> DataFrame:
+    """Confirmed links between each list's pivot and its other members outside the pivot's component.
+
+    The pivot is the one outside the list's largest component, if it has been told, whose retained values are the most
+    common ones: of a group of near copies that is the text they were made from, which resembles each of them more than
+    they do each other.
+    """
+    order = F.struct("shared", (-F.col("rep")).alias("rep"))
+    outside = lists if "in_main" not in lists.columns else lists.where("not in_main")
+    pivot = outside.groupBy("value").agg(F.max_by(F.struct(F.col("rep").alias("p"), F.col("n").alias("n_a"), F.col("component").alias("c")), order).alias("pivot"))
+    near = F.least("n_a", "n") * 100 >= F.greatest("n_a", "n") * percent
+    pairs = lists.join(pivot.select("value", "pivot.*"), "value").where((F.col("component") != F.col("c")) & near)
+    pairs = pairs.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+    return staged(confirmed(docs, staged(_plausible(pairs, reps, k, percent, hits), "pairs"), percent), "links")
+
+
+def _open(listed: DataFrame, joined: DataFrame) -> DataFrame:
+    """The lists whose members are of several components, with these and whether each is the list's largest."""
+    tagged = listed.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    groups = tagged.groupBy("value", "component").agg(F.count("*").alias("m"))
+    main = groups.groupBy("value").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    return tagged.join(main.drop("groups"), "value").withColumn("in_main", F.col("component") == F.col("main")).drop("main")
+
+
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """Per row of docs (doc_id, text, ...): doc_id, n_shingles, component_id, kept.
 
@@ -97,37 +169,26 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     )
     hits = least_hits(k, percent / 100)
     need = F.least(F.lit(hits), F.ceil(F.col("n_shingles") * percent / 100))
-    values = classes.select("rep", "n_shingles", need.alias("need"), F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count("*").alias("lists")).where("lists > 1")
-    own = W.partitionBy("rep", "n_shingles")
-    listed = (
-        values.join(shared, "value")
-        .withColumn("have", F.count("*").over(own))
-        .where("have >= need")
-        .withColumn("rank", F.row_number().over(own.orderBy("lists", "value")))
-        .where("rank <= have - need + 1")
-        .select("value", "rep", F.col("n_shingles").alias("n"))
-    )
-    listed = staged(listed, "lists")
+    listed = rare_lists(classes.select("rep", F.col("n_shingles").alias("n"), need.alias("need"), F.explode("sketch").alias("value")))
     reps = classes.join(listed.select("rep").distinct(), "rep", "left_semi")
 
-    first = listed.groupBy("value").agg(F.min("rep").alias("a"), F.min_by("n", "rep").alias("n_a"), F.count("*").alias("m")).where("m > 1")
-    near = F.least("n_a", "n") * 100 >= F.greatest("n_a", "n") * percent
-    stars = listed.join(first, "value").where(F.col("rep") != F.col("a")).where(near).select("a", F.col("rep").alias("b")).distinct()
-    links = staged(confirmed(docs, staged(_plausible(stars, reps, k, percent, hits), "pairs"), percent), "links")
+    links = pivot_links(docs, listed.withColumn("component", F.col("rep")), reps, k, percent, hits)
     joined = components(links).withColumnRenamed("node", "rep")
-
-    tagged = listed.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    groups = tagged.groupBy("value", "component").agg(F.count("*").alias("m"))
-    mixed = groups.groupBy("value").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-    mixed = staged(tagged.join(mixed.drop("groups"), "value").join(first.select("value", F.col("a").alias("head")), "value"), "mixed")
-    x = mixed.where("component <> main and rep <> head").select("value", F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("cx"))
-    y = mixed.where("rep <> head").select("value", "rep", "n", "component", (F.col("component") == F.col("main")).alias("in_main"))
-    rest = x.join(y, "value").where(near & (F.col("cx") != F.col("component")) & (F.col("in_main") | (F.col("x") < F.col("rep"))))
-    rest = rest.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    more = staged(confirmed(docs, staged(_plausible(rest, reps, k, percent, hits), "pairs"), percent), "links")
+    for _ in range(PIVOT_ROUNDS - 1):
+        more = pivot_links(docs, _open(listed, joined), reps, k, percent, hits)
+        links = links.unionByName(more)
+        joined = components(links).withColumnRenamed("node", "rep")
+
+    left = _open(listed, joined)
+    cost = left.groupBy("value").agg(F.count_if(~F.col("in_main")).alias("others"), F.count("*").alias("m"))
+    left = staged(left.join(cost.select("value", (F.col("others") * F.col("m") > DENSE).alias("dense")), "value"), "open")
+    # in a dense list many texts share much, but not enough: whole sets tell them apart where sketches don't
+    crowd = left.where("dense").select(F.col("rep").alias("doc_id")).distinct()
+    sets = narrowed(docs.select("doc_id", "text"), crowd, "doc_id").mapInArrow(_sets, "rep long, n long, set array<long>").dropDuplicates(["rep"])
+    whole = rare_lists(sets.select("rep", "n", F.ceil(F.col("n") * percent / 100).alias("need"), F.explode("set").alias("value")))
+    rest = _plausible(open_pairs(left.where("not dense"), percent), reps, k, percent, hits).unionByName(whole_pairs(_open(whole, joined), percent)).distinct()
+    more = staged(confirmed(docs, staged(rest, "pairs"), percent), "links")
     if not more.isEmpty():
-        # the classes' own doc_ids tie rows that share one
         joined = components(links.unionByName(more)).withColumnRenamed("node", "rep")
 
     belongs = feats.drop("sketch").join(classes.select("set_key", "rep"), "set_key", "left")

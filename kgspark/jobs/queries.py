@@ -1,4 +1,310 @@
-"""Registered queries of the library's own operators."""
+"""Registered queries of the library's own operators, with their SQL for DuckDB."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kgspark.functions import text as T
+from kgspark.operators import chunking, fusion, graph, metrics, retrieval, sync
+from kgspark.sources.readers import table, web_documents
+
+TERMS = ["the", "tion", "ander"]
+QUERIES, ORACLES = {}, {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text")
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
+    return v, v.orderBy("node_id").limit(1)
+
+
+def _vector_sql(score: str) -> str:
+    return f"""WITH v AS (SELECT vec_id AS node_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ q AS (SELECT e AS q FROM v ORDER BY node_id LIMIT 1)
+SELECT node_id, round({score}, 6) AS score FROM v, q ORDER BY score DESC, node_id LIMIT 10"""
+
+
+@query(_vector_sql("list_cosine_similarity(e, q)"))
+def vector_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.vector_topk(*_vectors(spark, d), 10, "cosine")
+
+
+@query(_vector_sql("1 / (1 + list_distance(e, q))"))
+def vector_topk_l2(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.vector_topk(*_vectors(spark, d), 10, "l2")
+
+
+@query(_vector_sql("list_inner_product(e, q)"))
+def vector_topk_ip(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.vector_topk(*_vectors(spark, d), 10, "ip")
+
+
+def _bm25_sql() -> str:
+    tf = ", ".join(f"len(list_filter(w, x -> x = '{t}')) AS tf{i}" for i, t in enumerate(TERMS))
+    df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(TERMS)))
+    s = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.5 / (tf{i} + 1.5 * (0.25 + 0.75 * size / mean))" for i in range(len(TERMS)))
+    some = " OR ".join(f"tf{i} > 0" for i in range(len(TERMS)))
+    return f"""w AS (SELECT doc_id AS node_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), x -> x <> '') AS w FROM documents),
+ h AS (SELECT node_id, len(w) AS size, {tf} FROM w), st AS (SELECT count(*) AS n, avg(size) AS mean, {df} FROM h),
+ bm AS (SELECT node_id, round({s}, 6) AS score FROM h, st WHERE {some})"""
+
+
+@query(f"WITH {_bm25_sql()} SELECT node_id, score FROM bm ORDER BY score DESC, node_id LIMIT 10")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25_topk(_docs(spark, d), TERMS)
+
+
+_BOTH = f"""WITH {_bm25_sql()},
+ v AS (SELECT vec_id AS node_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT e AS q FROM v ORDER BY node_id LIMIT 1),
+ r AS ((SELECT 'bm25' AS retriever, node_id, score FROM bm ORDER BY score DESC, node_id LIMIT 15)
+ UNION ALL (SELECT 'vector', node_id, round(list_cosine_similarity(e, q), 6) AS score FROM v, q ORDER BY score DESC, node_id LIMIT 15))"""
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.labelled({"bm25": retrieval.bm25_topk(_docs(spark, d), TERMS, 15), "vector": retrieval.vector_topk(*_vectors(spark, d), 15)})
+
+
+_RANK = """, t AS (SELECT *, row_number() OVER (ORDER BY score DESC, node_id) AS rank, count(*) OVER () AS n, min(score) OVER () AS low, max(score) OVER () AS high
+  FROM (SELECT * FROM s ORDER BY score DESC, node_id LIMIT 10))
+SELECT node_id, rank, CASE WHEN high - low < 0.05 AND high > 0 THEN CASE WHEN n = 1 THEN 1.0 ELSE round(1 - (rank - 1) / CAST(greatest(n - 1, 1) AS DOUBLE) * 0.8, 3) END ELSE score END AS score FROM t"""
+
+
+@query(_BOTH + """, x AS (SELECT node_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END / 2 AS score
+ FROM r WINDOW w AS (PARTITION BY retriever)), s AS (SELECT node_id, round(sum(score), 6) AS score FROM x GROUP BY node_id)""" + _RANK)
+def hybrid_relative_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.ranked(fusion.summed(fusion.relative_scores(_results(spark, d), 2)), 10)
+
+
+@query(_BOTH + """, x AS (SELECT node_id, 1 / (2.0 * (60 + row_number() OVER (PARTITION BY retriever ORDER BY score DESC, node_id))) AS score FROM r),
+ s AS (SELECT node_id, round(sum(score), 6) AS score FROM x GROUP BY node_id)""" + _RANK)
+def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.ranked(fusion.summed(fusion.reciprocal_ranks(_results(spark, d), 2)), 10)
+
+
+@query(f"""WITH {_bm25_sql()} SELECT sha256(trim(text)) AS mark, round(sum(score), 6) AS score, arg_max(node_id, (score, -node_id)) AS node_id, count(*) AS copies
+FROM bm JOIN documents ON doc_id = node_id WHERE trim(text) <> '' GROUP BY 1""")
+def dedup_sum_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return fusion.dedup_sum(retrieval.bm25(docs, TERMS).join(docs, "node_id"))
+
+
+_STUB = r"(trim(text) <> '' AND length(trim(text)) < 80 AND NOT regexp_matches(trim(text), '[.?!]$'))"
+
+
+@query(rf"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '^[^>\n]+->\s*[A-Z_]+\s*->\s*[^\n]+$') AND length(text) <= 300 THEN 'relation'
+ WHEN {_STUB} THEN 'stub' ELSE 'content' END AS kind FROM conversations WHERE trim(text) <> '') GROUP BY kind""")
+def result_noise_filters(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "conversations").select("text", F.lit(0.0).alias("score"))
+    return fusion.noise_kinds(r).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn, text)) AS fingerprint FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")
+def content_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    c = table(spark, d, "conversations").where("text is not null").groupBy("conv_id").agg(turns.alias("t"))
+    return c.select("conv_id", F.sha2(F.array_join(F.transform("t", lambda x: x["text"]), ""), 256).alias("fingerprint"))
+
+
+@query()
+def chunk_separator(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunks(table(spark, d, "documents"))
+
+
+@query(r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS section, p[i] AS text FROM (SELECT doc_id, string_split_regex(text, '\.\n') AS p FROM documents WHERE text IS NOT NULL), unnest(range(1, len(p) + 1)) AS u(i) WHERE trim(p[i]) <> ''""")
+def heading_split(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.sections(table(spark, d, "documents"), r"\.\n")
+
+
+@query(r"""SELECT doc_id, source, text FROM (SELECT page_id AS doc_id, url AS source, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+ regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+ '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages) WHERE text <> ''""")
+def web_pages(spark: SparkSession, d: str) -> DataFrame:
+    return web_documents(table(spark, d, "pages"))
+
+
+@query(r"""WITH l AS (SELECT p_partkey, regexp_replace(regexp_replace(trim(p_type), '[^A-Za-z0-9_]', '_', 'g'), '_+', '_', 'g') AS l,
+ regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM part)
+SELECT p_partkey, CASE WHEN l = '' THEN 'Entity' WHEN regexp_matches(l, '^[0-9]') THEN '_' || l ELSE l END AS label,
+ upper(CASE WHEN l = '' THEN 'RELATED_TO' WHEN regexp_matches(l, '^[0-9]') THEN '_' || l ELSE l END) AS rel, CASE WHEN s = '' THEN 'entity' ELSE s END AS slug FROM l""")
+def sanitized_names(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    return p.select("p_partkey", T.label(F.col("p_type")).alias("label"), T.relation_type(F.col("p_type")).alias("rel"), T.slug(F.col("p_name")).alias("slug"))
+
+
+@query(r"""WITH n AS (SELECT trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS key, p_type AS name FROM part), c AS (SELECT key, name, count(*) AS t FROM n GROUP BY ALL)
+SELECT key, name AS canonical, spellings FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t DESC, length(name) DESC, name) AS r, count(*) OVER (PARTITION BY key) AS spellings FROM c) WHERE r = 1""")
+def canonical_names(spark: SparkSession, d: str) -> DataFrame:
+    return graph.canonical_names(table(spark, d, "part").select(T.normalized_key(F.col("p_type")).alias("key"), F.col("p_type").alias("name")))
+
+
+@query(r"""SELECT page_id, CASE WHEN s IN ('', '.', '..') THEN NULL ELSE s END AS file_name FROM (SELECT page_id, trim(regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '^[A-Za-z]:', '')) AS s FROM pages)""")
+def safe_filenames(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", T.safe_filename(F.col("url")).alias("file_name"))
+
+
+def _triples(spark: SparkSession, d: str) -> DataFrame:
+    return graph.relational_triples(*(table(spark, d, n) for n in ("customer", "orders", "nation", "region")))
+
+
+_T = """WITH t AS (SELECT 'Customer:' || c_custkey AS subject, 'Customer' AS subject_type, 'located in' AS predicate, 'Nation:' || c_nationkey AS obj, 'Nation' AS obj_type FROM customer
+ UNION ALL SELECT 'Nation:' || n_nationkey, 'Nation', 'part of', 'Region:' || n_regionkey, 'Region' FROM nation
+ UNION ALL SELECT 'Customer:' || o_custkey, 'Customer', 'placed', 'Order:' || o_orderkey, 'Order' FROM orders)"""
+_E = _T + ", e AS (SELECT DISTINCT subject AS source, upper(replace(predicate, ' ', '_')) AS label, obj AS target FROM t)"
+_N = _T + ", n AS (SELECT name, min(type) AS type FROM (SELECT subject AS name, subject_type AS type FROM t UNION ALL SELECT obj, obj_type FROM t) GROUP BY name)"
+
+
+@query(_T + " SELECT * FROM t")
+def kg_triples(spark: SparkSession, d: str) -> DataFrame:
+    return _triples(spark, d)
+
+
+@query(_N + " SELECT * FROM n")
+def kg_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.nodes(_triples(spark, d))
+
+
+@query(_E + " SELECT * FROM e")
+def kg_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.edges(_triples(spark, d))
+
+
+@query(_E + " SELECT name, CAST(sum(o) AS BIGINT) AS outgoing, CAST(sum(i) AS BIGINT) AS incoming FROM (SELECT source AS name, 1 AS o, 0 AS i FROM e UNION ALL SELECT target, 0, 1 FROM e) GROUP BY name")
+def entity_degree(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(graph.edges(_triples(spark, d)))
+
+
+@query(_T + " SELECT subject, subject_type, predicate, obj, obj_type FROM t WHERE (subject_type, predicate, obj_type) IN (VALUES ('Customer', 'placed', 'Order'), ('Nation', 'part of', 'Region'))")
+def kg_schema_validate(spark: SparkSession, d: str) -> DataFrame:
+    schema = spark.createDataFrame([("Customer", "placed", "Order"), ("Nation", "part of", "Region")], "subject_type string, predicate string, obj_type string")
+    return graph.valid(_triples(spark, d), F.broadcast(schema))
+
+
+@query(_E + """, b AS (SELECT source AS a, target AS b FROM e UNION ALL SELECT target, source FROM e), h1 AS (SELECT DISTINCT b AS name FROM b WHERE a = 'Region:0'),
+ h2 AS (SELECT DISTINCT b.b AS name FROM b JOIN h1 ON b.a = h1.name)
+SELECT 'Region:0' AS name, 0 AS hop UNION ALL SELECT name, 1 FROM h1 WHERE name <> 'Region:0'
+UNION ALL SELECT name, 2 FROM h2 WHERE name <> 'Region:0' AND name NOT IN (SELECT name FROM h1)""")
+def khop_neighborhood(spark: SparkSession, d: str) -> DataFrame:
+    return graph.neighbourhood(graph.edges(_triples(spark, d)), table(spark, d, "region").where("r_regionkey = 0").select(F.concat(F.lit("Region:"), F.col("r_regionkey").cast("string")).alias("name")))
+
+
+_SLUG = r"regexp_replace(regexp_replace(lower(trim({0})), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g')"
+_RDF = _N + f""", rdf AS (SELECT DISTINCT * FROM (SELECT '{graph.BASE}' || {_SLUG.format('name')} AS s, 'rdf:type' AS p, '{graph.ONTOLOGY}' || type AS o, true AS is_iri FROM n
+ UNION ALL SELECT '{graph.BASE}' || {_SLUG.format('name')}, 'rdfs:label', name, false FROM n
+ UNION ALL SELECT '{graph.BASE}' || {_SLUG.format('subject')}, '{graph.ONTOLOGY}' || {_SLUG.format('predicate')}, '{graph.BASE}' || {_SLUG.format('obj')}, true FROM t))"""
+
+
+@query(_RDF + " SELECT * FROM rdf")
+def kg_to_rdf(spark: SparkSession, d: str) -> DataFrame:
+    return graph.to_rdf(_triples(spark, d))
+
+
+@query(_RDF + f""" SELECT a.s AS customer, b.o AS region, c.o AS name FROM rdf a JOIN rdf b ON a.o = b.s AND b.p = '{graph.ONTOLOGY}part_of' JOIN rdf c ON c.s = a.s AND c.p = 'rdfs:label'
+WHERE a.p = '{graph.ONTOLOGY}located_in'""")
+def bgp_join(spark: SparkSession, d: str) -> DataFrame:
+    rdf = graph.to_rdf(_triples(spark, d))
+    found = graph.match(rdf, [("?customer", graph.ONTOLOGY + "located_in", "?n"), ("?n", graph.ONTOLOGY + "part_of", "?region"), ("?customer", "rdfs:label", "?name")])
+    return found.select("customer", "region", "name")
+
+
+def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    old = docs.where("doc_id % 7 <> 0").select("doc_id", sync.content_hash().alias("content_hash"), (F.col("doc_id") * 10).alias("ordinal"), F.concat(F.lit("s"), F.col("doc_id") % 5).alias("source_id"))
+    new = docs.where("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("+"))).otherwise(F.col("text")))
+    new = new.select("doc_id", sync.content_hash().alias("content_hash"), (F.col("doc_id") * 10 + F.col("doc_id") % 4 - 1).alias("ordinal"), F.when(F.col("doc_id") % 2 == 0, F.lit("x")).alias("source_id"))
+    return old, new
+
+
+_SNAP = """WITH o AS (SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, doc_id * 10 AS ordinal, 's' || (doc_id % 5) AS source_id FROM documents WHERE doc_id % 7 <> 0),
+ w AS (SELECT doc_id, sha256(coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN '+' ELSE '' END) AS content_hash, doc_id * 10 + doc_id % 4 - 1 AS ordinal,
+  CASE WHEN doc_id % 2 = 0 THEN 'x' END AS source_id FROM documents WHERE doc_id % 5 <> 0)"""
+
+
+@query(_SNAP + " SELECT coalesce(o.doc_id, w.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN w.doc_id IS NULL THEN 'delete' WHEN o.content_hash <> w.content_hash THEN 'update' ELSE 'none' END AS action FROM o FULL JOIN w ON o.doc_id = w.doc_id")
+def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _snapshots(spark, d)
+    return sync.snapshot_diff(old.select("doc_id", "content_hash"), new.select("doc_id", "content_hash"))
+
+
+@query(_SNAP + """, r AS (SELECT w.doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN w.ordinal < o.ordinal THEN 'older' WHEN w.ordinal = o.ordinal THEN 'same ordinal'
+ WHEN w.content_hash = o.content_hash THEN 'same content' ELSE 'changed' END AS reason FROM w LEFT JOIN o ON o.doc_id = w.doc_id) SELECT doc_id, reason IN ('new', 'changed') AS process, reason FROM r""")
+def should_process(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _snapshots(spark, d)
+    return sync.should_process(new, old)
+
+
+@query(_SNAP + """ SELECT coalesce(o.doc_id, w.doc_id) AS doc_id, coalesce(w.source_id, o.source_id) AS source_id, coalesce(w.content_hash, o.content_hash) AS content_hash,
+ coalesce(w.ordinal, o.ordinal) AS ordinal FROM o FULL JOIN w ON o.doc_id = w.doc_id""")
+def upsert_state(spark: SparkSession, d: str) -> DataFrame:
+    return sync.upsert(*_snapshots(spark, d))
+
+
+@query(_SNAP + " SELECT * FROM w UNION ALL SELECT * FROM o WHERE doc_id NOT IN (SELECT doc_id FROM w)")
+def replace_by_doc(spark: SparkSession, d: str) -> DataFrame:
+    return sync.replace_by_document(*_snapshots(spark, d))
+
+
+def _state(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("source_id"), "lang")
+    return docs.join(labels, "doc_id", "left").select("doc_id", "source_id", (F.col("doc_id") % 10 != 0).alias("vector_synced"), F.col("quality").isNotNull().alias("search_synced"), (F.coalesce("lang", F.lit("")) == "en").alias("graph_synced"))
+
+
+_STATE = """WITH s AS (SELECT doc_id, source AS source_id, doc_id % 10 <> 0 AS v, quality IS NOT NULL AS q, coalesce(lang, '') = 'en' AS g FROM documents LEFT JOIN labels USING (doc_id))"""
+
+
+@query(_STATE + """ SELECT source_id, count(*) AS documents, count(*) FILTER (WHERE v) AS vector, count(*) FILTER (WHERE q) AS search, count(*) FILTER (WHERE g) AS graph,
+ round(100.0 * count(*) FILTER (WHERE v AND q AND g) / count(*), 2) AS complete_pct FROM s GROUP BY source_id""")
+def sync_stats(spark: SparkSession, d: str) -> DataFrame:
+    return sync.sync_stats(_state(spark, d))
+
+
+@query(_STATE + " SELECT doc_id, CASE WHEN NOT v THEN 'vector' WHEN NOT q THEN 'search' WHEN NOT g THEN 'graph' ELSE 'Complete' END AS gap FROM s")
+def sync_gap_status(spark: SparkSession, d: str) -> DataFrame:
+    return sync.sync_gap(_state(spark, d))
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS doc_ids FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
+def duplicate_contents(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("content_hash"))
+    x = x.agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("ids")).where("n > 1")
+    return x.select("content_hash", "n", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("doc_ids"))
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", "ts", F.col("event_type").alias("kind"), "value", F.col("user_id").cast("string").alias("path"))
+
+
+@query("SELECT event_id, ts, kind, value, path FROM (SELECT event_id, ts, event_type AS kind, value, CAST(user_id AS VARCHAR) AS path, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events) WHERE g IS NULL OR g > 60000000")
+def burst_debounce(spark: SparkSession, d: str) -> DataFrame:
+    return sync.burst_collapse(_events(spark, d), 60)
+
+
+@query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_5m_rate(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.window_rates(_events(spark, d))
+
+
+@query("SELECT event_type AS kind, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.percentiles(_events(spark, d))
+
+
+@query("SELECT event_type AS kind, le, count(*) FILTER (WHERE value <= le) AS n FROM events, (VALUES (50), (100), (200), (500), (1000), (2000), (5000), (10000)) AS b(le) GROUP BY 1, 2")
+def latency_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.histogram(_events(spark, d))

@@ -10,7 +10,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kgspark.llm.common import filesystem, rows_of, shared_dir, staged, write_file
+from kgspark.llm.shingles import LOWER
 from kgspark.llm.wavelet import dump_shard, load_shard
 
 SHARD_TOKENS = 1 << 22
@@ -28,20 +28,31 @@ CACHED_PIECES = 1 << 19
 
 
 class _Pieces(dict):
-    """Ids of text between spaces. The tokenizers here end a token at a space, so a text's ids are those of its pieces."""
+    """Ids, as little-endian 32-bit integers, of text between spaces; the tokenizers here end a token at a space.
+
+    Holds the CACHED_PIECES pieces seen last, and as many seen before them.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.before: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.levels = max(self.tokenizer.get_vocab().values(), default=0).bit_length()
-
-    def __missing__(self, piece: str) -> list[int]:
-        if len(self) > CACHED_PIECES:
-            self.clear()
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        ask = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        #: Whether the case of A-Z never matters outside of special tokens.
+        self.folds = all(ask(chr(c)) == ask(chr(c + 32)) and ask("x" + chr(c)) == ask("x" + chr(c + 32)) for c in range(65, 91))
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         if len(piece) <= 100:
+            if len(self) >= CACHED_PIECES:
+                self.before = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
@@ -54,8 +65,11 @@ def pieces(path: str) -> _Pieces:
 
 def encode(text: str | None, cache: _Pieces) -> np.ndarray:
     """The ids of a whole text. Only spaces and line ends part it: any tokenizer takes these for white space."""
-    words = (text or "").replace("\n", " ").split(" ")
-    return np.fromiter(chain.from_iterable(map(cache.__getitem__, words)), np.uint32)
+    text = text or ""
+    if cache.folds and not any(m[0] in text for m in cache.marks):
+        text = text.encode().translate(LOWER).decode()
+    words = text.replace("\n", " ").split(" ")
+    return np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4")
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:

@@ -56,11 +56,11 @@ def vector_topk_ip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25_sql() -> str:
-    tf = ", ".join(f"len(list_filter(w, x -> x = '{t}')) AS tf{i}" for i, t in enumerate(TERMS))
+    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(TERMS))
     df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(TERMS)))
     s = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.5 / (tf{i} + 1.5 * (0.25 + 0.75 * size / mean))" for i in range(len(TERMS)))
     some = " OR ".join(f"tf{i} > 0" for i in range(len(TERMS)))
-    return f"""w AS (SELECT doc_id AS node_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), x -> x <> '') AS w FROM documents),
+    return f"""w AS (SELECT doc_id AS node_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
  h AS (SELECT node_id, len(w) AS size, {tf} FROM w), st AS (SELECT count(*) AS n, avg(size) AS mean, {df} FROM h),
  bm AS (SELECT node_id, round({s}, 6) AS score FROM h, st WHERE {some})"""
 

@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
 
     belongs = feats.drop("sketch").join(classes.select("set_key", "rep"), "set_key", "left")
     belongs = belongs.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep"))).join(joined, "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return belongs.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 

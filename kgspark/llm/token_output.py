@@ -24,6 +24,8 @@ from kgspark.llm.wavelet import dump_shard, load_shard
 
 SHARD_TOKENS = 1 << 22
 END_ID = 1
+#: Signs that often follow a word.
+ENDS = ".,;:!?*#$%&"
 CACHED_PIECES = 1 << 19
 
 
@@ -43,12 +45,18 @@ class _Pieces(dict):
         ask = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         #: Whether the case of A-Z never matters outside of special tokens.
         self.folds = all(ask(chr(c)) == ask(chr(c + 32)) and ask("x" + chr(c)) == ask("x" + chr(c + 32)) for c in range(65, 91))
+        #: Whether a token also ends between a letter and a sign.
+        self.parts = all(ask("word" + e) == ask("word") + ask(e) and ask("é" + e + e) == ask("é") + ask(e + e) for e in ENDS)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.before.get(piece)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+            word = piece.rstrip(ENDS)
+            if self.parts and 0 < len(word) < len(piece) and word.isalpha():
+                ids = self[word] + self[piece[len(word) :]]
+            else:
+                ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         if len(piece) <= 100:
             if len(self) >= CACHED_PIECES:
                 self.before = dict(self)

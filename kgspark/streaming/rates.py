@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kgspark.operators.metrics import window_rates
@@ -15,7 +16,7 @@ def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
 
 def rates(events: DataFrame, late: str = "1 hour", width: str = "5 minutes") -> DataFrame:
     """window_rates over a stream (ts, kind, value); rows later than `late` are dropped."""
-    return window_rates(events.withWatermark("ts", late), width)
+    return window_rates(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), width)
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

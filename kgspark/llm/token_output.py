@@ -7,6 +7,7 @@ repeated files are never read.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kgspark.llm.common import filesystem, rows_of, shared_dir, staged, write_file
-from kgspark.llm.shingles import LOWER
+from kgspark.llm.shingles import LOWER, batches_of
 from kgspark.llm.wavelet import dump_shard, load_shard
 
 SHARD_TOKENS = 1 << 22
@@ -27,6 +28,10 @@ END_ID = 1
 #: Signs that often follow a word.
 ENDS = ".,;:!?*#$%&"
 CACHED_PIECES = 1 << 19
+#: Characters of the longest piece that is cached.
+LONGEST = 100
+#: Characters of texts whose new words are encoded together.
+LEARN_CHARS = 1 << 20
 
 
 class _Pieces(dict):
@@ -48,6 +53,29 @@ class _Pieces(dict):
         #: Whether a token also ends between a letter and a sign.
         self.parts = all(ask("word" + e) == ask("word") + ask(e) and ask("é" + e + e) == ask("é") + ask(e + e) for e in ENDS)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ending = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Whether an id is the last of a word; None if the model doesn't mark them.
+        self.last = None
+        if ending:
+            self.last = np.zeros(1 << self.levels, bool)
+            self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(ending)]] = True
+
+    def learn(self, words: list[str]) -> None:
+        """Cache words of letters alone with one call for all, cut at the ids that end a word."""
+        words = [w for w in words if w not in self.before]
+        if self.last is None or not words:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):  # some word has several parts: each by itself, when asked
+            return
+        if len(self) + len(words) > CACHED_PIECES:
+            self.before = dict(self)
+            self.clear()
+        raw, at = ids.tobytes(), 0
+        for word, end in zip(words, ends.tolist(), strict=True):
+            self[word] = raw[at:end]
+            at = end
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.before.get(piece)
@@ -56,8 +84,8 @@ class _Pieces(dict):
             if self.parts and 0 < len(word) < len(piece) and word.isalpha():
                 ids = self[word] + self[piece[len(word) :]]
             else:
-                ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= 100:
+                ids = struct.pack(f"<{len(got := self.tokenizer.encode(piece, add_special_tokens=False).ids)}I", *got)
+        if len(piece) <= LONGEST:
             if len(self) >= CACHED_PIECES:
                 self.before = dict(self)
                 self.clear()
@@ -71,13 +99,27 @@ def pieces(path: str) -> _Pieces:
     return _Pieces(path)
 
 
-def encode(text: str | None, cache: _Pieces) -> np.ndarray:
-    """The ids of a whole text. Only spaces and line ends part it: any tokenizer takes these for white space."""
+def split(text: str | None, cache: _Pieces) -> list[str]:
+    """The pieces of a whole text. Only spaces and line ends part it: any tokenizer takes these for white space."""
     text = text or ""
     if cache.folds and not any(m[0] in text for m in cache.marks):
         text = text.encode().translate(LOWER).decode()
-    words = text.replace("\n", " ").split(" ")
-    return np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4")
+    return text.replace("\n", " ").split(" ")
+
+
+def encode(texts: list[str | None], cache: _Pieces) -> Iterator[np.ndarray]:
+    """The ids of each whole text."""
+    for a, b in batches_of(texts, LEARN_CHARS):
+        parted = [split(t, cache) for t in texts[a:b]]
+        found = [list(map(cache.get, pieces)) for pieces in parted]
+        open_at = [[k for k, ids in enumerate(f) if ids is None] for f in found]
+        if cache.last is not None and cache.parts:
+            words = {pieces[k].rstrip(ENDS) for pieces, at in zip(parted, open_at, strict=True) for k in at}
+            cache.learn([w for w in words if len(w) <= LONGEST and w.isalpha() and w not in cache])
+        for pieces, f, at in zip(parted, found, open_at, strict=True):
+            for k in at:
+                f[k] = cache[pieces[k]]
+            yield np.frombuffer(b"".join(f), "<u4")
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
@@ -95,8 +137,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
         held = 0
 
     for ids, texts in rows_of(batches, "doc_id", "text"):
-        for doc, text in zip(ids, texts, strict=True):
-            got = encode(text, cache)
+        for doc, got in zip(ids, encode(texts, cache), strict=True):
             docs.append(doc)
             arrays.append(np.append(got, np.uint32(end_id)))
             held += len(got) + 1

@@ -9,6 +9,8 @@ import numpy as np
 MAGIC = b"WVMX0001"
 #: Bits between two entries of a plane's rank directory.
 STEP = 512
+#: Ids that are moved at a time.
+BLOCK = 1 << 15
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
 
 
@@ -30,9 +32,15 @@ class WaveletMatrix:
             counts[: len(packed)] = ONES[packed]
             ranks.append(np.concatenate(([0], np.cumsum(counts.reshape(-1, STEP // 8).sum(1, dtype=np.uint32)))).astype(np.uint32))
             planes.append(packed)
-            low = x[~bit]
-            zeros[level] = len(low)
-            x = np.concatenate((low, x[bit]))
+            zeros[level] = z = len(x) - np.count_nonzero(bit)
+            y, low, high = np.empty_like(x), 0, z
+            for a in range(0, len(x), BLOCK):  # places, in blocks that stay in the processor's cache, are much faster than masks
+                part, ones = x[a : a + BLOCK], bit[a : a + BLOCK]
+                up = np.flatnonzero(ones)
+                y[high : high + len(up)] = part[up]
+                y[low : low + len(part) - len(up)] = part[np.flatnonzero(~ones)]
+                low, high = low + len(part) - len(up), high + len(up)
+            x = y
         return cls(len(ids), zeros, planes, ranks)
 
     def bits(self, level: int) -> np.ndarray:
@@ -44,10 +52,14 @@ class WaveletMatrix:
         x = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for level in range(self.levels - 1, -1, -1):
             bit, z = self.bits(level), self.zeros[level]
-            up = np.empty_like(x)
-            up[~bit] = x[:z]
-            up[bit] = x[z:] | x.dtype.type(1 << (self.levels - 1 - level))
-            x = up
+            one, y, low, high = x.dtype.type(1 << (self.levels - 1 - level)), np.empty_like(x), 0, int(z)
+            for a in range(0, len(x), BLOCK):
+                part, ones = y[a : a + BLOCK], bit[a : a + BLOCK]
+                up = np.flatnonzero(ones)
+                part[up] = x[high : high + len(up)] | one
+                part[np.flatnonzero(~ones)] = x[low : low + len(part) - len(up)]
+                low, high = low + len(part) - len(up), high + len(up)
+            x = y
         return x
 
     def _ones(self, level: int, i: int) -> int:

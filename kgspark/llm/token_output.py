@@ -27,7 +27,7 @@ SHARD_TOKENS = 1 << 22
 END_ID = 1
 #: Signs that often follow a word.
 ENDS = ".,;:!?*#$%&"
-CACHED_PIECES = 1 << 19
+CACHED_PIECES = 3 << 18
 #: Characters of the longest piece that is cached.
 LONGEST = 100
 #: Characters of texts whose new words are encoded together.

@@ -1,9 +1,9 @@
 """I-Match fingerprints with randomised lexicons, from Spark's own functions alone.
 
-A lexicon keeps the terms whose inverse document frequency lies in a band. From it come LEXICONS chains of nested random
-subsets, at rates of powers of two; a document uses in each chain the subset whose rate suits its number of terms, so
-that a term or two are expected of any document, and the next smaller one. The sorted distinct terms of the document in
-either subset are hashed. The chains' rates are shifted against each other, so that two texts of different size have
+A lexicon keeps the terms whose inverse document frequency lies in a band. A hash deals its terms to LEXICONS chains of
+nested random subsets, at rates of powers of two; a document uses in each chain the subset whose rate suits its number
+of terms, so that a term or two are expected of any document with enough terms, and the next smaller one. The sorted
+distinct terms of the document in either subset are hashed. The chains' rates are shifted against each other, so that two texts of different size have
 a subset in common in each chain unless one is over twice the other. The likeness of two fingerprints is the share of
 chains with an equal hash among those that either has terms in.
 """
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-LEXICONS = 16
+from kgspark.llm.common import staged
+
 #: Terms of a document that the larger subset holds, at least, on average, before the band is applied.
 PER_SUBSET = 1.0
 #: ln(documents / documents with the term). The upper end bounds the lexicon: e**7 times a document's mean number of terms.
@@ -22,7 +23,9 @@ IDF_BAND = (1.0, 7.0)
 #: Terms (8 bytes each) that may be broadcast; a larger lexicon is joined by shuffle.
 BROADCAST_TERMS = 2_000_000
 PARTS = r"[^\p{L}\p{N}]+"
-BITS = 52
+#: Bits of a term's hash that deal it to a chain; the rest place it within the chain.
+CHAIN_BITS = 4
+LEXICONS = 1 << CHAIN_BITS
 
 
 def terms(text: str | Column) -> Column:
@@ -43,24 +46,28 @@ def _level(n: Column, chain: int) -> Column:
     return F.floor(F.log2(F.greatest(n, F.lit(1))) + chain / LEXICONS)
 
 
-def _subsets(term: Column, n: Column) -> Column:
-    """A bit for each chain whose subset for a document with n terms holds the term; LEXICONS bits up, for the next subset."""
-    total = F.lit(0).cast("long")
-    for r in range(LEXICONS):
-        rate = F.pow(F.lit(2.0), F.lit(r / LEXICONS) - _level(n, r)) * PER_SUBSET
-        hashed = F.xxhash64(term, F.lit(r)).bitwiseAND((1 << BITS) - 1) / float(1 << BITS)
-        total = total + F.when(hashed < rate / 2, F.lit(1 << r | 1 << r + LEXICONS)).when(hashed < rate, F.lit(1 << r)).otherwise(0)
-    return total
+def _ceilings(n: Column) -> Column:
+    """For each chain, what the rest of a term's hash must stay under to be in the subset for a document with n terms."""
+    rates = [F.pow(F.lit(2.0), F.lit(r / LEXICONS) - _level(n, r)) * PER_SUBSET * LEXICONS for r in range(LEXICONS)]
+    return F.array(*[(F.least(rate, F.lit(1.0)) * float(1 << 64 - CHAIN_BITS)).cast("long") for rate in rates])
+
+
+def _picked(found: Column, ceilings: Column) -> Column:
+    """The terms in their chain's subset, with that chain and whether they are in its next smaller subset, too."""
+    chain = lambda t: F.xxhash64(t).bitwiseAND(LEXICONS - 1).cast("int")
+    rest = lambda t: F.shiftrightunsigned(F.xxhash64(t), CHAIN_BITS)
+    inside = F.filter(found, lambda t: rest(t) < F.get(ceilings, chain(t)))
+    return F.transform(inside, lambda t: F.struct(t.alias("term"), chain(t).alias("chain"), (rest(t) < F.shiftright(F.get(ceilings, chain(t)), 1)).alias("deep")))
 
 
 def _signatures(found: Column, n: Column) -> Column:
     """For each chain the hashes of the terms in its subset and in the next, 'hash.hash', either '' if it holds none."""
 
-    def one(bit: int, level: Column) -> Column:
-        inside = F.transform(F.filter(found, lambda x: x["subsets"].bitwiseAND(F.lit(1 << bit)) != 0), lambda x: x["term"])
-        return F.when(F.size(inside) > 0, F.hex(F.xxhash64(inside, level))).otherwise("")
+    def one(r: int, deep: bool) -> Column:
+        inside = F.transform(F.filter(found, lambda x: (x["chain"] == r) & (x["deep"] | F.lit(not deep))), lambda x: x["term"])
+        return F.when(F.size(inside) > 0, F.hex(F.xxhash64(inside, _level(n, r) + int(deep)))).otherwise("")
 
-    return F.array(*[F.concat(one(r, _level(n, r)), F.lit("."), one(r + LEXICONS, _level(n, r) + 1)) for r in range(LEXICONS)])
+    return F.array(*[F.concat(one(r, False), F.lit("."), one(r, True)) for r in range(LEXICONS)])
 
 
 def likeness(a: str, b: str) -> Column:
@@ -91,7 +98,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None, band: tuple[float, f
     cuts = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
     docs = docs.withColumn("range", F.size(F.filter(cuts, lambda c: c <= F.col("doc_id"))))
     docs = docs.withColumn("range", F.greatest("range", F.lit(0)))
-    words = lexicon(docs, band)
+    words = staged(lexicon(docs, band), "lexicon")
     words = F.broadcast(words) if words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else words
 
     heads = docs.groupBy("range").agg(F.min(F.struct(F.expr("doc_id is not null").alias("some"), "doc_id", "text")).alias("head"))
@@ -110,10 +117,12 @@ def fingerprints(docs: DataFrame, parts: int | None = None, band: tuple[float, f
     rows = rows.select("range", "place", "guest", "doc_id", "n_chars", "v.which", F.when(F.col("v.which") == 1, F.sha2("v.text", 256)).alias("sha"), terms("v.text").alias("terms"))
     plain = F.aggregate("terms", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.xxhash64(t)))
     rows = rows.withColumn("n", F.size("terms")).withColumn("plain", F.when(F.col("n") > 0, F.hex(plain)).otherwise(""))
-    rows = rows.withColumn("term", F.explode(F.concat(F.array(F.lit("")), "terms"))).drop("terms")
-    rows = rows.withColumn("subsets", F.when(F.col("term") == "", 0).otherwise(_subsets(F.col("term"), F.col("n")))).where("term = '' or subsets <> 0")
-    rows = rows.withColumn("term_hash", F.xxhash64("term")).join(words.withColumn("kept", F.lit(True)), "term_hash", "left").where("kept or term = ''")
-    found = lambda which: F.array_sort(F.collect_list(F.when((F.col("which") == which) & (F.col("term") != ""), F.struct("term", "subsets"))))
+    rows = rows.withColumn("ceilings", _ceilings(F.col("n"))).withColumn("picked", _picked(F.col("terms"), F.col("ceilings"))).drop("terms", "ceilings")
+    # a row stays where nothing is picked
+    rows = rows.select("*", F.explode_outer("picked").alias("x")).drop("picked")
+    rows = rows.withColumn("term_hash", F.coalesce(F.when(F.col("x").isNotNull(), F.xxhash64("x.term")), F.xxhash64("doc_id", "place", "which")))
+    rows = rows.join(words.withColumn("kept", F.lit(True)), "term_hash", "left")
+    found = lambda which: F.array_sort(F.collect_list(F.when((F.col("which") == which) & F.col("kept") & F.col("x").isNotNull(), F.col("x"))))
     of = lambda which, name: F.max(F.when(F.col("which") == which, F.col(name)))
     got = rows.groupBy("range", "place", "guest", "doc_id", "n_chars").agg(
         F.max("sha").alias("edited_sha256"), found(0).alias("own"), found(1).alias("other"), of(0, "plain").alias("own_plain"),

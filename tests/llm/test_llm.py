@@ -239,6 +239,21 @@ def test_near_passages(spark, corpus, docs, empty):
     assert compact_windows.near_passages(empty).count() == 0
 
 
+def test_near_passages_behind_texts_that_hold_parts(spark):
+    """The one text with the whole passage is neither the first nor the one before among those with its minima."""
+    rng = random.Random(8)
+    words = [f"x{i}" for i in range(20000)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = []
+    for g in range(10):
+        left, right = some(35), some(35)
+        parts = [f"{some(20)} {left} {some(60)} {right} {some(20)}" for _ in range(6)]
+        whole = [f"{some(20)} {left} {right} {some(20)}" for _ in range(2)]
+        rows += [(10 * g + k, t) for k, t in enumerate([*parts[:3], whole[0], *parts[3:], whole[1]])]
+    got = {(r.match_doc_id, r.doc_id) for r in compact_windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(10 * g + 3, 10 * g + 7) for g in range(10)}
+
+
 def test_decontaminate(spark, docs, empty):
     rng = random.Random(5)
     words = [f"b{i}" for i in range(900)]

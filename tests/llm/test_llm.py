@@ -254,6 +254,29 @@ def test_near_passages_behind_texts_that_hold_parts(spark):
     assert got == {(10 * g + 3, 10 * g + 7) for g in range(10)}
 
 
+def test_passages_of_one_region():
+    """Two passages with changed words between; a wide run hidden by a short one of a higher sum; one beside a run that fails."""
+    rng = np.random.default_rng(9)
+    new = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    found = lambda x, y: sorted((a, b, c, d) for a, b, c, d, _ in compact_windows.passages(x, y, 46, 75))
+    one, two = new(56), new(60)
+    assert found(np.concatenate((one, new(24), two)), np.concatenate((one, new(24), two))) == [(0, 55, 0, 55), (80, 139, 80, 139)]
+    assert found(np.concatenate((one, two)), np.concatenate((two, new(24), one))) == [(0, 55, 84, 139), (56, 115, 0, 59)]
+    x = np.concatenate((one[:40], new(3), one[40:]))
+    assert [(a, b) for a, b, *_ in found(x, np.concatenate((one[:40], new(3), one[40:])))] == [(0, 58)]
+    loose = new(90)  # all of it shared, but scattered
+    pieces = np.concatenate([np.concatenate((loose[k : k + 9], new(30))) for k in range(0, 90, 9)])
+    assert found(np.concatenate((loose, new(24), two)), np.concatenate((pieces, two))) == [(114, 173, 390, 449)]
+
+
+def test_near_passages_on_both_sides_of_changed_words(spark):
+    rng = random.Random(10)
+    one, two = ([f"y{rng.randrange(20000)}" for _ in range(60)] for _ in range(2))
+    rows = [(k, " ".join([*one, *[f"z{k}{j}" for j in range(20)], *two])) for k in range(2)]
+    got = {(r.doc_id, r.start_word, r.n_words) for r in compact_windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0, 60), (1, 80, 60)}
+
+
 def test_decontaminate(spark, docs, empty):
     rng = random.Random(5)
     words = [f"b{i}" for i in range(900)]

@@ -70,6 +70,44 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25_topk(_docs(spark, d), TERMS)
 
 
+def _each_sql(score: str) -> str:
+    return f"""WITH v AS (SELECT vec_id AS node_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT node_id AS query_id, e AS q FROM v WHERE node_id % 100 = 0),
+ s AS (SELECT query_id, node_id, round({score}, 6) AS score FROM v, q)
+SELECT query_id, node_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 10"""
+
+
+def _vectors_each(spark: SparkSession, d: str, metric: str) -> DataFrame:
+    v = _vectors(spark, d)[0]
+    return retrieval.vector_topk_each(v, v.where("node_id % 100 = 0").withColumnRenamed("node_id", "query_id"), 10, metric)
+
+
+@query(_each_sql("list_cosine_similarity(e, q)"))
+def vector_topk_cosine_each(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors_each(spark, d, "cosine")
+
+
+@query(_each_sql("1 / (1 + list_distance(e, q))"))
+def vector_topk_l2_each(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors_each(spark, d, "l2")
+
+
+@query(_each_sql("list_inner_product(e, q)"))
+def vector_topk_ip_each(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors_each(spark, d, "ip")
+
+
+@query("""WITH w AS (SELECT doc_id AS node_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+ st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), t AS (SELECT node_id, len(w) AS size, unnest(w) AS term FROM w),
+ p AS (SELECT node_id, size, term, count(*) AS tf FROM t GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+ q AS (SELECT DISTINCT node_id AS query_id, term FROM t WHERE node_id % 100 = 0),
+ s AS (SELECT query_id, node_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term), st GROUP BY 1, 2)
+SELECT query_id, node_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 10""")
+def bm25_topk_each(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    asked = docs.where("node_id % 100 = 0").select(F.col("node_id").alias("query_id"), retrieval.tokens(F.col("text")).alias("terms"))
+    return retrieval.bm25_topk_each(docs, asked)
+
+
 _BOTH = f"""WITH {_bm25_sql()},
  v AS (SELECT vec_id AS node_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT e AS q FROM v ORDER BY node_id LIMIT 1),
  r AS ((SELECT 'bm25' AS retriever, node_id, score FROM bm ORDER BY score DESC, node_id LIMIT 15)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: Okapi BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); terms are lower-case runs of a-z and 0-9.
 K1, B = 1.5, 0.75
@@ -36,6 +37,19 @@ def vector_topk(vectors: DataFrame, query: DataFrame, k: int, metric: str = "cos
     return vectors.join(F.broadcast(q)).select("node_id", score.alias("score")).orderBy(F.desc("score"), "node_id").limit(k)
 
 
+def best_each(scores: DataFrame, k: int) -> DataFrame:
+    """The k best (query_id, node_id, score) of each query_id, ties by node_id. Spark cuts each task's rows to k a query before the shuffle."""
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))
+    return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "node_id", "score")
+
+
+def vector_topk_each(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """As vector_topk for every row of queries (query_id, embedding): query_id, node_id, score."""
+    q = queries.select("query_id", F.col("embedding").alias("q"))
+    score = F.round(similarity(distance(F.col("embedding"), F.col("q"), metric), metric), 6)
+    return best_each(vectors.crossJoin(q).select("query_id", "node_id", score.alias("score")), k)
+
+
 def tokens(c: Column) -> Column:
     """Terms of a text, with repeats."""
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
@@ -61,3 +75,17 @@ def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
 def bm25_topk(docs: DataFrame, terms: list[str], k: int = 10) -> DataFrame:
     """The k best by BM25, ties by node_id."""
     return bm25(docs, terms).orderBy(F.desc("score"), "node_id").limit(k)
+
+
+def bm25_topk_each(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """As bm25_topk for every row of queries (query_id, terms; each term counts once): query_id, node_id, score."""
+    words = docs.select("node_id", tokens(F.col("text")).alias("words")).withColumn("size", F.size("words"))
+    stats = words.agg(F.count("*").alias("n"), F.avg(F.when(F.col("words").isNotNull(), F.col("size"))).alias("mean"))
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    held = words.select("node_id", "size", F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    held = held.groupBy("node_id", "size", "term").agg(F.count("*").alias("tf"))
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    gain = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    gain = held.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "node_id", gain.alias("gain"))
+    scores = gain.join(asked, "term").groupBy("query_id", "node_id").agg(F.round(F.sum("gain"), 6).alias("score"))
+    return best_each(scores, k)

@@ -8,7 +8,8 @@ that no other class has are dropped; of the rest, each class is listed under its
 at least t retained values shares one among the (size - t + 1) rarest of both. t is chosen so that a pair at the
 threshold falls short of it with a chance under 1e-9; for sets that fit into the sketch it is exact. Each list's
 smallest member is compared with the others first; then only pairs that these links have not yet brought together are
-compared, so a list of thousands of near copies costs a link for each, not one for each pair.
+compared, so a list of thousands of near copies costs a link for each, not one for each pair. Members of a list that
+still holds many pairs are told apart by what sets them apart from one of them, see crowd_links.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from kgspark.llm.shingles import overlap, shingle_set
 K = 64
 #: Rounds in which each list's members are compared with one of them before all that is left is.
 PIVOT_ROUNDS = 2
-#: Pairs that a list may still hold then; the texts of one with more are listed anew by their whole sets.
+#: Pairs that a list may still hold then; the members of one with more are listed anew by what sets them apart.
 DENSE = 200
 #: Similarity in hundredths.
 PERCENT = 75
@@ -109,28 +110,82 @@ def open_pairs(left: DataFrame, percent: int) -> DataFrame:
     return rest.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
-def whole_pairs(left: DataFrame, percent: int) -> DataFrame:
-    """As open_pairs, where the lists are of whole sets: only pairs that can still share enough.
-
-    Sets of n <= m shingles share percent / (100 + percent) of n + m at least, the smaller thus more of its own than the
-    larger, and at the rarest value in common neither has more to share than what follows it.
-    """
-    least = F.lit(percent / (100 + percent))
-    small = left.where(F.col("have") - F.col("rank") + 1 >= 2 * least * F.col("n") - 1e-6)
-    small = small.select("value", F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("cx"), (F.col("have") - F.col("rank")).alias("after_x"), F.col("in_main").alias("main_x"))
-    large = left.select("value", "rep", "n", "component", (F.col("have") - F.col("rank")).alias("after"), "in_main")
-    enough = F.least("after_x", "after") + 1 >= least * (F.col("n_a") + F.col("n")) - 1e-6
-    first = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("x") < F.col("rep")))
-    rest = small.join(large, "value").where(first & enough & (F.col("cx") != F.col("component")) & ~(F.col("main_x") & F.col("in_main")))
-    return rest.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts in rows_of(batches, "doc_id", "text"):
         sets = [shingle_set(t) for t in texts]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "n", "set"])
 
 
+def around(docs: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
+    """The members of dense lists as what sets them apart from their list's center, the one with the most common values.
+
+    (p, rep, n, n_p, component, tied, x): x are the shingles that only one of p and rep has, so of two members of one
+    center these differ by just what their sets differ by. tied: like enough to p, or of its component.
+    """
+    center = F.max_by(F.struct(F.col("rep").alias("p"), F.col("n").alias("n_p"), F.col("component").alias("c_p")), F.struct("shared", (-F.col("rep")).alias("rep")))
+    member = dense.join(dense.groupBy("value").agg(center.alias("c")), "value").select("c.*", "rep", "n", "component").where("p <> rep").distinct()
+    sets = narrowed(docs.select("doc_id", "text"), dense.select(F.col("rep").alias("doc_id")), "doc_id")
+    sets = staged(sets.mapInArrow(_sets, "rep long, n long, set array<long>").dropDuplicates(["rep"]), "sets").select("rep", "set")
+    x = member.join(sets, "rep").join(sets.select(F.col("rep").alias("p"), F.col("set").alias("s")), "p")
+    x = x.withColumn("x", F.array_union(F.array_except("set", "s"), F.array_except("s", "set"))).drop("set", "s")
+    tied = (F.col("component") == F.col("c_p")) | alike(F.size("x"), F.col("n") + F.col("n_p"), percent)
+    return staged(x.select("p", "rep", "n", "n_p", "component", tied.alias("tied"), "x"), "around")
+
+
+def alike(apart, sizes, percent: int):
+    """Whether sets of these sizes (the sum of both), that differ by so many values, are similar enough."""
+    return (100 + percent) * apart <= (100 - percent) * sizes
+
+
+def around_lists(members: DataFrame, percent: int) -> DataFrame:
+    """The members under the rarest values of x, as many as a pair with one that is not tied leaves to choose from.
+
+    Sets of n and m that are alike differ by (n + m) * rate at most. One that is not tied is more than that from the
+    center, so what both are from it must coincide in part: in half of what is left when the rate's share is taken off.
+    """
+    rate = (100 - percent) / (100 + percent)
+    m = F.size("x")
+    need = F.when(F.col("tied"), m + rate * (F.col("n_p") - F.col("n"))).otherwise(m - rate * (F.col("n_p") + F.col("n"))) / 2
+    values = members.select("p", "rep", "n", "component", "tied", m.alias("m"), F.greatest(F.ceil(need - 1e-6), F.lit(1)).alias("need"), F.explode("x").alias("value"))
+    values = values.withColumn("value", F.xxhash64("p", "value"))
+    common = values.groupBy("value").agg(F.count("*").alias("lists")).where("lists > 1")
+    own = W.partitionBy("p", "rep")
+    listed = values.join(common, "value").withColumn("have", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("lists", "value")))
+    listed = listed.withColumn("rest", F.col("have") - F.col("rank") + 1).where("rest >= need")
+    return staged(listed.select("value", "p", "rep", "n", "m", "component", "tied", "rest"), "lists")
+
+
+def around_links(members: DataFrame, lists: DataFrame, percent: int, one: bool) -> DataFrame:
+    """Links of members of different components in one list; with one, only those of a member of each list that is not tied."""
+    rate = (100 - percent) / (100 + percent)
+    a = lists.where("not tied").select("value", F.struct(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"), F.col("component").alias("c_a"), F.col("rest").alias("rest_a")).alias("y"))
+    if one:
+        a = a.groupBy("value").agg(F.max_by("y", F.struct("y.rest_a", -F.col("y.a"))).alias("y"))
+    a = a.select("value", "y.*")
+    enough = 2 * F.least("rest", "rest_a") >= F.col("m") + F.col("m_a") - rate * (F.col("n") + F.col("n_a")) - 1e-6
+    each = F.lit(True) if one else F.col("tied") | (F.col("a") < F.col("rep"))
+    pairs = a.join(lists, "value").where(enough & each & (F.col("component") != F.col("c_a"))).select("p", "a", F.col("rep").alias("b")).distinct()
+    x = members.select("p", "rep", "n", "x")
+    both = pairs.join(x.toDF("p", "a", "n_a", "x_a"), ["p", "a"]).join(x.toDF("p", "b", "n_b", "x_b"), ["p", "b"])
+    apart = F.size("x_a") + F.size("x_b") - 2 * F.size(F.array_intersect("x_a", "x_b"))
+    return staged(both.where(alike(apart, F.col("n_a") + F.col("n_b"), percent)).select("a", "b"), "links")
+
+
+def crowd_links(docs: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
+    """Links between members of dense lists (value, rep, n, shared, component) that bring all of their components together.
+
+    Near copies of one text share most of it with each other, so lists of what they share hold all pairs. What sets
+    each apart from the list's center is spread over many values, and lists of these are short.
+    """
+    members = around(docs, dense, percent)
+    links = members.where(F.col("tied")).select(F.col("p").alias("a"), F.col("rep").alias("b"))
+    lists = around_lists(members, percent)
+    some = around_links(members, lists, percent, True)
+    joined = components(links.unionByName(some).unionByName(dense.select(F.col("rep").alias("a"), F.col("component").alias("b")))).withColumnRenamed("node", "rep")
+    lists = staged(lists.drop("component").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "lists")
+    return links.unionByName(some).unionByName(around_links(members, lists, percent, False))
+
+
 def pivot_links(docs: DataFrame, lists: DataFrame, reps: DataFrame, k: int, percent: int, hits: int) -> DataFrame:
     """Confirmed links between each list's pivot and its other members outside the pivot's component.
 
@@ -182,12 +237,11 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     left = _open(listed, joined)
     cost = left.groupBy("value").agg(F.count_if(~F.col("in_main")).alias("others"), F.count("*").alias("m"))
     left = staged(left.join(cost.select("value", (F.col("others") * F.col("m") > DENSE).alias("dense")), "value"), "open")
-    # in a dense list many texts share much, but not enough: whole sets tell them apart where sketches don't
-    crowd = left.where("dense").select(F.col("rep").alias("doc_id")).distinct()
-    sets = narrowed(docs.select("doc_id", "text"), crowd, "doc_id").mapInArrow(_sets, "rep long, n long, set array<long>").dropDuplicates(["rep"])
-    whole = rare_lists(sets.select("rep", "n", F.ceil(F.col("n") * percent / 100).alias("need"), F.explode("set").alias("value")))
-    rest = _plausible(open_pairs(left.where("not dense"), percent), reps, k, percent, hits).unionByName(whole_pairs(_open(whole, joined), percent)).distinct()
+    rest = _plausible(open_pairs(left.where("not dense"), percent), reps, k, percent, hits)
     more = staged(confirmed(docs, staged(rest, "pairs"), percent), "links")
+    dense = left.where("dense")
+    if not dense.isEmpty():
+        more = more.unionByName(crowd_links(docs, dense, percent))
     if not more.isEmpty():
         joined = components(links.unionByName(more)).withColumnRenamed("node", "rep")
 

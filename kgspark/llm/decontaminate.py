@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import rows_of, without
-from kgspark.llm.shingles import BASE, LOWER, _block_words, batches_of, mixed, sequence_hashes
+from kgspark.llm.shingles import BASE, LOWER, batches_of, hashes_at, mixed, sequence_hashes, words_at
 
 #: Edits in hundredths of an item's words.
 EDITS = 25
@@ -45,9 +45,8 @@ def plain_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     keep = ~PUNCTUATION[a]
     ends = np.concatenate(([0], np.cumsum(keep)))[ends]
     a = a[keep]
-    space = np.isin(a, np.frombuffer(b" \t\n\v\f\r", np.uint8))
-    start = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-    return _block_words(a), np.searchsorted(ends, start, "right")
+    start, end = words_at(a)
+    return hashes_at(a, start, end), np.searchsorted(ends, start, "right")
 
 
 def walk(words: np.ndarray, seed: int) -> np.ndarray:

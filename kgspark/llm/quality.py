@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from kgspark.llm.common import rows_of
 from kgspark.llm.shingles import batches_of, mixed, sequence_hashes, words_of
@@ -20,11 +21,15 @@ from kgspark.llm.shingles import batches_of, mixed, sequence_hashes, words_of
 PASSAGE = 64
 WORDS, SHAPES, REPEATS = 1 << 13, 1 << 12, 6
 WIDTH, GATE = 16, 8
-#: The bound of the training sample: labelled rows, and characters of each. Longer documents are scored, not learned from.
+#: The bound of the training sample: labelled rows, characters of each and of all. Longer documents are scored, not learned from.
 TRAIN_ROWS = 6000
 TRAIN_CHARS = 100_000
+#: Characters of the whole sample, which the driver holds.
+TRAIN_TOTAL = 40_000_000
 EPOCHS = 8
 BATCH = 48
+#: Passages that are encoded at a time.
+ENCODED = 4096
 RATE = 0.01
 SEED = 7
 
@@ -76,7 +81,12 @@ def forward(p: dict[str, np.ndarray], ids: np.ndarray, start: np.ndarray, repeat
     """Scores of n texts from their passages, with what the way back needs."""
     size = np.diff(np.append(start, len(ids)))
     table = p["E"]
-    raw = _sums(table[ids[:, 0]] + table[ids[:, 1]], start) / np.maximum(size, 1)[:, None].astype(np.float32) + table[repeat]
+    raw = np.empty((len(start), WIDTH), np.float32)
+    for k in range(0, len(start), ENCODED):  # the words' vectors of all passages at once would be many times the text
+        own = slice(k, k + ENCODED)
+        low, high = start[k], start[k + ENCODED] if k + ENCODED < len(start) else len(ids)
+        raw[own] = _sums(table[ids[low:high, 0]] + table[ids[low:high, 1]], start[own] - low)
+    raw = raw / np.maximum(size, 1)[:, None].astype(np.float32) + table[repeat]
     h = np.tanh(raw)
     t, s = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
     e = (t * s) @ p["w"]
@@ -109,7 +119,7 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed:
     """Learn from labelled texts with Adam; both labels weigh the same in all. One label alone gives its share as score."""
     y = np.asarray(labels, np.float32)
     p, rng = fresh(seed), np.random.default_rng(seed)
-    if not 0 < y.mean() < 1:
+    if not len(y) or not 0 < y.mean() < 1:
         p["c"][:] = 0
         p["b"][:] = 5 if len(y) and y[0] else -5 if len(y) else 5
         return p
@@ -144,12 +154,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> dict[str, np.ndarray]:
-    """Fit on at most `rows` labelled documents of at most `chars` characters, chosen by a hash of doc_id."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, total: int = TRAIN_TOTAL) -> dict[str, np.ndarray]:
+    """Fit on at most `rows` labelled documents of at most `chars` characters, and `total` in all, chosen by a hash of doc_id."""
     known = labels.where("quality is not null and doc_id is not null").where(~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(rows)
     sample = docs.where(F.char_length(F.coalesce("text", F.lit(""))) <= chars).select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    sample = sample.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "text").limit(rows).toPandas()
+    sample = sample.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "text").limit(rows)
+    so_far = F.sum(F.char_length(F.coalesce("text", F.lit("")))).over(W.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "text").rowsBetween(W.unboundedPreceding, 0))
+    sample = sample.withColumn("so_far", so_far).where(F.col("so_far") <= total).toPandas()
     return fit(sample["text"].tolist(), sample["quality"].tolist())
 
 

@@ -8,13 +8,16 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WIDTH = 5
-BLOCK = 1 << 22
+#: Bytes that are hashed at a time; what is kept for a worker's life is in proportion to it, not to the longest text.
+BLOCK = 1 << 18
+#: Characters of texts that are worked on together.
+TOGETHER = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64, for i up to n at least."""
+    """BASE**i and BASE**-i modulo 2**64, for i up to n at least; n is bounded by a constant in every use."""
     have = _powers.get("n", 0)
     if have <= n:
         size = max(1 << 16, 1 << (n + 1).bit_length())
@@ -34,29 +37,47 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _block_words(a: np.ndarray) -> np.ndarray:
-    space = SPACE[a]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
-    start, end = edge[::2], edge[1::2]
+def words_at(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of some bytes start and end (exclusive)."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], SPACE[a], [True])).view(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def hashes_at(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A uint64 for each of the words of some bytes, which may cross blocks."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    up, down = powers(len(a))
-    total = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=total[1:])
-    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    size = min(len(a), BLOCK)
+    up, down = powers(size)
+    up, total = up[:size], np.zeros(size + 1, np.uint64)
+    out = np.empty(len(start), np.uint64)
+    scale, carry = np.uint64(1), np.uint64(0)  # BASE**at, and the sum before the block
+    step, unstep = int(up[-1]) * int(BASE) % (1 << 64), pow(int(BASE), -size, 1 << 64)
+    first = last = 0
+    for at in range(0, len(a), size):
+        n = min(size, len(a) - at)
+        np.cumsum((a[at : at + n].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1 : n + 1])
+        ends = last + int(np.searchsorted(end[last:], at + n, "right"))
+        starts = first + int(np.searchsorted(start[first:], at + n, "left"))
+        if at == 0 and n == len(a):
+            return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        own = start[first:starts] - at
+        out[first:starts] = carry + scale * total[own]
+        # a word's sum is what its end has more than its start; both are kept until the word has ended
+        done = slice(last, ends)
+        out[done] = (carry + scale * total[end[done] - at]) - out[done]
+        first, last = starts, ends
+        carry = np.uint64((int(carry) + int(scale) * int(total[n])) % (1 << 64))
+        scale = np.uint64(int(scale) * step % (1 << 64))
+    block, off = np.divmod(start, size)
+    shift = np.array([pow(unstep, k, 1 << 64) for k in range(int(block[-1]) + 1)], np.uint64)
+    return mixed(out * shift[block] * down[off] + (end - start).astype(np.uint64))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A uint64 for each word of a text; A-Z are lower-cased, words are runs of other than 0x20 and 0x09-0x0D."""
-    raw = (text or "").encode().translate(LOWER)
-    a, parts, at = np.frombuffer(raw, np.uint8), [], 0
-    while at < len(a):
-        end = min(len(a), at + BLOCK)
-        while end < len(a) and not SPACE[a[end]]:
-            end += 1
-        parts.append(_block_words(a[at:end]))
-        at = end
-    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    a = np.frombuffer((text or "").encode().translate(LOWER), np.uint8)
+    return hashes_at(a, *words_at(a))
 
 
 def sequence_hashes(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -91,7 +112,7 @@ SHAPE = np.arange(256, dtype=np.uint8)
 SHAPE[65:91], SHAPE[97:123], SHAPE[128:], SHAPE[48:58] = 65, 97, 97, 48
 
 
-def batches_of(texts: list[str | None], size: int = BLOCK) -> list[tuple[int, int]]:
+def batches_of(texts: list[str | None], size: int = TOGETHER) -> list[tuple[int, int]]:
     """Ranges of texts that hold some `size` characters each, or one longer text."""
     out, at, held = [], 0, 0
     for k, t in enumerate(texts):
@@ -107,10 +128,10 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     raw = [(t or "").encode() for t in texts]
     a = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     first = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))[:-1]
-    space = SPACE[a]
-    start = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    start, end = words_at(a)
     of = np.searchsorted(first, start, "right") - 1
-    words = _block_words(np.frombuffer(LOWER, np.uint8)[a])
+    words = hashes_at(np.frombuffer(LOWER, np.uint8)[a], start, end)
     shape = SHAPE[a]
-    again = (shape == np.concatenate(([0], shape[:-1]))) & ((shape == 65) | (shape == 97) | (shape == 48))
-    return words, _block_words(shape[~again]), of
+    again = np.concatenate(([False], shape[1:] == shape[:-1])) & ((shape == 65) | (shape == 97) | (shape == 48))
+    shape = shape[~again]
+    return words, hashes_at(shape, *words_at(shape)), of

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kgspark.llm.common import BROADCAST_IDS, narrowed, rows_of, staged
-from kgspark.llm.shingles import mixed, powers
+from kgspark.llm.shingles import BLOCK, mixed, powers
 
 LIMIT = 100
 GRAM = 24
@@ -32,7 +32,7 @@ SHALLOW = 24
 GROUP = 200_000
 #: Contexts that a task sorts together, if a gram has not more.
 CHUNK = 60_000
-SEGMENT = 1 << 22
+SEGMENT = BLOCK
 
 
 def anchors(text: bytes, limit: int = LIMIT, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

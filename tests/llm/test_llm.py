@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from kgspark.llm import common, compact_windows, decontaminate, fingerprints, html_wrappers, minhash_dedup, mixing, quality, suffix_dedup, token_output, warc
+from kgspark.llm import shingles as shingles_mod
 from kgspark.llm.wavelet import WaveletMatrix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -328,7 +329,7 @@ def test_wavelet_matrix():
     assert len(WaveletMatrix.loads(WaveletMatrix.build(ids[:0], 9).dumps()).decode()) == 0
 
 
-def test_tokens_equal_the_tokenizer(corpus, docs, empty):
+def test_tokens_equal_the_tokenizer(corpus, docs, empty, monkeypatch):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
@@ -340,9 +341,38 @@ def test_tokens_equal_the_tokenizer(corpus, docs, empty):
         assert got[i] == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert token_output.read_tokens(token_output.write_tokens(empty, path)).count() == 0
-    cache = token_output.pieces(path)
-    for text in ("It's <|endoftext|> ÀB, İstanbul...!! x", "<|ENDOFTEXT|>", "a\tb c d\x1ce 12,5 O'Neil's", "é Å ΣΑΣ.", "***a** b&&&, %%"):
-        assert next(token_output.encode([text], cache)).tolist() == t.encode(text, add_special_tokens=False).ids
+    odd = ["It's <|endoftext|> ÀB, İstanbul...!! x", "<|ENDOFTEXT|>", "a\tb c d\x1ce 12,5 O'Neil's", "é Å ΣΑΣ.", "***a** b&&&, %%", "", None, " \n", "\u0301a <|startoftext|>b"]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in odd]
+    coder = token_output.Encoder(path)
+    assert not coder.whole and [x.tolist() for x in coder.encode(odd)] == want
+    monkeypatch.setattr(token_output, "CACHED_WORDS", 3)
+    assert [x.tolist() for x in token_output.Encoder(path).encode(odd)] == want
+
+
+def test_words_that_cross_blocks(monkeypatch):
+    rng = random.Random(12)
+    text = "".join(rng.choice(["a", "b", " ", "é", "\n", "Zx"]) for _ in range(5000)) + "y" * 3000 + " end"
+    want, long = shingles_mod.word_hashes(text), shingles_mod.words_of([text, None, text])
+    assert len(want) == len(re.findall(r"[^\x20\x09-\x0D]+", text)) and len(set(want.tolist())) == len(set(re.findall(r"[^\x20\x09-\x0D]+", text.lower())))
+    for block in (1 << 10, 777, 64):
+        monkeypatch.setattr(shingles_mod, "BLOCK", block)
+        assert (shingles_mod.word_hashes(text) == want).all()
+        assert all((x == y).all() for x, y in zip(shingles_mod.words_of([text, None, text]), long, strict=True))
+
+
+def test_long_texts_in_bounded_memory():
+    """40 MB of words: what the helpers keep afterwards does not depend on it, and scoring takes few times the text."""
+    import tracemalloc
+
+    text = "word " * 2_000_000 + "x" * 3_000_000
+    p = quality.fresh()
+    tracemalloc.start()
+    shingles_mod.word_hashes(text)
+    decontaminate.plain_words([text])
+    quality.scores(p, [text])
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 30e6 and peak < 60 * len(text)
 
 
 def test_quality_learns_on_held_out_rows(spark, empty):

@@ -185,8 +185,8 @@ def sanitized_names(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", T.label(F.col("p_type")).alias("label"), T.relation_type(F.col("p_type")).alias("rel"), T.slug(F.col("p_name")).alias("slug"))
 
 
-@query(r"""WITH n AS (SELECT trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS key, p_type AS name FROM part), c AS (SELECT key, name, count(*) AS t FROM n GROUP BY ALL)
-SELECT key, name AS canonical, spellings FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t DESC, length(name) DESC, name) AS r, count(*) OVER (PARTITION BY key) AS spellings FROM c) WHERE r = 1""")
+@query(r"""WITH n AS (SELECT trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS key, trim(p_type) AS name FROM part), c AS (SELECT key, name, count(*) AS t FROM n WHERE key <> '' GROUP BY ALL)
+SELECT key, name AS canonical, spellings FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t DESC, length(regexp_replace(name, '[\p{L}\p{N}\s]', '', 'g')) + length(name) - length(trim(regexp_replace(name, '\s+', ' ', 'g'))), length(name) DESC, name) AS r, count(*) OVER (PARTITION BY key) AS spellings FROM c) WHERE r = 1""")
 def canonical_names(spark: SparkSession, d: str) -> DataFrame:
     return graph.canonical_names(table(spark, d, "part").select(T.normalized_key(F.col("p_type")).alias("key"), F.col("p_type").alias("name")))
 

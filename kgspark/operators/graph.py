@@ -61,9 +61,10 @@ def valid(triples: DataFrame, schema: DataFrame) -> DataFrame:
 
 
 def canonical_names(names: DataFrame) -> DataFrame:
-    """(key, canonical, spellings): of the spellings (key, name) the most frequent, then longest, then first."""
-    n = names.groupBy("key", "name").agg(F.count("*").alias("times"))
-    w = W.partitionBy("key").orderBy(F.desc("times"), F.desc(F.length("name")), "name")
+    """(key, canonical, spellings): of the spellings (key, name) the most frequent, then tidiest, longest, first. Empty keys go."""
+    n = names.where("key <> ''").select("key", F.trim("name").alias("name")).groupBy("key", "name").agg(F.count("*").alias("times"))
+    untidy = F.length(F.regexp_replace("name", r"[\p{L}\p{N}\s]", "")) + F.length("name") - F.length(F.trim(F.regexp_replace("name", r"\s+", " ")))  # signs and spare spaces
+    w = W.partitionBy("key").orderBy(F.desc("times"), untidy, F.desc(F.length("name")), "name")
     n = n.withColumn("place", F.row_number().over(w)).withColumn("spellings", F.count("*").over(W.partitionBy("key")))
     return n.where("place = 1").select("key", F.col("name").alias("canonical"), "spellings")
 

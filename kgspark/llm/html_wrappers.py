@@ -31,6 +31,8 @@ SALTS = 64
 BROADCAST_BYTES = 32 << 20
 #: Pages that must share a text before it counts as the host's own.
 CONSTANT_PAGES = 5
+#: Levels of elements that are kept apart; deeper ones stand beside each other, in page order.
+DEEP = 200
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|object)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -67,11 +69,18 @@ def parse(page: str | None) -> Node:
     """A page's elements. Inline tags are passed over, but for links; missing and stray end tags are allowed for."""
     root = Node("", "")
     stack, at, links, page = [root], 0, 0, page or ""
+
+    def add(part: tuple[str, bool]) -> None:
+        if len(stack) > DEEP and stack[DEEP - 1].parts[-1] is not stack[-1]:  # goes on after a deeper element
+            stack[-1] = Node(stack[-1].label, stack[-1].tag)
+            stack[DEEP - 1].parts.append(stack[-1])
+        stack[-1].parts.append(part)
+
     while at < len(page):
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            stack[-1].parts.append((html.unescape(text), links > 0))
+            add((html.unescape(text), links > 0))
         if not m:
             break
         at, tag = m.end(), (m[3] or "").lower()
@@ -82,7 +91,7 @@ def parse(page: str | None) -> Node:
         if tag in INLINE:
             continue
         if tag == "br":
-            stack[-1].parts.append((" ", False))
+            add((" ", False))
         elif m[2]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
@@ -95,7 +104,7 @@ def parse(page: str | None) -> Node:
                 if tag == "tr" and stack[-1].tag in ends:
                     stack.pop()
             node = Node(_label(tag, m[4]), tag)
-            stack[-1].parts.append(node)
+            stack[min(len(stack), DEEP) - 1].parts.append(node)
             if not m[4].rstrip().endswith("/") or tag in ("p", "div"):
                 stack.append(node)
             links = 0 if tag in CLOSES_P else links

@@ -193,6 +193,16 @@ def test_main_texts(spark):
     assert got[8] == got[9] == ("", 0) and got[10][0] == "only text"
 
 
+def test_main_text_of_deep_pages(spark):
+    """Thousands of nested elements neither end the job nor change the order of the text."""
+    n = 5000
+    deep = "<article>" + "".join(f"<div>a{i} " for i in range(n)) + "".join(f"b{i}</div> " for i in range(n)) + "</article>"
+    want = " ".join([*(f"a{i}" for i in range(n)), *(f"b{i}" for i in range(n))])
+    rows = [(0, "http://deep.example", deep), (1, "http://deep.example", "<div>" * 50_000 + "x"), (2, "http://deep.example", "<article><p>y</article>")]
+    got = {r.page_id: r.text for r in html_wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == want and got[2] == "y"
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(i, f"http://x/{i}%\n", "p" * 150 if i % 3 == 0 else f"<p>{i}</p>" * (i * 20)) for i in range(40)] + [(None, None, None), (41, "u", "p" * 99), (42, "u", "p" * 99)]
     files = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"))

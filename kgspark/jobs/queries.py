@@ -280,10 +280,15 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_SNAP + """, r AS (SELECT w.doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN w.ordinal < o.ordinal THEN 'older' WHEN w.ordinal = o.ordinal THEN 'same ordinal'
- WHEN w.content_hash = o.content_hash THEN 'same content' ELSE 'changed' END AS reason FROM w LEFT JOIN o ON o.doc_id = w.doc_id) SELECT doc_id, reason IN ('new', 'changed') AS process, reason FROM r""")
+ WHEN o.doc_id % 4 = 3 AND o.doc_id % 3 = 0 AND o.doc_id % 9 <> 0 THEN 'just synced' WHEN o.doc_id % 4 >= 2 AND o.doc_id % 3 = 0 THEN 'no hash yet'
+ WHEN w.content_hash = o.content_hash THEN 'same content' ELSE 'changed' END AS reason FROM w LEFT JOIN o ON o.doc_id = w.doc_id) SELECT doc_id, reason IN ('new', 'no hash yet', 'changed') AS process, reason FROM r""")
 def should_process(spark: SparkSession, d: str) -> DataFrame:
     old, new = _snapshots(spark, d)
-    return sync.should_process(new, old)
+    now, i = F.lit("2026-01-01 00:00:00").cast("timestamp"), F.col("doc_id")
+    minutes = F.when(i % 9 != 0, F.when(i % 4 == 3, 1).otherwise(10))  # the others were never synced
+    bulk = (i % 4 >= 2) & (i % 3 == 0)
+    old = old.withColumn("content_hash", F.when(~bulk, F.col("content_hash"))).withColumn("vector_synced_at", now - F.make_dt_interval(F.lit(0), F.lit(0), minutes))
+    return sync.should_process(new, old, now)
 
 
 @query(_SNAP + """ SELECT coalesce(o.doc_id, w.doc_id) AS doc_id, coalesce(w.source_id, o.source_id) AS source_id, coalesce(w.content_hash, o.content_hash) AS content_hash,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -19,18 +19,22 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return x.select("doc_id", action.alias("action"))
 
 
-def should_process(changes: DataFrame, state: DataFrame) -> DataFrame:
-    """(doc_id, process, reason) for changes (doc_id, ordinal, content_hash) against the state (the same columns).
+def should_process(changes: DataFrame, state: DataFrame, now: Column | None = None) -> DataFrame:
+    """(doc_id, process, reason) for changes (doc_id, ordinal, content_hash) against the state (these and vector_synced_at).
 
-    Unknown documents and changed contents are processed; older or equal ordinals and equal contents are not.
+    Unknown documents and changed contents are processed; older or equal ordinals and equal contents are not. A state
+    without a hash is of a first bulk sync: if that was under five minutes before now, only the hash is to be put in,
+    else the document is processed.
     """
-    s = state.select("doc_id", F.col("ordinal").alias("had"), F.col("content_hash").alias("was"))
+    s = state.select("doc_id", F.col("ordinal").alias("had"), F.col("content_hash").alias("was"), F.col("vector_synced_at").alias("synced"), F.lit(True).alias("known"))
+    fresh = F.col("synced") > (F.current_timestamp() if now is None else now) - F.expr("INTERVAL 5 MINUTES")
     reason = (
-        F.when(F.col("had").isNull(), "new").when(F.col("ordinal") < F.col("had"), "older").when(F.col("ordinal") == F.col("had"), "same ordinal")
+        F.when(F.col("known").isNull(), "new").when(F.col("ordinal") < F.col("had"), "older").when(F.col("ordinal") == F.col("had"), "same ordinal")
+        .when(F.col("was").isNull() & fresh, "just synced").when(F.col("was").isNull(), "no hash yet")
         .when(F.col("content_hash") == F.col("was"), "same content").otherwise("changed")
     )
     x = changes.join(s, "doc_id", "left").withColumn("reason", reason)
-    return x.select("doc_id", F.col("reason").isin("new", "changed").alias("process"), "reason")
+    return x.select("doc_id", F.col("reason").isin("new", "no hash yet", "changed").alias("process"), "reason")
 
 
 def upsert(state: DataFrame, new: DataFrame) -> DataFrame:

@@ -60,3 +60,54 @@ def word_overlap(a: Column, b: Column) -> Column:
     """Jaccard similarity of two texts' word sets."""
     x, y = (F.array_distinct(F.split(F.lower(c), r"\s+")) for c in (a, b))
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+
+
+# Openings and closings that are not part of a result's content, and how generated queries and their raw results start.
+OPENINGS = (
+    "here are some facts extracted from the provided text:", "facts extracted from the provided text:", "extracted facts:", "key information:", "summary:", "important points:", "main points:",
+    "key facts:", "extracted information:", "document summary:", "content summary:", "text summary:", "document facts:", "content facts:", "text facts:", "based on the provided text:",
+    "from the provided text:", "the text contains:", "the document contains:", "the content includes:", "the information shows:", "the facts indicate:", "the data reveals:", "the analysis shows:",
+    "the summary indicates:", "the key points are:", "the main findings are:", "the important details are:", "the relevant information is:", "the document states:", "the text states:",
+    "the content states:", "the information states:", "the facts show:", "the data shows:", "the analysis reveals:", "the summary shows:", "the key points show:", "the main findings show:",
+    "the important details show:", "the relevant information shows:", "the following facts were extracted:", "extracted from the document:", "the document reveals:", "the text reveals:",
+    "the content reveals:", "the information indicates:", "the facts demonstrate:", "the data indicates:", "the analysis indicates:", "the summary demonstrates:", "the key points indicate:",
+    "the main findings indicate:", "the important details indicate:", "the relevant information indicates:", "the document demonstrates:", "the text demonstrates:", "the content demonstrates:",
+    "the information demonstrates:", "the facts suggest:", "the data suggests:", "the analysis suggests:", "the summary suggests:", "the key points suggest:", "the main findings suggest:",
+    "the important details suggest:", "the relevant information suggests:",
+)
+CLOSINGS = (
+    "end of document", "end of text", "document ends", "text ends", "this concludes the document", "this concludes the text", "this ends the document", "this ends the text",
+)
+STEPS = (
+    "query: match ", "query: select ", "query: optional match ", "query: with ", "query: create ", "query: merge ", "query: for ", "query: g.v(",
+    "context: {", "context: [{", "context: [", "[{", "[{'",
+)
+OPENING = "(?i)^(?:" + "|".join(OPENINGS) + ")"
+CLOSING = "(?i)(?:" + "|".join(CLOSINGS) + r")\z"
+
+
+def stripped(c: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(c, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z", "")
+
+
+def core_content(c: Column) -> Column:
+    """A result's text without one of OPENINGS and one of CLOSINGS, whatever their case."""
+    return stripped(F.regexp_replace(stripped(F.regexp_replace(stripped(c), OPENING, "")), CLOSING, ""))
+
+
+def is_query_step(c: Column) -> Column:
+    """A text that is a generated query or its raw results rather than content."""
+    t = F.lower(F.trim(c))
+    hit = F.lit(False)
+    for start in STEPS:
+        hit = hit | F.startswith(t, F.lit(start))
+    return hit
+
+
+def node_id(c: Column, forbidden: str = "") -> Column:
+    """A name as a node's id: control characters and those a store forbids go, runs of white space become one space; 'unknown' if nothing is left."""
+    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x1f\x7f]", "")
+    s = F.translate(s, forbidden, "") if forbidden else s
+    s = F.trim(F.regexp_replace(s, r"\s+", " "))
+    return F.when(s == "", F.lit("unknown")).otherwise(s)

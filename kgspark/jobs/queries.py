@@ -76,9 +76,9 @@ def _each_sql(score: str) -> str:
 SELECT query_id, node_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 10"""
 
 
-def _vectors_each(spark: SparkSession, d: str, metric: str) -> DataFrame:
+def _vectors_each(spark: SparkSession, d: str, metric: str, k: int = 10) -> DataFrame:
     v = _vectors(spark, d)[0]
-    return retrieval.vector_topk_each(v, v.where("node_id % 100 = 0").withColumnRenamed("node_id", "query_id"), 10, metric)
+    return retrieval.vector_topk_each(v, v.where("node_id % 100 = 0").withColumnRenamed("node_id", "query_id"), k, metric)
 
 
 @query(_each_sql("list_cosine_similarity(e, q)"))
@@ -143,13 +143,56 @@ def dedup_sum_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 _STUB = r"(trim(text) <> '' AND length(trim(text)) < 80 AND NOT regexp_matches(trim(text), '[.?!]$'))"
+_STEP = " OR ".join("starts_with(lower(trim(text)), '" + x.replace("'", "''") + "')" for x in T.STEPS)
+_KIND = rf"CASE WHEN {_STEP} THEN 'step' WHEN regexp_matches(text, '^[^>\n]+->\s*[A-Z_]+\s*->\s*[^\n]+$') AND length(text) <= 300 THEN 'relation' WHEN {_STUB} THEN 'stub' ELSE 'content' END"
+_NOISY = """WITH r AS (SELECT conv_id AS query_id, turn AS node_id, role AS retriever, CAST(CASE WHEN turn % 5 <> 4 THEN turn % 4 - 1 END AS DOUBLE) AS score,
+ CASE conv_id % 5 WHEN 0 THEN ' Query: MATCH ' || text WHEN 1 THEN 'Ann -> KNOWS -> ' || role WHEN 2 THEN role WHEN 3 THEN '  ' ELSE text END AS text FROM conversations WHERE text IS NOT NULL)"""
 
 
-@query(rf"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '^[^>\n]+->\s*[A-Z_]+\s*->\s*[^\n]+$') AND length(text) <= 300 THEN 'relation'
- WHEN {_STUB} THEN 'stub' ELSE 'content' END AS kind FROM conversations WHERE trim(text) <> '') GROUP BY kind""")
+def _noisy(spark: SparkSession, d: str) -> DataFrame:
+    """The conversations as results of every kind and score."""
+    c, m = table(spark, d, "conversations").where("text is not null"), F.col("conv_id") % 5
+    text = F.when(m == 0, F.concat(F.lit(" Query: MATCH "), "text")).when(m == 1, F.concat(F.lit("Ann -> KNOWS -> "), "role")).when(m == 2, F.col("role")).when(m == 3, F.lit("  ")).otherwise(F.col("text"))
+    score = F.when(F.col("turn") % 5 != 4, F.col("turn") % 4 - 1).cast("double")
+    return c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("node_id"), F.col("role").alias("retriever"), score.alias("score"), text.alias("text"))
+
+
+@query(_NOISY + f" SELECT query_id, node_id, score, {_KIND} AS kind FROM r WHERE score >= 0 AND trim(text) <> ''")
 def result_noise_filters(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "conversations").select("text", F.lit(0.0).alias("score"))
-    return fusion.noise_kinds(r).groupBy("kind").agg(F.count("*").alias("n"))
+    return fusion.noise_kinds(_noisy(spark, d)).select("query_id", "node_id", "score", "kind")
+
+
+@query(_NOISY + f""", k AS (SELECT query_id, node_id, score, CASE WHEN {_KIND} <> 'content' THEN 0 WHEN score > 0 THEN 2 ELSE 1 END AS rank FROM r WHERE trim(text) <> '')
+SELECT query_id, node_id, score FROM k QUALIFY rank = max(rank) OVER (PARTITION BY query_id)""")
+def graph_result_filter(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.graph_results(_noisy(spark, d)).select("query_id", "node_id", "score")
+
+
+@query(_NOISY + f""", k AS (SELECT retriever, query_id, node_id, {_KIND} AS kind FROM r)
+SELECT * FROM k QUALIFY kind = 'content' OR NOT bool_or(kind = 'content') OVER (PARTITION BY retriever)""")
+def retriever_noise_filter(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.without_noise(_noisy(spark, d)).select("retriever", "query_id", "node_id", "kind")
+
+
+_STRIP = r"regexp_replace({0}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z', '', 'g')"
+
+
+@query("SELECT conv_id, turn, " + _STRIP.format("regexp_replace(" + _STRIP.format("regexp_replace(" + _STRIP.format("CASE turn % 3 WHEN 0 THEN ' Summary: ' || text WHEN 1 THEN 'The FACTS show:' || text || ' End of Text ' ELSE text END") + f", '{T.OPENING}', '')") + f", '{T.CLOSING}', '')") + " AS core FROM conversations")
+def core_content(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("turn") % 3
+    text = F.when(m == 0, F.concat(F.lit(" Summary: "), "text")).when(m == 1, F.concat(F.lit("The FACTS show:"), "text", F.lit(" End of Text "))).otherwise(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.core_content(text).alias("core"))
+
+
+@query("WITH s AS (SELECT doc_id AS node_id, 0.9 + (doc_id % 40) / 1000.0::DOUBLE AS score FROM documents)" + _RANK)
+def flat_rescore(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.ranked(table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), (0.9 + (F.col("doc_id") % 40) / 1000.0).alias("score")), 10)
+
+
+@query()
+def greedy_result_dedup(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text", "source")
+    return fusion.greedy_dedup(_vectors_each(spark, d, "cosine", 15).join(docs, "node_id"))
 
 
 @query("""SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn, text)) AS fingerprint FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")
@@ -207,6 +250,18 @@ _E = _T + ", e AS (SELECT DISTINCT subject AS source, upper(replace(predicate, '
 _N = _T + ", n AS (SELECT name, min(type) AS type FROM (SELECT subject AS name, subject_type AS type FROM t UNION ALL SELECT obj, obj_type FROM t) GROUP BY name)"
 
 
+@query(r"""SELECT conv_id, turn, CASE WHEN s = '' THEN 'unknown' ELSE s END AS id FROM (SELECT conv_id, turn,
+ trim(regexp_replace(translate(regexp_replace(coalesce(text, ''), '[\x00-\x1f\x7f]', '', 'g'), '/#?', ''), '\s+', ' ', 'g')) AS s FROM conversations)""")
+def sanitized_node_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", T.node_id(F.col("text"), "/#?").alias("id"))
+
+
+@query(r"""WITH k AS (SELECT trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS key FROM part)
+SELECT split_part(key, ' ', 1) AS first, count(DISTINCT key) AS full_names FROM k WHERE contains(key, ' ') GROUP BY 1 HAVING count(DISTINCT key) > 1""")
+def ambiguous_first_names(spark: SparkSession, d: str) -> DataFrame:
+    return graph.ambiguous_first_names(table(spark, d, "part").select(T.normalized_key(F.col("p_type")).alias("key")))
+
+
 @query(_T + " SELECT * FROM t")
 def kg_triples(spark: SparkSession, d: str) -> DataFrame:
     return _triples(spark, d)
@@ -322,20 +377,37 @@ def sync_gap_status(spark: SparkSession, d: str) -> DataFrame:
     return sync.sync_gap(_state(spark, d))
 
 
-@query("SELECT sha256(text) AS content_hash, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS doc_ids FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
+@query("""SELECT doc_id, sha256(text) AS content_hash, min(doc_id) OVER w AS first, count(*) OVER w AS n FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY text) QUALIFY n > 1""")
 def duplicate_contents(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("content_hash"))
-    x = x.agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("ids")).where("n > 1")
-    return x.select("content_hash", "n", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("doc_ids"))
+    return sync.duplicates(table(spark, d, "documents"))
+
+
+@query("SELECT source AS config_id, count(*) AS documents, count(quality) AS with_source_id, round(100.0 * count(quality) / count(*), 2) AS cloud_pct FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def cloud_source_pct(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("source_id"))
+    return sync.source_share(table(spark, d, "documents").select("doc_id", F.col("source").alias("config_id")).join(labels, "doc_id", "left"))
+
+
+@query(_SNAP + " SELECT CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN w.doc_id IS NULL THEN 'delete' WHEN o.content_hash <> w.content_hash THEN 'update' ELSE 'none' END AS action, count(*) AS n FROM o FULL JOIN w ON o.doc_id = w.doc_id GROUP BY 1")
+def update_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return snapshot_diff(spark, d).groupBy("action").agg(F.count("*").alias("n"))
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", "ts", F.col("event_type").alias("kind"), "value", F.col("user_id").cast("string").alias("path"))
 
 
-@query("SELECT event_id, ts, kind, value, path FROM (SELECT event_id, ts, event_type AS kind, value, CAST(user_id AS VARCHAR) AS path, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events) WHERE g IS NULL OR g > 60000000")
+@query("""WITH e AS (SELECT event_id, ts, CASE WHEN event_type = 'signup' THEN 'CREATE' ELSE 'UPDATE' END AS kind, CAST(user_id AS VARCHAR) AS path, epoch_us(ts) AS us FROM events),
+ m AS (SELECT *, last_value(CASE WHEN kind = 'CREATE' THEN us END IGNORE NULLS) OVER (PARTITION BY path ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS made FROM e)
+SELECT event_id, ts, kind, path FROM m WHERE kind <> 'UPDATE' OR made IS NULL OR us - made >= 3600000000""")
 def burst_debounce(spark: SparkSession, d: str) -> DataFrame:
-    return sync.burst_collapse(_events(spark, d), 60)
+    kind = F.when(F.col("kind") == "signup", "CREATE").otherwise("UPDATE")
+    return sync.burst_collapse(_events(spark, d).select("event_id", "ts", kind.alias("kind"), "path"), 3600)
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_config_extract(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
 @query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -351,3 +423,93 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type AS kind, le, count(*) FILTER (WHERE value <= le) AS n FROM events, (VALUES (50), (100), (200), (500), (1000), (2000), (5000), (10000)) AS b(le) GROUP BY 1, 2")
 def latency_histogram(spark: SparkSession, d: str) -> DataFrame:
     return metrics.histogram(_events(spark, d))
+
+
+@query(_N + ", e AS (SELECT DISTINCT subject AS source, upper(replace(predicate, ' ', '_')) AS label, obj AS target FROM t) SELECT 'node' AS kind, type AS label, count(*) AS n FROM n GROUP BY type UNION ALL SELECT 'edge', label, count(*) FROM e GROUP BY label")
+def kg_counts(spark: SparkSession, d: str) -> DataFrame:
+    t = _triples(spark, d)
+    return graph.counts(graph.nodes(t), graph.edges(t))
+
+
+@query(_T + " SELECT subject_type, predicate, obj_type, count(*) AS n FROM t GROUP BY ALL")
+def validation_schema(spark: SparkSession, d: str) -> DataFrame:
+    return graph.observed_schema(_triples(spark, d))
+
+
+@query(_E + """, b AS (SELECT source AS node, 'out' AS direction, label, target AS other FROM e UNION ALL SELECT target, 'in', label, source FROM e)
+SELECT * FROM b WHERE contains(lower(node), 'nation:1') AND label IN ('LOCATED_IN', 'PART_OF')""")
+def entity_onehop_inout(spark: SparkSession, d: str) -> DataFrame:
+    return graph.one_hop(graph.edges(_triples(spark, d)), "NATION:1", ["LOCATED_IN", "PART_OF"])
+
+
+def _own_triples(spark: SparkSession, d: str) -> DataFrame:
+    """The triples, each of its subject's document."""
+    return _triples(spark, d).withColumn("doc_id", F.col("subject"))
+
+
+_M = _N + ", m AS (SELECT subject AS doc_id, subject AS name FROM t UNION SELECT subject, obj FROM t)"
+_LEFT = _M + ", gone AS (SELECT 'Customer:' || c_custkey AS doc_id FROM customer WHERE c_acctbal < 0), l AS (SELECT name, type FROM n WHERE name IN (SELECT name FROM m WHERE doc_id NOT IN (SELECT doc_id FROM gone)))"
+
+
+def _gone(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").where("c_acctbal < 0").select(F.concat(F.lit("Customer:"), F.col("c_custkey").cast("string")).alias("doc_id"))
+
+
+def _nodes_left(spark: SparkSession, d: str) -> DataFrame:
+    t = _own_triples(spark, d)
+    return graph.without_documents(graph.nodes(t), graph.mentions(t), _gone(spark, d))
+
+
+@query(_M + " SELECT * FROM m")
+def kg_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return graph.mentions(_own_triples(spark, d))
+
+
+@query(_LEFT + " SELECT * FROM l")
+def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes_left(spark, d)
+
+
+@query(_LEFT + ", e AS (SELECT DISTINCT subject AS source, upper(replace(predicate, ' ', '_')) AS label, obj AS target FROM t) SELECT * FROM e WHERE source IN (SELECT name FROM l) AND target IN (SELECT name FROM l)")
+def dangling_edge_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return graph.without_dangling(graph.edges(_triples(spark, d)), _nodes_left(spark, d))
+
+
+@query(r"""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) ELSE p_type END AS name FROM part), k AS (SELECT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key, name, count(*) AS t FROM p GROUP BY ALL),
+ c AS (SELECT key, arg_max(name, (t, length(name))) AS canonical FROM k GROUP BY key) SELECT 'Part:' || p_partkey AS subject, 'of type' AS predicate, canonical AS obj FROM p JOIN c ON c.key = trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'))""")
+def resolved_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    name = F.when(F.col("p_partkey") % 3 == 0, F.lower("p_type")).otherwise(F.col("p_type"))
+    t = table(spark, d, "part").select(F.concat(F.lit("Part:"), F.col("p_partkey").cast("string")).alias("subject"), F.lit("of type").alias("predicate"), name.alias("obj"))
+    names = t.select(T.normalized_key(F.col("obj")).alias("key"), F.col("obj").alias("name"))
+    to = names.distinct().join(graph.canonical_names(names), "key").select("name", "canonical")
+    return graph.rewritten(t, to).select("subject", "predicate", "obj")
+
+
+@query(_RDF + f""" SELECT a.s AS x, a.o AS place, b.o AS bought FROM rdf a LEFT JOIN rdf b ON b.s = a.s AND b.p = '{graph.ONTOLOGY}placed'
+WHERE a.p IN ('{graph.ONTOLOGY}located_in', '{graph.ONTOLOGY}part_of') AND NOT contains(a.o, 'region_0')""")
+def bgp_optional_union(spark: SparkSession, d: str) -> DataFrame:
+    rdf = graph.to_rdf(_triples(spark, d))
+    there = graph.either(graph.match(rdf, [("?x", graph.ONTOLOGY + "located_in", "?place")]), graph.match(rdf, [("?x", graph.ONTOLOGY + "part_of", "?place")]))
+    return graph.optional(there.where(~F.contains("place", F.lit("region_0"))), graph.match(rdf, [("?x", graph.ONTOLOGY + "placed", "?bought")]))
+
+
+@query(_RDF + r""" SELECT '<' || s || '> ' || CASE WHEN regexp_matches(p, '^(rdf|rdfs|owl|xsd):') THEN p ELSE '<' || p || '>' END || ' ' ||
+ CASE WHEN is_iri THEN '<' || o || '>' ELSE '"' || replace(replace(o, '\', '\\'), '"', '\"') || '"' END || ' .' AS line FROM rdf""")
+def turtle_lines(spark: SparkSession, d: str) -> DataFrame:
+    return graph.turtle(graph.to_rdf(_triples(spark, d)))
+
+
+@query("""SELECT 'Customer:' || o_custkey AS subject, 'placed' AS predicate, 'Order:' || o_orderkey AS obj, unnest(['o_orderkey', 'o_orderstatus', 'o_orderpriority']) AS prop,
+ unnest([CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority]) AS value, unnest(['xsd:integer', 'xsd:string', 'xsd:string']) AS datatype FROM orders""")
+def rdf_flat_annotations(spark: SparkSession, d: str) -> DataFrame:
+    named = lambda c, n: F.concat(F.lit(n), F.col(c).cast("string"))
+    t = table(spark, d, "orders").select("*", named("o_custkey", "Customer:").alias("subject"), F.lit("placed").alias("predicate"), named("o_orderkey", "Order:").alias("obj"))
+    return graph.annotations(t, ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+
+
+@query(_RDF + f""", r AS (SELECT * FROM rdf UNION ALL SELECT '{graph.BASE}customer_' || c_custkey, '{graph.ONTOLOGY}ref_doc_id', CAST(c_nationkey AS VARCHAR), false FROM customer)
+SELECT * FROM r WHERE s NOT IN (SELECT s FROM r WHERE p = '{graph.ONTOLOGY}ref_doc_id' AND o IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 0))""")
+def rdf_delete_doc(spark: SparkSession, d: str) -> DataFrame:
+    refs = table(spark, d, "customer").select(F.concat(F.lit(graph.BASE + "customer_"), F.col("c_custkey").cast("string")).alias("s"), F.lit(graph.ONTOLOGY + "ref_doc_id").alias("p"), F.col("c_nationkey").cast("string").alias("o"), F.lit(False).alias("is_iri"))
+    gone = table(spark, d, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("doc_id"))
+    return graph.rdf_without_documents(graph.to_rdf(_triples(spark, d)).unionByName(refs), gone)

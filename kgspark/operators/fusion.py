@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kgspark.functions.text import is_entity_stub, is_relation_line
+from kgspark.functions.text import core_content, is_entity_stub, is_query_step, is_relation_line
 
 
 def labelled(results: dict[str, DataFrame]) -> DataFrame:
@@ -51,8 +52,58 @@ def ranked(results: DataFrame, k: int) -> DataFrame:
     return x.withColumn("score", F.when((F.col("high") - F.col("low") < 0.05) & (F.col("high") > 0), even).otherwise(F.col("score"))).drop("n", "low", "high")
 
 
+def kind_of(t: Column) -> Column:
+    """What a result's text is: step (a query or its raw result), relation line, entity stub or content."""
+    return F.when(is_query_step(t), "step").when(is_relation_line(t), "relation").when(is_entity_stub(t), "stub").otherwise("content")
+
+
 def noise_kinds(results: DataFrame) -> DataFrame:
-    """Results with a text and no negative score, each marked as relation line, entity stub or content."""
-    kept = results.where("score is not null and score >= 0 and trim(text) <> ''")
-    t = F.col("text")
-    return kept.withColumn("kind", F.when(is_relation_line(t), "relation").when(is_entity_stub(t), "stub").otherwise("content"))
+    """Results with a text and no negative or missing score, each with its kind; a score of 0 is the least of a scale and stays."""
+    return results.where("score >= 0 and trim(text) <> ''").withColumn("kind", kind_of(F.col("text")))
+
+
+def without_noise(results: DataFrame) -> DataFrame:
+    """By retriever, the results of kind content; all of a retriever that has no other than noise."""
+    some = F.max(F.col("kind") == "content").over(W.partitionBy("retriever"))
+    return results.withColumn("kind", kind_of(F.col("text"))).withColumn("some", some).where((F.col("kind") == "content") | ~F.col("some")).drop("some")
+
+
+def graph_results(results: DataFrame) -> DataFrame:
+    """Of a graph's results by query_id: content with a score above 0 if there is any, else all content, else all that is not blank."""
+    x = results.where("trim(text) <> ''").withColumn("rank", F.when(kind_of(F.col("text")) != "content", 0).when(F.col("score") > 0, 2).otherwise(1))
+    return x.withColumn("best", F.max("rank").over(W.partitionBy("query_id"))).where("rank = best").drop("rank", "best")
+
+
+def greedy_dedup(results: DataFrame, k: int = 15) -> DataFrame:
+    """The k best results (query_id, node_id, score, text, source) of each query less those that repeat a better one kept.
+
+    A result repeats another with its node_id; with the same first 300 characters of core content in lower case; of the
+    same source, where these are over 50 characters and share over 0.7 of their words; or, if it holds '->' and the
+    other, of over 50 characters, does not, where their core contents share over 0.6 of their words. As what was kept
+    decides, a query's k rows are gone through in order; the rank within a query is cut to k before they meet.
+    """
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))
+    top = results.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("core", core_content(F.col("text")))
+
+    def alike(a: str, b: str) -> float:
+        x, y = set(a.split()), set(b.split())
+        return len(x & y) / len(x | y) if x | y else 0.0
+
+    def first_of_each(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = []
+        for i, r in pdf.sort_values("rank").iterrows():
+            text, core, source = (r[c] or "" for c in ("text", "core", "source"))
+            mark, arrow = core[:300].strip().lower(), "->" in text
+            for node, other_mark, other_source, other_core, other_arrow, _ in kept:
+                if node == r["node_id"] or mark == other_mark:
+                    break
+                if source == other_source and min(len(mark), len(other_mark)) > 50 and alike(mark, other_mark) > 0.7:
+                    break
+                if arrow and not other_arrow and len(other_core) > 50 and alike(core, other_core) > 0.6:
+                    break
+            else:
+                kept.append((r["node_id"], mark, source, core, arrow, i))
+        return pdf.loc[[x[-1] for x in kept], ["query_id", "rank", "node_id", "score"]]
+
+    kinds = dict(top.dtypes)
+    return top.groupBy("query_id").applyInPandas(first_of_each, f"query_id {kinds['query_id']}, rank int, node_id {kinds['node_id']}, score {kinds['score']}")

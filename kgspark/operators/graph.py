@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -25,9 +27,15 @@ def relational_triples(customer: DataFrame, orders: DataFrame, nation: DataFrame
     return x.unionByName(triples(orders, "o_custkey", "Customer", "placed", "o_orderkey", "Order"))
 
 
+def _either(first: tuple[str, str], second: tuple[str, str], a: str, b: str) -> Column:
+    """Two rows (x.a, x.b) of each row: one of the first two columns, one of the second two. Reads its input once, as a union would not."""
+    pair = lambda c: F.struct(F.col(c[0]).alias(a), F.col(c[1]).alias(b))
+    return F.explode(F.array(pair(first), pair(second))).alias("x")
+
+
 def nodes(triples: DataFrame) -> DataFrame:
     """(name, type): each end of a triple once, the smallest type where they differ."""
-    ends = triples.select(F.col("subject").alias("name"), F.col("subject_type").alias("type")).unionByName(triples.select(F.col("obj").alias("name"), F.col("obj_type").alias("type")))
+    ends = triples.select(_either(("subject", "subject_type"), ("obj", "obj_type"), "name", "type")).select("x.*")
     return ends.where("trim(name) <> ''").groupBy("name").agg(F.min("type").alias("type"))
 
 
@@ -46,13 +54,13 @@ def degrees(e: DataFrame) -> DataFrame:
 
 def neighbourhood(e: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """(name, hop): nodes within so many undirected steps of the seeds (name), at the fewest. hops is small and fixed."""
-    both = e.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(e.select(F.col("target").alias("a"), F.col("source").alias("b")))
-    seen = last = seeds.select("name", F.lit(0).alias("hop")).distinct()
+    both = e.select(_either(("source", "target"), ("target", "source"), "name", "other")).select("x.*")
+    last = seeds.select("name").distinct()
+    found = [last.withColumn("hop", F.lit(0))]
     for hop in range(1, hops + 1):
-        last = both.join(last, both["a"] == last["name"], "left_semi").select(F.col("b").alias("name")).distinct()
-        last = last.join(seen, "name", "left_anti").select("name", F.lit(hop).alias("hop"))
-        seen = seen.unionByName(last)
-    return seen
+        last = both.join(last, "name", "left_semi").select(F.col("other").alias("name")).distinct()
+        found.append(last.withColumn("hop", F.lit(hop)))
+    return reduce(DataFrame.unionByName, found).groupBy("name").agg(F.min("hop").alias("hop"))
 
 
 def valid(triples: DataFrame, schema: DataFrame) -> DataFrame:
@@ -72,20 +80,27 @@ def canonical_names(names: DataFrame) -> DataFrame:
 def to_rdf(triples: DataFrame) -> DataFrame:
     """(s, p, o, is_iri): type and label of every node, and the relations."""
     iri = lambda c: F.concat(F.lit(BASE), slug(F.col(c)))
-    n = nodes(triples).withColumn("s", iri("name"))
-    rows = F.explode(F.array(
-        F.struct(F.lit("rdf:type").alias("p"), F.concat(F.lit(ONTOLOGY), F.col("type")).alias("o"), F.lit(True).alias("is_iri")),
-        F.struct(F.lit("rdfs:label").alias("p"), F.col("name").alias("o"), F.lit(False).alias("is_iri")),
-    ))
-    about = n.select("s", rows.alias("x")).select("s", "x.*")
+    # a union of literal predicates, so that a pattern's predicate leaves the scans of all others out
+    n = nodes(triples)
+    kinds = n.select(iri("name").alias("s"), F.lit("rdf:type").alias("p"), F.concat(F.lit(ONTOLOGY), F.col("type")).alias("o"), F.lit(True).alias("is_iri"))
+    names = n.select(iri("name").alias("s"), F.lit("rdfs:label").alias("p"), F.col("name").alias("o"), F.lit(False).alias("is_iri"))
     e = triples.select(iri("subject").alias("s"), F.concat(F.lit(ONTOLOGY), slug(F.col("predicate"))).alias("p"), iri("obj").alias("o"), F.lit(True).alias("is_iri"))
-    return about.unionByName(e).distinct()
+    return kinds.unionByName(names).unionByName(e).distinct()
 
 
 def match(rdf: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
-    """Solutions of a basic graph pattern: terms that start with ? are variables, joined where they repeat."""
-    found = None
-    for pattern in patterns:
+    """Solutions of a basic graph pattern: terms that start with ? are variables, joined where they repeat.
+
+    Patterns are taken in an order in which each shares a variable with those before it; if there is none, ValueError.
+    A pattern of constants alone keeps the solutions if the triple is there.
+    """
+    found, todo = None, sorted(patterns, key=lambda p: not any(t.startswith("?") for t in p))
+    while todo:
+        known = {f"?{c}" for c in found.columns} if found is not None else set()
+        pattern = next((p for p in todo if found is None or known & set(p) or not any(t.startswith("?") for t in p)), None)
+        if pattern is None:
+            raise ValueError(f"no variable is shared with {todo}")
+        todo.remove(pattern)
         part, names = rdf, {}
         for col, term in zip("spo", pattern, strict=True):
             if not term.startswith("?"):
@@ -94,7 +109,104 @@ def match(rdf: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
                 part = part.where(F.col(col) == F.col(names[term[1:]]))
             else:
                 names[term[1:]] = col
+        if not names:
+            part = part.select(F.lit(True).alias("_there")).limit(1)
+            found = part if found is None else found.crossJoin(F.broadcast(part)).drop("_there")
+            continue
         part = part.select(*[F.col(c).alias(n) for n, c in names.items()])
-        shared = [c for c in part.columns if found is not None and c in found.columns]
-        found = part if found is None else found.join(part, shared) if shared else found.crossJoin(part)
+        found = part if found is None else found.join(part, [c for c in part.columns if c in found.columns])
     return found
+
+
+def optional(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Solutions with what more adds to them, null where it has nothing; both share a variable."""
+    shared = [c for c in more.columns if c in found.columns]
+    if not shared:
+        raise ValueError("an optional part must share a variable")
+    return found.join(more, shared, "left")
+
+
+def either(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Solutions of either pattern; variables that one lacks are null."""
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+def one_hop(e: DataFrame, keyword: str, labels: list[str] | None = None) -> DataFrame:
+    """(node, direction, label, other): edges out of and into the nodes whose name holds the keyword, whatever its case."""
+    e = e.where(F.col("label").isin(labels)) if labels else e
+    way = lambda a, b, name: F.struct(F.col(a).alias("node"), F.lit(name).alias("direction"), "label", F.col(b).alias("other"))
+    x = e.select(F.explode(F.array(way("source", "target", "out"), way("target", "source", "in"))).alias("x")).select("x.*")
+    return x.where(F.contains(F.lower("node"), F.lit(keyword.lower())))
+
+
+def counts(n: DataFrame, e: DataFrame) -> DataFrame:
+    """(kind, label, n): nodes of each type and edges of each label."""
+    x = n.groupBy(F.lit("node").alias("kind"), F.col("type").alias("label")).agg(F.count("*").alias("n"))
+    return x.unionByName(e.groupBy(F.lit("edge").alias("kind"), "label").agg(F.count("*").alias("n")))
+
+
+def observed_schema(triples: DataFrame) -> DataFrame:
+    """(subject_type, predicate, obj_type, n): what relations stand between what types, to check new triples against."""
+    return triples.groupBy("subject_type", "predicate", "obj_type").agg(F.count("*").alias("n"))
+
+
+def ambiguous_first_names(keys: DataFrame) -> DataFrame:
+    """(first, full_names) of normalized keys (key): first words that more than one longer name starts with. These never merge by themselves."""
+    k = keys.where(F.contains("key", F.lit(" "))).select(F.substring_index("key", " ", 1).alias("first"), "key")
+    return k.groupBy("first").agg(F.count_distinct("key").alias("full_names")).where("full_names > 1")
+
+
+def rewritten(triples: DataFrame, names: DataFrame) -> DataFrame:
+    """Triples with both ends renamed by names (name, canonical; each name once); others stay."""
+    for end in ("subject", "obj"):
+        to = names.select(F.col("name").alias(end), F.col("canonical").alias("_to"))
+        triples = triples.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    return triples
+
+
+def mentions(triples: DataFrame) -> DataFrame:
+    """(doc_id, name): what entities each document's triples (doc_id, subject, obj) name."""
+    x = triples.select("doc_id", F.explode(F.array("subject", "obj")).alias("name"))
+    return x.where("trim(name) <> ''").distinct()
+
+
+def without_documents(n: DataFrame, named: DataFrame, gone: DataFrame) -> DataFrame:
+    """Nodes left when documents (doc_id) go: all but those that only these mention. Mentions without doc_id count as another document's."""
+    others = named.join(gone, "doc_id", "left_anti").select("name").distinct()
+    orphans = named.join(gone, "doc_id", "left_semi").select("name").distinct().join(others, "name", "left_anti")
+    return n.join(orphans, "name", "left_anti")
+
+
+def without_dangling(e: DataFrame, n: DataFrame) -> DataFrame:
+    """Edges of which both ends are there."""
+    name = n.select("name").distinct()
+    return e.join(name.withColumnRenamed("name", "source"), "source", "left_semi").join(name.withColumnRenamed("name", "target"), "target", "left_semi")
+
+
+def rdf_without_documents(rdf: DataFrame, gone: DataFrame) -> DataFrame:
+    """Triples left when documents (doc_id) go: all triples of subjects that refer to one by ref_doc_id, and of the
+    blank nodes and urn: subjects that speak of such a subject."""
+    refers = rdf.where(F.col("p") == ONTOLOGY + "ref_doc_id").select("s", F.col("o").alias("doc_id"))
+    subjects = refers.join(gone.select(F.col("doc_id").cast("string")), "doc_id", "left_semi").select("s").distinct()
+    about = rdf.where(F.startswith("s", F.lit("_:")) | F.startswith("s", F.lit("urn:"))).select(F.col("s").alias("by"), F.col("o").alias("s"))
+    reifiers = about.join(subjects, "s", "left_semi").select(F.col("by").alias("s"))
+    return rdf.join(subjects.unionByName(reifiers).distinct(), "s", "left_anti")
+
+
+def annotations(triples: DataFrame, properties: list[str]) -> DataFrame:
+    """(subject, predicate, obj, prop, value, datatype): a row for each property of a triple that is not null, with its XSD type."""
+    xsd = {"boolean": "xsd:boolean", "tinyint": "xsd:integer", "smallint": "xsd:integer", "int": "xsd:integer", "bigint": "xsd:integer", "float": "xsd:decimal", "double": "xsd:decimal", "date": "xsd:date", "timestamp": "xsd:dateTime"}
+    kinds = dict(triples.dtypes)
+    each = [F.struct(F.lit(c).alias("prop"), F.col(c).cast("string").alias("value"), F.lit(xsd.get(kinds[c], "xsd:decimal" if kinds[c].startswith("decimal") else "xsd:string")).alias("datatype")) for c in properties]
+    x = triples.select("subject", "predicate", "obj", F.explode(F.array(*each)).alias("x")).select("subject", "predicate", "obj", "x.*")
+    return x.where("value is not null")
+
+
+def turtle(rdf: DataFrame) -> DataFrame:
+    """(line): each triple as a line of Turtle; prefixed names stay, other names are set in angle brackets, literals in quotes."""
+    name = lambda c: F.when(F.col(c).rlike("^(rdf|rdfs|owl|xsd):"), F.col(c)).otherwise(F.concat(F.lit("<"), F.col(c), F.lit(">")))
+    literal = F.col("o")
+    for sign, escape in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        literal = F.replace(literal, F.lit(sign), F.lit(escape))
+    o = F.when(F.col("is_iri"), name("o")).otherwise(F.concat(F.lit('"'), literal, F.lit('"')))
+    return rdf.select(F.concat(name("s"), F.lit(" "), name("p"), F.lit(" "), o, F.lit(" .")).alias("line"))

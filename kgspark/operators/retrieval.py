@@ -52,24 +52,39 @@ def vector_topk_each(vectors: DataFrame, queries: DataFrame, k: int, metric: str
 
 def tokens(c: Column) -> Column:
     """Terms of a text, with repeats."""
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(node_id, score) of the documents (node_id, text) that hold a term.
+def postings(docs: DataFrame, terms: DataFrame | list[str] | None = None) -> DataFrame:
+    """(term, node_id, size, tf) of documents (node_id, text): all terms, or those given as a list or rows (term).
 
-    Only the query's terms are exploded, counted while documents are scanned; the corpus statistics are one row.
+    Terms are picked before anything is shuffled, if they are few; size is the number of terms of the whole text.
     """
+    words = docs.select("node_id", tokens(F.col("text")).alias("words"))
+    held = words.select("node_id", F.size("words").alias("size"), F.explode("words").alias("term"))
+    if isinstance(terms, DataFrame):
+        held = held.join(terms.select("term").distinct(), "term", "left_semi")
+    elif terms is not None:
+        held = held.where(F.col("term").isin(terms))
+    return held.groupBy("term", "node_id", "size").agg(F.count("*").alias("tf"))
+
+
+def doc_stats(docs: DataFrame) -> DataFrame:
+    """One row (n, mean): documents and terms of one with a text."""
     words = tokens(F.col("text"))
-    times = lambda w: F.size(F.filter(words, lambda t: t == w))
-    hits = docs.select("node_id", F.size(words).alias("size"), *[times(w).alias(f"tf{i}") for i, w in enumerate(terms)])
-    stats = hits.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        score = score + F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    some = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0
-    return hits.join(F.broadcast(stats)).where(some).select("node_id", F.round(score, 6).alias("score"))
+    return docs.agg(F.count("*").alias("n"), F.avg(F.when(F.col("text").isNotNull(), F.size(words))).alias("mean"))
+
+
+def gains(posted: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, node_id, gain): what each posting adds to its document's BM25 score."""
+    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+    gain = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    return posted.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "node_id", gain.alias("gain"))
+
+
+def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(node_id, score) of the documents (node_id, text) that hold a term."""
+    return gains(postings(docs, terms), doc_stats(docs)).groupBy("node_id").agg(F.round(F.sum("gain"), 6).alias("score"))
 
 
 def bm25_topk(docs: DataFrame, terms: list[str], k: int = 10) -> DataFrame:
@@ -79,13 +94,7 @@ def bm25_topk(docs: DataFrame, terms: list[str], k: int = 10) -> DataFrame:
 
 def bm25_topk_each(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """As bm25_topk for every row of queries (query_id, terms; each term counts once): query_id, node_id, score."""
-    words = docs.select("node_id", tokens(F.col("text")).alias("words")).withColumn("size", F.size("words"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.when(F.col("words").isNotNull(), F.col("size"))).alias("mean"))
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    held = words.select("node_id", "size", F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    held = held.groupBy("node_id", "size", "term").agg(F.count("*").alias("tf"))
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    gain = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    gain = held.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "node_id", gain.alias("gain"))
+    gain = gains(postings(docs, asked), doc_stats(docs))
     scores = gain.join(asked, "term").groupBy("query_id", "node_id").agg(F.round(F.sum("gain"), 6).alias("score"))
     return best_each(scores, k)

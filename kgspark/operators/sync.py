@@ -65,8 +65,20 @@ def sync_gap(state: DataFrame) -> DataFrame:
     return state.select("doc_id", gap.alias("gap"))
 
 
-def burst_collapse(events: DataFrame, seconds: int = 1) -> DataFrame:
-    """Events (path, ts, event_id) less those within so many seconds after the one before of the same path."""
-    w = W.partitionBy("path").orderBy("ts", "event_id")
-    before = F.lag("ts").over(w)
-    return events.withColumn("gap", F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))).where(F.col("gap").isNull() | (F.col("gap") > seconds * 1_000_000)).drop("gap")
+def burst_collapse(events: DataFrame, seconds: float = 1) -> DataFrame:
+    """Events (path, kind, ts, event_id) less each UPDATE within so many seconds after a CREATE of the same path."""
+    w = W.partitionBy("path").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    x = events.withColumn("made", F.last(F.when(F.col("kind") == "CREATE", at), ignorenulls=True).over(w))
+    return x.where((F.col("kind") != "UPDATE") | F.col("made").isNull() | (at - F.col("made") >= int(seconds * 1_000_000))).drop("made")
+
+
+def source_share(state: DataFrame) -> DataFrame:
+    """By config_id: documents, those with a source_id (of a cloud source) and their share in hundredths."""
+    return state.groupBy("config_id").agg(F.count("*").alias("documents"), F.count("source_id").alias("with_source_id"), F.round(100.0 * F.count("source_id") / F.count("*"), 2).alias("cloud_pct"))
+
+
+def duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, content_hash, first, n) of the documents (doc_id, text) whose text others have too: the smallest id with it, and how many have it."""
+    x = docs.where("text is not null").select("doc_id", content_hash().alias("content_hash"))
+    return x.join(x.groupBy("content_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "content_hash")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from kgspark.functions import text as T
 from kgspark.jobs import queries as core
-from kgspark.operators import chunking, graph, metrics, retrieval
+from kgspark.operators import chunking, fusion, graph, metrics, retrieval, sync
 from kgspark.streaming import rates
 
 FOLDER = "/root/testdata/sf0.001"
@@ -94,3 +94,66 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     want = metrics.window_rates(events.withColumn("ts", F.col("ts").cast("timestamp")))
     assert got.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_patterns_need_a_shared_variable(spark):
+    rdf = spark.createDataFrame([("a", "p", "b"), ("b", "q", "c"), ("d", "p", "e")], "s string, p string, o string")
+    chain = [("?x", "p", "?y"), ("?z", "r", "?w"), ("?y", "q", "?z")]
+    assert graph.match(rdf, chain[::2]).select("x", "y", "z").collect() == [("a", "b", "c")]
+    assert sorted(graph.match(rdf, [("a", "p", "b"), ("?x", "p", "?y")]).columns) == ["x", "y"]
+    assert graph.match(rdf, [("a", "p", "c"), ("?x", "p", "?y")]).count() == 0
+    assert graph.match(rdf, chain).count() == 0  # the second pattern waits for the third
+    with pytest.raises(ValueError):
+        graph.match(rdf, chain[:2])
+
+
+def test_what_speaks_of_a_document_goes_with_it(spark):
+    ref = graph.ONTOLOGY + "ref_doc_id"
+    rows = [("x", ref, "7"), ("x", "p", "y"), ("y", "p", "x"), ("_:1", "says", "x"), ("_:1", "when", "now"), ("urn:2", "says", "y"), ("z", "says", "x")]
+    left = graph.rdf_without_documents(spark.createDataFrame(rows, "s string, p string, o string"), spark.createDataFrame([(7,)], "doc_id long"))
+    assert {r.s for r in left.collect()} == {"y", "urn:2", "z"}
+
+
+def test_entities_of_several_documents_stay(spark):
+    named = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "b"), (None, "c"), ("1", "c")], "doc_id string, name string")
+    n = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "name string")
+    left = graph.without_documents(n, named, spark.createDataFrame([("1",)], "doc_id string"))
+    assert sorted(r.name for r in left.collect()) == ["b", "c", "d"]
+    e = spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")
+    assert [(r.source, r.target) for r in graph.without_dangling(e, left).collect()] == [("b", "c")]
+
+
+def test_updates_right_after_a_creation_are_dropped(spark):
+    rows = [(1, "a", "UPDATE", 0.0), (2, "a", "CREATE", 1.0), (3, "a", "UPDATE", 1.5), (4, "a", "UPDATE", 1.9), (5, "a", "UPDATE", 2.0), (6, "b", "UPDATE", 1.2), (7, "a", "CREATE", 2.1)]
+    events = spark.createDataFrame(rows, "event_id long, path string, kind string, t double").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+    assert sorted(r.event_id for r in sync.burst_collapse(events).collect()) == [1, 2, 5, 6, 7]
+
+
+def test_results_that_repeat_a_better_one_are_dropped(spark):
+    line = " ".join(f"word{i}" for i in range(20))
+    rows = [
+        (1, 10, 0.9, line, "s"), (1, 10, 0.8, "another text", "s"), (1, 11, 0.7, "Summary: " + line.upper(), "t"), (1, 12, 0.6, line + " more", "s"), (1, 13, 0.5, line + " more", "t"),
+        (1, 14, 0.4, line + " a -> b", "u"), (1, 15, 0.3, "short", "s"), (1, 16, 0.2, "Short", "u"), (1, 17, 0.1, None, "u"), (2, 12, 0.6, line + " more", "s"), (2, 18, 0.5, "beyond k", "s"),
+    ]
+    results = spark.createDataFrame(rows[:-1], "query_id long, node_id long, score double, text string, source string")
+    assert {(r.query_id, r.node_id) for r in fusion.greedy_dedup(results).collect()} == {(1, 10), (1, 13), (1, 15), (1, 17), (2, 12)}
+    two = spark.createDataFrame(rows[-2:], results.schema)
+    assert [r.node_id for r in fusion.greedy_dedup(two, 1).collect()] == [12]
+
+
+def test_postings_of_replaced_documents(spark):
+    docs = spark.createDataFrame([(1, "Red red fish"), (2, "blue; fish"), (3, None)], "node_id long, text string")
+    held = retrieval.postings(docs)
+    new = retrieval.postings(spark.createDataFrame([(2, "red")], docs.schema))
+    now = {(r.term, r.node_id, r.size, r.tf) for r in sync.replace_by_document(held, new, "node_id").collect()}
+    assert now == {("red", 1, 3, 2), ("fish", 1, 3, 1), ("red", 2, 1, 1)}
+
+
+@pytest.mark.parametrize(("text", "want"), [("  KEY facts: a b ", "a b"), ("a. End of text", "a."), ("end of text", ""), ("summary: summary: x", "summary: x"), (None, None)])
+def test_core_content(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(T.core_content(F.col("t"))).first()[0] == want
+
+
+@pytest.mark.parametrize(("name", "want"), [("Up\\Town  \t Hall\n", "Up\\Town Hall"), ("\x00 \x7f", "unknown"), (None, "unknown"), ("Köln #5", "Köln 5")])
+def test_node_id(spark, name, want):
+    assert spark.createDataFrame([(name,)], "n string").select(T.node_id(F.col("n"), "#")).first()[0] == want

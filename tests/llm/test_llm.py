@@ -3,10 +3,12 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
-from kgspark.llm import common, compact_windows, decontaminate, fingerprints, html_wrappers, minhash_dedup, mixing, quality, suffix_dedup, token_output, warc
+from kgspark.llm import common, compact_windows, decontaminate, fingerprints, html_wrappers, minhash_dedup, mixing, quality, queries, suffix_dedup, token_output, warc
 from kgspark.llm import shingles as shingles_mod
 from kgspark.llm.wavelet import WaveletMatrix
 
@@ -404,3 +406,14 @@ def test_pipeline_keeps_columns(spark, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "mixing", "token_output"]
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 0 and set(got.columns) == {"doc_id", "start", "n_tokens", "ids_crc32"}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    folder, duck = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages", "labels", "benchmark"):
+        duck.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, folder).toPandas(), duck.execute(queries.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda df: sorted(tuple(None if pd.isna(x) else str(x).removesuffix(".0") for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    assert len(got) > 0 and rows(got) == rows(want)

@@ -256,10 +256,10 @@ def sanitized_node_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", T.node_id(F.col("text"), "/#?").alias("id"))
 
 
-@query(r"""WITH k AS (SELECT trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS key FROM part)
+@query(r"""WITH k AS (SELECT trim(regexp_replace(lower(p_type || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS key FROM part)
 SELECT split_part(key, ' ', 1) AS first, count(DISTINCT key) AS full_names FROM k WHERE contains(key, ' ') GROUP BY 1 HAVING count(DISTINCT key) > 1""")
 def ambiguous_first_names(spark: SparkSession, d: str) -> DataFrame:
-    return graph.ambiguous_first_names(table(spark, d, "part").select(T.normalized_key(F.col("p_type")).alias("key")))
+    return graph.ambiguous_first_names(table(spark, d, "part").select(T.normalized_key(F.concat_ws(" ", "p_type", "p_brand")).alias("key")))
 
 
 @query(_T + " SELECT * FROM t")

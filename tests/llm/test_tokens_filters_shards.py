@@ -1,12 +1,14 @@
 import hashlib
 import random
+import re
 from collections import Counter
-from itertools import accumulate
+from itertools import accumulate, permutations
 
-import pytest
+import duckdb
 import public_tokenizers
+import pytest
 
-from kgspark.llm import token_alignment
+from kgspark.llm import filter_audit, queries, token_alignment
 
 A, B = (str(public_tokenizers.path(p)) for p in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 DOCS = "doc_id long, text string, lang string, pair string, row string, links string"
@@ -90,3 +92,63 @@ def test_beyond_the_broadcast_pairs_are_joined(spark, texts, monkeypatch):
     want = sorted(map(tuple, token_alignment.link_strengths(docs, A, B).collect()))
     monkeypatch.setattr(token_alignment, "BROADCAST_PAIRS", 1)
     assert sorted(map(tuple, token_alignment.link_strengths(docs, A, B).collect())) == want
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["op12_filter_audit"])
+def test_query_equals_sql(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "labels"):
+        duck.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, FOLDER).toPandas(), duck.execute(queries.ORACLES[name]).df()
+    assert len(got) == len(want) > 0
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    plain = lambda df: sorted(tuple(str(v) for v in r) for r in df[cols].itertuples(index=False))
+    assert plain(got) == plain(want)
+
+
+def fails(rows):
+    """The letters of each row's failed filters, one text at a time."""
+    out = []
+    for i, text, *_ in rows:
+        text = text or ""
+        w = [x for x in re.split(r"[ \t-\r]+", text) if x]
+        checks = [len(w) < 100, 100 * len(set(w)) < 80 * len(w), 100 * len(re.findall("[A-Z]", text)) > 10 * len(text), bool(re.search("[#$%&*|]", text))]
+        copy = i is not None and any(j is not None and j < i and (t or "") == text for j, t, *_ in rows)
+        out.append({f for f, bad in zip("ABCDE", [*checks, copy], strict=True) if bad})
+    return out
+
+
+def test_audit_equals_filters_one_after_another(spark):
+    rng = random.Random(1)
+    long = " ".join(f"w{i}" for i in range(120))
+    kinds = [None, "", "short", long, long, "A " * 130, long + " #", long.upper(), "x" * 5000, "a b " * 80, long + "\u00a0&"]
+    rows = [(i if rng.random() < 0.9 else rng.choice([None, 3]), rng.choice(kinds), rng.choice([None, "", "en", "de"]), "p", "r", "l") for i in range(90)]
+    labels = [(i, rng.choice([0, 1, None]), rng.choice([0, 1])) for i in range(0, 90, 2)] + [(4, 1, 0), (4, 0, 1), (None, 1, 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {(r.part, r.filter_order, r.step): tuple(r)[3:] for r in filter_audit.interactions(docs.repartition(4), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    failing = fails(rows)
+    good, toxic = ({i for i, *v in labels if i is not None and v[k] == 1} for k in (0, 1))
+    want, value = {}, Counter()
+    for part in {r[2] or "" for r in rows}:
+        own = [k for k, r in enumerate(rows) if (r[2] or "") == part]
+        for order in permutations("ABCDE"):
+            alive = list(own)
+            for step, f in enumerate(order, 1):
+                gone = [k for k in alive if f in failing[k]]
+                alive = [k for k in alive if f not in failing[k]]
+                fell = [k for k in own if f in failing[k]]
+                value[part, f] += len(gone)
+                want[part, "".join(order), step] = (
+                    len(alive), len(gone), len(fell) - len(gone), sum(failing[k] == {f} for k in own), sum(rows[k][0] in good for k in gone), sum(rows[k][0] in toxic for k in gone)
+                )
+    want = {k: (*v, value[k[0], k[1][k[2] - 1]]) for k, v in want.items()}
+    assert got == want
+    assert filter_audit.interactions(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+    left = sorted(str(r.doc_id) for r in filter_audit.survivors(docs, "BED").collect())
+    assert left == sorted(str(r[0]) for r, f in zip(rows, failing, strict=True) if not f & set("BED"))
+    ids = filter_audit.failing_ids(filter_audit.audited(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    assert {f: df.count() for f, df in ids.items()} == {f: sum(f in x for x in failing) for f in "ABCDE"}

@@ -86,7 +86,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_dedup, op3_imatch_fingerprints, op4_source_mixing, op5_html_wrappers, op6_warc, op7_compact_windows, op8_cgk_decontamination, op9_token_output, op10_quality_classifier, op11_token_alignment, op12_filter_audit)}
+def op13_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kgspark.llm.sharding import shards
+
+    return shards(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_dedup, op3_imatch_fingerprints, op4_source_mixing, op5_html_wrappers, op6_warc, op7_compact_windows, op8_cgk_decontamination, op9_token_output, op10_quality_classifier, op11_token_alignment, op12_filter_audit, op13_sampled_splitters)}
 ORACLES: dict[str, str] = {
     "op6_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
  f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
@@ -106,4 +112,11 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM q""",
+    "op13_sampled_splitters": """WITH z AS (SELECT list(v ORDER BY i) AS z FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) AS r(i))),
+ d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, left(md5(coalesce(text, '')), 15) AS key, coalesce(text, '') AS t FROM documents),
+ o AS (SELECT *, row_number() OVER w - 1 AS place, CAST(sum(size) OVER w AS BIGINT) AS till, CAST(sum(size) OVER () AS BIGINT) AS total FROM d WINDOW w AS (ORDER BY key, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+ s AS (SELECT *, least((2 * till - size) * 40 // (2 * total), 39) AS own FROM o),
+ g AS (SELECT *, CAST(sum(size) OVER k AS BIGINT) AS every, max(till) OVER k AS upto, min(own) OVER k < max(own) OVER k AS parted FROM s WINDOW k AS (PARTITION BY key)),
+ m AS (SELECT *, CASE WHEN parted AND every * 8000 <= total THEN least((2 * upto - every) * 40 // (2 * total), 39) ELSE own END AS shard FROM g)
+SELECT doc_id, size, 4294967295 - list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: xor(z[1 + xor(c & 255, b)], c >> 8)) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, CAST(place - min(place) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM m, z""",
 }

@@ -1,14 +1,16 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 from itertools import accumulate, permutations
 
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from kgspark.llm import filter_audit, queries, token_alignment
+from kgspark.llm import filter_audit, queries, sharding, token_alignment
 
 A, B = (str(public_tokenizers.path(p)) for p in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 DOCS = "doc_id long, text string, lang string, pair string, row string, links string"
@@ -97,7 +99,7 @@ def test_beyond_the_broadcast_pairs_are_joined(spark, texts, monkeypatch):
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op12_filter_audit"])
+@pytest.mark.parametrize("name", ["op12_filter_audit", "op13_sampled_splitters"])
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
     for t in ("documents", "labels"):
@@ -106,7 +108,7 @@ def test_query_equals_sql(spark, name):
     assert len(got) == len(want) > 0
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
-    plain = lambda df: sorted(tuple(str(v) for v in r) for r in df[cols].itertuples(index=False))
+    plain = lambda df: sorted(tuple(str(v) for v in r) for r in df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False))
     assert plain(got) == plain(want)
 
 
@@ -152,3 +154,61 @@ def test_audit_equals_filters_one_after_another(spark):
     assert left == sorted(str(r[0]) for r, f in zip(rows, failing, strict=True) if not f & set("BED"))
     ids = filter_audit.failing_ids(filter_audit.audited(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
     assert {f: df.count() for f, df in ids.items()} == {f: sum(f in x for x in failing) for f in "ABCDE"}
+
+
+def check_shards(rows, got, n):
+    """Each row once, slots without gaps, sizes and hashes right; returns size and number of rows by shard."""
+    kinds = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == kinds
+    slots, sizes = {}, Counter()
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+        sizes[r.shard] += r.size
+        assert 0 <= r.shard < n and r.grown_shard is None
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    return sizes, {k: len(v) for k, v in slots.items()}
+
+
+def test_shards_are_even_and_keep_small_groups(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(rng.randint(1, 60))) for _ in range(700)]
+    rows = [(i, t, "", "", "", "") for i, t in enumerate(texts + texts[:60] * 2 + ["hot"] * 400 + [None, "", "x" * 3000])]
+    rows += [(7, "same row", "", "", "", "")] * 300 + [(None, "no id", "", "", "", "")] * 5
+    rng.shuffle(rows)
+    monkeypatch.setattr(sharding, "GROUP_PARTS", 10)
+    docs, n = spark.createDataFrame(rows, DOCS), 8
+    got = sharding.shards(docs.repartition(5), n).collect()
+    sizes, _ = check_shards(rows, got, n)
+    mean = sum(sizes.values()) / n
+    assert all(abs(v - mean) <= 3100 / 2 + mean / 5 for v in sizes.values())
+    by_text, held = {}, Counter()
+    for r in got:
+        by_text.setdefault(r.text_crc32, set()).add(r.shard)
+        held[r.text_crc32] += r.size
+    assert all(len(by_text[k]) == 1 for k, v in held.items() if v <= mean / 10)
+    assert len(by_text[zlib.crc32(b"hot")]) > 1  # 400 copies of one text are more than a shard's share of a tenth
+    again = sharding.shards(docs.repartition(2), n).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    _, counts = check_shards(rows, sharding.shards(docs, n, "rows").collect(), n)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    assert sharding.shards(docs.limit(0)).count() == 0
+    few = sharding.shards(spark.createDataFrame(rows[:3], DOCS)).collect()
+    check_shards(rows[:3], few, 40)
+
+
+def test_an_overfull_range_is_divided(spark):
+    rows = [(i, f"text {i}") for i in range(200)] + [(5, "text 5")] * 3000
+    m = sharding.staged(sharding.measured(spark.createDataFrame(rows, "doc_id long, text string")), "m").withColumn("weight", F.col("size"))
+    total = m.agg(F.sum("weight")).first()[0]
+    got = sharding.divided(sharding.ranged(m, sharding.splitters(m, 50, total)), total / 50)
+    cells = got.groupBy("range", "sub").agg(F.sum("weight").alias("w"), F.count_distinct("key").alias("keys")).collect()
+    assert max(c.w for c in cells) < 5 * total / 50 and len({c.range for c in cells}) < len(cells)
+
+
+def test_shards_are_written_in_order(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"t{i % 7}", "en", "p", "r", None) for i in range(60)] + [(None, None, None, None, None, None)], DOCS)
+    path = sharding.write_shards(docs, 4, path=f"file://{tmp_path}/out")
+    back = spark.read.parquet(path)
+    assert sorted(map(str, back.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    want = Counter((r.doc_id, r.shard) for r in sharding.shards(docs, 4).collect())
+    assert Counter((r.doc_id, r.shard_) for r in back.collect()) == want

@@ -99,6 +99,7 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.counts = np.zeros((0, 4), np.int64)  # tokens of each, groups, whether the bytes are the text's
         self.groups: list[str] = []
+        self.met = np.zeros(0, np.int64)  # in how many blocks of texts
         self.links, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)  # of all words one after another, and where each word's end
 
     def words(self, text: str) -> list[str]:
@@ -163,10 +164,23 @@ class Aligner:
         self.counts, self.groups = np.concatenate((self.counts, counts)), self.groups + groups
         self.links, self.ends = np.concatenate((self.links, links)), np.concatenate((self.ends, self.ends[-1] + ends))
 
+    def trim(self) -> None:
+        """Forget the words met in one block of texts alone, and all if that leaves too many."""
+        words, kept = list(self.known), np.flatnonzero(self.met > 1)
+        some = self.ends[kept + 1] - self.ends[kept]
+        if len(kept) > CACHED_WORDS // 2 or some.sum() > CACHED_LINKS // 2:
+            self.clear()
+            return
+        ends = np.append(0, np.cumsum(some))
+        self.links = self.links[np.repeat(self.ends[kept] - ends[:-1], some) + np.arange(ends[-1])]
+        self.counts, self.ends, self.met = self.counts[kept], ends, np.zeros(len(kept), np.int64)
+        self.groups = [self.groups[k] for k in kept.tolist()]
+        self.known = {words[k]: i for i, k in enumerate(kept.tolist())}
+
     def slots(self, words: list[str]) -> np.ndarray:
         """Where each word's alignment is kept."""
         if len(self.known) > CACHED_WORDS or len(self.links) > CACHED_LINKS:
-            self.clear()
+            self.trim()
         new = set(words) - self.known.keys()
         alone = [w for w in new if not w or w[-1].isspace()]
         some = [w for w in new if w and not w[-1].isspace()] if self.parts else []
@@ -174,7 +188,10 @@ class Aligner:
             self.align(some[at : at + TOGETHER])
         for w in alone if self.parts else new:
             self.align([w])
-        return np.array(list(map(self.known.__getitem__, words)), np.int64)
+        slot = np.array(list(map(self.known.__getitem__, words)), np.int64)
+        self.met = np.append(self.met, np.zeros(len(self.groups) - len(self.met), np.int64))
+        self.met[np.unique(slot)] += 1
+        return slot
 
     def documents(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], list[tuple[np.ndarray, np.ndarray]]]:
         """Of each text: (tokens of each, groups, links); the groups as text; the linked ids and how often each is linked."""

@@ -45,6 +45,11 @@ def html_to_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"[ \t\r\n]+", " "))
 
 
+def is_blank(c: Column) -> Column:
+    """A text that is null or white space alone."""
+    return ~F.coalesce(c, F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+
+
 def is_relation_line(c: Column) -> Column:
     """A text that is one relation, 'a -> TYPE -> b', of at most 300 characters."""
     return c.rlike(r"^[^>\n]+->\s*[A-Z_]+\s*->\s*[^\n]+$") & (F.length(c) <= 300)

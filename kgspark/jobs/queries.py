@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
 from kgspark.operators import chunking, fusion, graph, metrics, retrieval, sync
+from kgspark.operators.search_index import SearchIndex
 from kgspark.sources.readers import table, web_documents
+from kgspark.sources.shared import shared_dir
 
 TERMS = ["the", "tion", "ander"]
 QUERIES, ORACLES = {}, {}
+#: The index of each folder's documents that this application has written, by its id and the folder.
+_INDEXES: dict[tuple[str, str], str] = {}
 
 
 def query(sql: str | None = None):
@@ -29,6 +33,16 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text")
 
 
+def _index(spark: SparkSession, d: str) -> SearchIndex:
+    """The index of a folder's documents, written by the first query that asks for it; the tables are taken not to change meanwhile."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        path = shared_dir(spark, "index")
+        SearchIndex.create(_docs(spark, d), path)
+        _INDEXES[key] = path
+    return SearchIndex(spark, _INDEXES[key])
+
+
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
     return v, v.orderBy("node_id").limit(1)
@@ -67,7 +81,7 @@ def _bm25_sql() -> str:
 
 @query(f"WITH {_bm25_sql()} SELECT node_id, score FROM bm ORDER BY score DESC, node_id LIMIT 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25_topk(_docs(spark, d), TERMS)
+    return _index(spark, d).search(TERMS)
 
 
 def _each_sql(score: str) -> str:
@@ -96,16 +110,40 @@ def vector_topk_ip_each(spark: SparkSession, d: str) -> DataFrame:
     return _vectors_each(spark, d, "ip")
 
 
-@query("""WITH w AS (SELECT doc_id AS node_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+def _bm25_each_sql(docs: str = "documents", asked: str = "documents", k: int = 10) -> str:
+    """The k best documents of docs for the terms of every hundredth text of asked, as tables that follow WITH; the last is bm."""
+    words = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w"
+    return f"""w AS (SELECT doc_id AS node_id, {words} FROM {docs}),
  st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), t AS (SELECT node_id, len(w) AS size, unnest(w) AS term FROM w),
  p AS (SELECT node_id, size, term, count(*) AS tf FROM t GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
- q AS (SELECT DISTINCT node_id AS query_id, term FROM t WHERE node_id % 100 = 0),
- s AS (SELECT query_id, node_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term), st GROUP BY 1, 2)
-SELECT query_id, node_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 10""")
+ a AS (SELECT doc_id AS query_id, {words} FROM {asked} WHERE doc_id % 100 = 0), qt AS (SELECT DISTINCT query_id, unnest(w) AS term FROM a),
+ s0 AS (SELECT query_id, node_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))), 6) AS score FROM qt JOIN p USING (term) JOIN f USING (term), st GROUP BY 1, 2),
+ bm AS (SELECT query_id, node_id, score FROM s0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= {k})"""
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of every hundredth document, as queries."""
+    return _docs(spark, d).where("node_id % 100 = 0").select(F.col("node_id").alias("query_id"), retrieval.tokens(F.col("text")).alias("terms"))
+
+
+@query(f"WITH {_bm25_each_sql()} SELECT * FROM bm")
 def bm25_topk_each(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    asked = docs.where("node_id % 100 = 0").select(F.col("node_id").alias("query_id"), retrieval.tokens(F.col("text")).alias("terms"))
-    return retrieval.bm25_topk_each(docs, asked)
+    return _index(spark, d).search_each(_asked(spark, d))
+
+
+_CHANGED = """changed AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' replaced ' || coalesce(lang, '') ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0
+ UNION ALL SELECT -1 - doc_id, 'new ' || lang FROM documents WHERE doc_id % 11 = 0)"""
+
+
+@query(f"WITH {_CHANGED}, {_bm25_each_sql('changed')} SELECT * FROM bm")
+def bm25_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Searches of an index that documents were deleted from, replaced in and put into since it was written."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text", "lang")
+    index = SearchIndex.create(docs.select("node_id", "text"), shared_dir(spark, "index"))
+    index.delete(docs.where("node_id % 7 = 0").select("node_id"))
+    index.replace(docs.where("node_id % 5 = 0 and node_id % 7 <> 0").select("node_id", F.concat("text", F.lit(" replaced "), F.coalesce("lang", F.lit(""))).alias("text")))
+    index.replace(docs.where("node_id % 11 = 0").select((-1 - F.col("node_id")).alias("node_id"), F.concat(F.lit("new "), "lang").alias("text")))
+    return index.search_each(_asked(spark, d))
 
 
 _BOTH = f"""WITH {_bm25_sql()},
@@ -115,12 +153,17 @@ _BOTH = f"""WITH {_bm25_sql()},
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.labelled({"bm25": retrieval.bm25_topk(_docs(spark, d), TERMS, 15), "vector": retrieval.vector_topk(*_vectors(spark, d), 15)})
+    return fusion.labelled({"bm25": _index(spark, d).search(TERMS, 15), "vector": retrieval.vector_topk(*_vectors(spark, d), 15)})
 
 
-_RANK = """, t AS (SELECT *, row_number() OVER (ORDER BY score DESC, node_id) AS rank, count(*) OVER () AS n, min(score) OVER () AS low, max(score) OVER () AS high
-  FROM (SELECT * FROM s ORDER BY score DESC, node_id LIMIT 10))
-SELECT node_id, rank, CASE WHEN high - low < 0.05 AND high > 0 THEN CASE WHEN n = 1 THEN 1.0 ELSE round(1 - (rank - 1) / CAST(greatest(n - 1, 1) AS DOUBLE) * 0.8, 3) END ELSE score END AS score FROM t"""
+def _rank_sql(by: str = "") -> str:
+    """The ten best of s with their rank, and flat scores spread over the ranks of all of them; within each value of by, if given."""
+    part, lead = (f"PARTITION BY {by}", f"{by}, ") if by else ("", "")
+    return f""", top AS (SELECT *, row_number() OVER o AS rank, count(*) OVER p AS n, min(score) OVER p AS low, max(score) OVER p AS high FROM s WINDOW p AS ({part}), o AS ({part} ORDER BY score DESC, node_id))
+SELECT {lead}node_id, rank, CASE WHEN n > 1 AND high - low < 0.05 AND high > 0 THEN round(1 - (rank - 1) / CAST(n - 1 AS DOUBLE) * 0.8, 3) WHEN n = 1 AND high > 0 THEN 1.0 ELSE score END AS score FROM top WHERE rank <= 10"""
+
+
+_RANK = _rank_sql()
 
 
 @query(_BOTH + """, x AS (SELECT node_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END / 2 AS score
@@ -135,16 +178,40 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return fusion.ranked(fusion.summed(fusion.reciprocal_ranks(_results(spark, d), 2)), 10)
 
 
+_BOTH_EACH = f"""WITH {_bm25_each_sql(k=15)}, v AS (SELECT vec_id AS node_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), vq AS (SELECT node_id AS query_id, e AS q FROM v WHERE node_id % 100 = 0),
+ vs AS (SELECT query_id, node_id, round(list_cosine_similarity(e, q), 6) AS score FROM v, vq),
+ r AS (SELECT 'bm25' AS retriever, * FROM bm UNION ALL SELECT 'vector', * FROM vs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 15)"""
+
+
+def _results_each(spark: SparkSession, d: str) -> DataFrame:
+    """For every hundredth id: the best by its text and by its vector."""
+    return fusion.labelled({"bm25": _index(spark, d).search_each(_asked(spark, d), 15), "vector": _vectors_each(spark, d, "cosine", 15)})
+
+
+@query(_BOTH_EACH + """, x AS (SELECT query_id, node_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END / 2 AS score
+ FROM r WINDOW w AS (PARTITION BY query_id, retriever)), s AS (SELECT query_id, node_id, round(sum(score), 6) AS score FROM x GROUP BY ALL)""" + _rank_sql("query_id"))
+def hybrid_relative_fusion_each(spark: SparkSession, d: str) -> DataFrame:
+    by = ["query_id"]
+    return fusion.ranked(fusion.summed(fusion.relative_scores(_results_each(spark, d), 2, by), by=by), 10, by)
+
+
+@query(_BOTH_EACH + """, x AS (SELECT query_id, node_id, 1 / (2.0 * (60 + row_number() OVER (PARTITION BY query_id, retriever ORDER BY score DESC, node_id))) AS score FROM r),
+ s AS (SELECT query_id, node_id, round(sum(score), 6) AS score FROM x GROUP BY ALL)""" + _rank_sql("query_id"))
+def hybrid_rrf_each(spark: SparkSession, d: str) -> DataFrame:
+    by = ["query_id"]
+    return fusion.ranked(fusion.summed(fusion.reciprocal_ranks(_results_each(spark, d), 2, by=by), by=by), 10, by)
+
+
 @query(f"""WITH {_bm25_sql()} SELECT sha256(trim(text)) AS mark, round(sum(score), 6) AS score, arg_max(node_id, (score, -node_id)) AS node_id, count(*) AS copies
 FROM bm JOIN documents ON doc_id = node_id WHERE trim(text) <> '' GROUP BY 1""")
 def dedup_sum_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    return fusion.dedup_sum(retrieval.bm25(docs, TERMS).join(docs, "node_id"))
+    return fusion.dedup_sum(_index(spark, d).scores(TERMS).join(docs, "node_id"))
 
 
 _STUB = r"(trim(text) <> '' AND length(trim(text)) < 80 AND NOT regexp_matches(trim(text), '[.?!]$'))"
 _STEP = " OR ".join("starts_with(lower(trim(text)), '" + x.replace("'", "''") + "')" for x in T.STEPS)
-_KIND = rf"CASE WHEN {_STEP} THEN 'step' WHEN regexp_matches(text, '^[^>\n]+->\s*[A-Z_]+\s*->\s*[^\n]+$') AND length(text) <= 300 THEN 'relation' WHEN {_STUB} THEN 'stub' ELSE 'content' END"
+_KIND = rf"CASE WHEN regexp_matches(text, '^\s*$') THEN 'blank' WHEN {_STEP} THEN 'step' WHEN regexp_matches(text, '^[^>\n]+->\s*[A-Z_]+\s*->\s*[^\n]+$') AND length(text) <= 300 THEN 'relation' WHEN {_STUB} THEN 'stub' ELSE 'content' END"
 _NOISY = """WITH r AS (SELECT conv_id AS query_id, turn AS node_id, role AS retriever, CAST(CASE WHEN turn % 5 <> 4 THEN turn % 4 - 1 END AS DOUBLE) AS score,
  CASE conv_id % 5 WHEN 0 THEN ' Query: MATCH ' || text WHEN 1 THEN 'Ann -> KNOWS -> ' || role WHEN 2 THEN role WHEN 3 THEN '  ' ELSE text END AS text FROM conversations WHERE text IS NOT NULL)"""
 
@@ -157,19 +224,19 @@ def _noisy(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("node_id"), F.col("role").alias("retriever"), score.alias("score"), text.alias("text"))
 
 
-@query(_NOISY + f" SELECT query_id, node_id, score, {_KIND} AS kind FROM r WHERE score >= 0 AND trim(text) <> ''")
+@query(_NOISY + f" SELECT query_id, node_id, score, {_KIND} AS kind FROM r WHERE score >= 0 AND kind <> 'blank'")
 def result_noise_filters(spark: SparkSession, d: str) -> DataFrame:
     return fusion.noise_kinds(_noisy(spark, d)).select("query_id", "node_id", "score", "kind")
 
 
-@query(_NOISY + f""", k AS (SELECT query_id, node_id, score, CASE WHEN {_KIND} <> 'content' THEN 0 WHEN score > 0 THEN 2 ELSE 1 END AS rank FROM r WHERE trim(text) <> '')
+@query(_NOISY + rf""", k AS (SELECT query_id, node_id, score, CASE WHEN {_KIND} <> 'content' THEN 0 WHEN score > 0 THEN 2 ELSE 1 END AS rank FROM r WHERE NOT regexp_matches(text, '^[ \t\n\x0B\f\r]*$'))
 SELECT query_id, node_id, score FROM k QUALIFY rank = max(rank) OVER (PARTITION BY query_id)""")
 def graph_result_filter(spark: SparkSession, d: str) -> DataFrame:
     return fusion.graph_results(_noisy(spark, d)).select("query_id", "node_id", "score")
 
 
 @query(_NOISY + f""", k AS (SELECT retriever, query_id, node_id, {_KIND} AS kind FROM r)
-SELECT * FROM k QUALIFY kind = 'content' OR NOT bool_or(kind = 'content') OVER (PARTITION BY retriever)""")
+SELECT * FROM k WHERE kind <> 'blank' QUALIFY kind = 'content' OR NOT bool_or(kind = 'content') OVER (PARTITION BY query_id, retriever)""")
 def retriever_noise_filter(spark: SparkSession, d: str) -> DataFrame:
     return fusion.without_noise(_noisy(spark, d)).select("retriever", "query_id", "node_id", "kind")
 

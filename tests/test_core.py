@@ -66,11 +66,6 @@ def test_every_query_row_is_searched(spark):
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "node_id long, embedding array<double>")
     got = retrieval.vector_topk_each(v, v.where("node_id > 2").withColumnRenamed("node_id", "query_id"), 2, "l2").collect()
     assert {(r.query_id, r.node_id) for r in got} == {(3, 3), (3, 2), (4, 4), (4, 3), (5, 5), (5, 4)}
-    docs = spark.createDataFrame([(0, "a b"), (1, "b c c"), (2, None), (3, "d")], "node_id long, text string")
-    asked = spark.createDataFrame([(7, ["b", "b"]), (8, ["c", "d"]), (9, ["none"])], "query_id long, terms array<string>")
-    assert {(r.query_id, r.node_id) for r in retrieval.bm25_topk_each(docs, asked).collect()} == {(7, 0), (7, 1), (8, 1), (8, 3)}
-    one = {r.node_id: r.score for r in retrieval.bm25_topk(docs, ["c", "d"]).collect()}
-    assert one == {r.node_id: r.score for r in retrieval.bm25_topk_each(docs, asked).where("query_id = 8").collect()}
 
 
 def test_chunks_cover_the_text():

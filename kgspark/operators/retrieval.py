@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 #: Okapi BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); terms are lower-case runs of a-z and 0-9.
 K1, B = 1.5, 0.75
 #: Vectors of a block that is multiplied at once, and queries of a pass, which go to every task.
-BLOCK, TOGETHER = 2048, 4096
+BLOCK, TOGETHER = 1024, 4096
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -69,6 +69,13 @@ class Best:
         if self.held > 4 * self.k * len(self.least) + 100_000:
             self.cut()
 
+    def above(self, scores: np.ndarray, queries: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column of the scores of a block, a row for each of some queries, that may be among the k best."""
+        least = (self.least if queries is None else self.least[queries]) - self.slack
+        if scores.shape[1] > self.k:
+            least = np.maximum(least, np.partition(scores, -self.k, 1)[:, -self.k] - self.slack)
+        return np.nonzero(scores >= least[:, None])
+
     def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query, score and row of what is kept."""
         q, s, rows = (np.concatenate([f[i] for f in self.found]) if self.found else np.zeros(0, t) for i, t in enumerate((np.int64, float, np.int64)))
@@ -115,7 +122,7 @@ def _nearest(batches: Iterator[pa.RecordBatch], asked: pa.Table, k: int, metric:
             part = batch.slice(first, BLOCK)
             x, rows = matrix(part.column(1), q.shape[1])
             scores = likenesses(q, unit(x) if metric == "cosine" else x, metric)
-            hit, where = np.nonzero(scores >= (best.least - best.slack)[:, None])
+            hit, where = best.above(scores)
             value = scores[hit, where]
             if metric == "l2" and len(hit):  # the product rounds small distances; what is kept is measured anew
                 value = np.concatenate([1 / (1 + np.sqrt(((q[hit[i : i + BLOCK]] - x[where[i : i + BLOCK]]) ** 2).sum(1))) for i in range(0, len(hit), BLOCK)])

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import sys
+import unicodedata
+from functools import lru_cache
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,19 +36,64 @@ def safe_filename(c: Column) -> Column:
     return F.when(s.isin("", ".", "..") | c.contains("\0"), F.lit(None)).otherwise(s)
 
 
+@lru_cache(1)
+def _folding() -> tuple[str, str, str]:
+    """Compatibility decomposition without combining marks, of what becomes a-z or 0-9: signs and what each becomes,
+    then the marks, which go; and those that become several as JSON."""
+    one, several, marks = {}, {}, []
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif unicodedata.decomposition(c):
+            plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            if any(x in "abcdefghijklmnopqrstuvwxyz0123456789" for x in plain):
+                (one if len(plain) == 1 else several)[c] = plain
+    return "".join(one) + "".join(marks), "".join(one.values()), json.dumps(several)
+
+
 def normalized_key(c: Column) -> Column:
-    """Lower-case without Latin accents; other than a-z, 0-9 become one space."""
-    plain = F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+    """Lower-case, decomposed (NFKD) and without combining marks; other than a-z, 0-9 become one space."""
+    signs, plain, several = _folding()
+    s = F.translate(F.lower(c), signs, plain)
+    known = F.from_json(F.lit(several), "map<string, string>")
+    spread = F.array_join(F.transform(F.split(s, ""), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+    s = F.when(s.rlike(r"^[\x00-\x7F]*$"), s).otherwise(spread)
+    return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
+
+
+#: A tag up to its >, which a value in quotes may hold.
+TAG = r"""<(?=[A-Za-z/!?])(?:[^<>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+>"""
 
 
 def html_to_text(c: Column) -> Column:
-    """Scripts, styles, comments and tags out, the common character references decoded, white space to one space."""
+    """Scripts, styles, comments and tags out, character references decoded, white space to one space.
+
+    References to a character's number and those with a name that ends in ; are decoded once, from left to right;
+    others stay as they are. A < that starts no tag stays, too.
+    """
     s = F.regexp_replace(c, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ")
-    s = F.regexp_replace(s, r"<[^>]*>", " ")
-    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        s = F.replace(s, F.lit(ref), F.lit(char))
-    return F.trim(F.regexp_replace(s, r"[ \t\r\n]+", " "))
+    return F.trim(F.regexp_replace(decoded(F.regexp_replace(s, TAG, " ")), r"[ \t\r\n\u00a0]+", " "))
+
+
+def decoded(c: Column) -> Column:
+    """A text with its character references decoded; those of control characters and of no character stay."""
+    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string, string>")
+    parts = F.split(c, "&")
+    ref = lambda x: F.regexp_extract(x, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+
+    def char(r: Column) -> Column:
+        digits = F.when(r.rlike("^#[xX]"), F.conv(F.substring(r, 3, 9), 16, 10)).otherwise(F.substring(r, 2, 9)).try_cast("int")
+        sound = (digits >= 32) & (digits <= 0x10FFFF) & ~digits.between(0xD800, 0xDFFF) | digits.isin(9, 10, 13)
+        # four bytes of UTF-32 are a character
+        letter = F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")
+        return F.when(F.startswith(r, F.lit("#")), F.when(sound, letter)).otherwise(F.try_element_at(names, r))
+
+    def one(x: Column) -> Column:
+        r = ref(x)
+        return F.coalesce(F.when(r != "", F.concat(char(r), F.substring(x, F.length(r) + 2, F.length(x)))), F.concat(F.lit("&"), x))
+
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), one)
+    return F.when(~F.contains(c, F.lit("&")), c).otherwise(F.concat(F.get(parts, F.lit(0)), F.array_join(rest, "")))
 
 
 def is_blank(c: Column) -> Column:

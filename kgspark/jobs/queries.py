@@ -9,7 +9,7 @@ from kgspark.functions import text as T
 from kgspark.operators import chunking, fusion, graph, metrics, retrieval, sync
 from kgspark.operators.search_index import SearchIndex
 from kgspark.sources.readers import table, web_documents
-from kgspark.sources.shared import shared_dir
+from kgspark.sources.shared import shared_dir, staged
 
 TERMS = ["the", "tion", "ander"]
 QUERIES, ORACLES = {}, {}
@@ -279,9 +279,9 @@ def heading_split(spark: SparkSession, d: str) -> DataFrame:
     return chunking.sections(table(spark, d, "documents"), r"\.\n")
 
 
-@query(r"""SELECT doc_id, source, text FROM (SELECT page_id AS doc_id, url AS source, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
- regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
- '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages) WHERE text <> ''""")
+@query(r"""SELECT doc_id, source, text FROM (SELECT page_id AS doc_id, url AS source, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
+ regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[A-Za-z/!?](?:[^<>"''=]|=\s*"[^"]*"|=\s*''[^'']*''|["''=])*>', ' ', 'g'),
+ '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages) WHERE text <> ''""")
 def web_pages(spark: SparkSession, d: str) -> DataFrame:
     return web_documents(table(spark, d, "pages"))
 
@@ -301,6 +301,17 @@ def canonical_names(spark: SparkSession, d: str) -> DataFrame:
     return graph.canonical_names(table(spark, d, "part").select(T.normalized_key(F.col("p_type")).alias("key"), F.col("p_type").alias("name")))
 
 
+@query(r"""SELECT doc_id, trim(regexp_replace(strip_accents(lower(left(text, 60))), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents""")
+def normalized_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.normalized_key(F.left("text", F.lit(60))).alias("key"))
+
+
+@query(_NOISY + f""", k AS (SELECT query_id, node_id, retriever, score, {_KIND} AS kind FROM r)
+SELECT query_id, node_id, retriever, score FROM k WHERE score >= 0 AND (kind = 'content' OR kind = 'step' AND retriever = 'assistant')""")
+def result_content_filter(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.content_only(_noisy(spark, d), steps_of=["assistant"]).select("query_id", "node_id", "retriever", "score")
+
+
 @query(r"""SELECT page_id, CASE WHEN s IN ('', '.', '..') THEN NULL ELSE s END AS file_name FROM (SELECT page_id, trim(regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '^[A-Za-z]:', '')) AS s FROM pages)""")
 def safe_filenames(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.safe_filename(F.col("url")).alias("file_name"))
@@ -539,7 +550,7 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_LEFT + ", e AS (SELECT DISTINCT subject AS source, upper(replace(predicate, ' ', '_')) AS label, obj AS target FROM t) SELECT * FROM e WHERE source IN (SELECT name FROM l) AND target IN (SELECT name FROM l)")
 def dangling_edge_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return graph.without_dangling(graph.edges(_triples(spark, d)), _nodes_left(spark, d))
+    return graph.without_dangling(graph.edges(_triples(spark, d)), staged(_nodes_left(spark, d), "nodes"))
 
 
 @query(r"""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) ELSE p_type END AS name FROM part), k AS (SELECT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key, name, count(*) AS t FROM p GROUP BY ALL),
@@ -560,10 +571,18 @@ def bgp_optional_union(spark: SparkSession, d: str) -> DataFrame:
     return graph.optional(there.where(~F.contains("place", F.lit("region_0"))), graph.match(rdf, [("?x", graph.ONTOLOGY + "placed", "?bought")]))
 
 
-@query(_RDF + r""" SELECT '<' || s || '> ' || CASE WHEN regexp_matches(p, '^(rdf|rdfs|owl|xsd):') THEN p ELSE '<' || p || '>' END || ' ' ||
- CASE WHEN is_iri THEN '<' || o || '>' ELSE '"' || replace(replace(o, '\', '\\'), '"', '\"') || '"' END || ' .' AS line FROM rdf""")
+@query(_RDF + r""" SELECT 0 AS section, unnest(['@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .', '@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .',
+ '@prefix owl: <http://www.w3.org/2002/07/owl#> .', '@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .']) AS line
+ UNION ALL SELECT 1, '<' || s || '> ' || CASE WHEN regexp_matches(p, '^(rdf|rdfs|owl|xsd):') THEN p ELSE '<' || p || '>' END || ' ' ||
+ CASE WHEN is_iri THEN '<' || o || '>' ELSE '"' || replace(replace(o, '\', '\\'), '"', '\"') || '"' END || ' .' FROM rdf
+ UNION ALL SELECT 1, '<' || 'urn:order:' || o_orderkey || '> <http://example.org/ontology#total> "' || CAST(o_totalprice AS DECIMAL(18, 2)) || '"^^xsd:decimal .' FROM orders""")
 def turtle_lines(spark: SparkSession, d: str) -> DataFrame:
-    return graph.turtle(graph.to_rdf(_triples(spark, d)))
+    rdf = graph.to_rdf(_triples(spark, d)).withColumn("datatype", F.lit(None).cast("string"))
+    prices = table(spark, d, "orders").select(
+        F.concat(F.lit("urn:order:"), F.col("o_orderkey").cast("string")).alias("s"), F.lit(graph.ONTOLOGY + "total").alias("p"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("o"),
+        F.lit(False).alias("is_iri"), F.lit("xsd:decimal").alias("datatype"),
+    )
+    return graph.turtle(rdf.unionByName(prices))
 
 
 @query("""SELECT 'Customer:' || o_custkey AS subject, 'placed' AS predicate, 'Order:' || o_orderkey AS obj, unnest(['o_orderkey', 'o_orderstatus', 'o_orderpriority']) AS prop,
@@ -575,8 +594,8 @@ def rdf_flat_annotations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_RDF + f""", r AS (SELECT * FROM rdf UNION ALL SELECT '{graph.BASE}customer_' || c_custkey, '{graph.ONTOLOGY}ref_doc_id', CAST(c_nationkey AS VARCHAR), false FROM customer)
-SELECT * FROM r WHERE s NOT IN (SELECT s FROM r WHERE p = '{graph.ONTOLOGY}ref_doc_id' AND o IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 0))""")
+SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r x JOIN nation ON x.o = CAST(n_nationkey AS VARCHAR) WHERE x.s = r.s AND x.p = '{graph.ONTOLOGY}ref_doc_id' AND n_regionkey = 0)""")
 def rdf_delete_doc(spark: SparkSession, d: str) -> DataFrame:
     refs = table(spark, d, "customer").select(F.concat(F.lit(graph.BASE + "customer_"), F.col("c_custkey").cast("string")).alias("s"), F.lit(graph.ONTOLOGY + "ref_doc_id").alias("p"), F.col("c_nationkey").cast("string").alias("o"), F.lit(False).alias("is_iri"))
     gone = table(spark, d, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("doc_id"))
-    return graph.rdf_without_documents(graph.to_rdf(_triples(spark, d)).unionByName(refs), gone)
+    return graph.rdf_without_documents(staged(graph.to_rdf(_triples(spark, d)).unionByName(refs), "triples"), gone)

@@ -118,17 +118,65 @@ def match(rdf: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
     return found
 
 
-def optional(found: DataFrame, more: DataFrame) -> DataFrame:
-    """Solutions with what more adds to them, null where it has nothing; both share a variable."""
-    shared = [c for c in more.columns if c in found.columns]
-    if not shared:
-        raise ValueError("an optional part must share a variable")
-    return found.join(more, shared, "left")
+UNBOUND = {"unbound": True}
 
 
 def either(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Solutions of either pattern; variables that one lacks are null."""
-    return a.unionByName(b, allowMissingColumns=True)
+    """Solutions of either pattern; variables that one lacks are unbound there: null, and marked in the schema."""
+    loose = set(a.columns) ^ set(b.columns) | _loose(a) | _loose(b)
+    return _marked(a.unionByName(b, allowMissingColumns=True), loose)
+
+
+def _loose(df: DataFrame) -> set[str]:
+    """Variables that may be unbound."""
+    return {f.name for f in df.schema.fields if f.metadata.get("unbound")}
+
+
+def _marked(df: DataFrame, loose: set[str]) -> DataFrame:
+    return df.select(*[F.col(c).alias(c, metadata=UNBOUND) if c in loose else F.col(c) for c in df.columns])
+
+
+def _by_bound(df: DataFrame, loose: list[str]) -> list[tuple[DataFrame, set[str]]]:
+    """The solutions parted by which of some variables are unbound."""
+    parts = []
+    for mask in range(1 << len(loose)):
+        gone = {c for k, c in enumerate(loose) if mask >> k & 1}
+        part = df
+        for c in loose:
+            part = part.where(F.col(c).isNull() if c in gone else F.col(c).isNotNull())
+        parts.append((part, gone))
+    return parts
+
+
+def joined(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """Solutions of both (inner), or of a with what b adds (left). A variable that is unbound on one side agrees with any
+    value, and takes the other's. Each set of bound variables is an equality join of its own; some must remain."""
+    shared = [c for c in b.columns if c in a.columns]
+    mine, theirs = ([c for c in shared if c in _loose(x)] for x in (a, b))
+    if not shared:
+        raise ValueError("a part must share a variable")
+    if not mine and not theirs:
+        return _marked(a.join(b, shared, how), _loose(a) | _loose(b) | (set(b.columns) - set(a.columns) if how == "left" else set()))
+    out, cols = [], [*a.columns, *[c for c in b.columns if c not in a.columns]]
+    for x, no_x in _by_bound(a, mine):
+        rest = x
+        for y, no_y in _by_bound(b, theirs):
+            keys = [c for c in shared if c not in no_x | no_y]
+            if not keys:
+                raise ValueError("no variable is bound on both sides")
+            also = [c for c in shared if c not in keys]
+            z = x.join(y.withColumnsRenamed({c: f"_{c}" for c in also}), keys)
+            out.append(z.select(*[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in also else F.col(c) for c in cols]))
+            rest = rest.join(y, keys, "left_anti") if how == "left" else rest
+        if how == "left":
+            out.append(rest.select(*[F.col(c) if c in a.columns else F.lit(None).cast(dict(b.dtypes)[c]).alias(c) for c in cols]))
+    loose = _loose(a) | _loose(b) if how == "left" else (_loose(a) | _loose(b)) - (set(shared) - set(mine) & set(theirs))
+    return _marked(reduce(DataFrame.unionByName, out), loose | (set(b.columns) - set(a.columns) if how == "left" else set()))
+
+
+def optional(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Solutions with what more adds to them, unbound where it has nothing; both share a variable."""
+    return joined(found, more, "left")
 
 
 def one_hop(e: DataFrame, keyword: str, labels: list[str] | None = None) -> DataFrame:
@@ -184,13 +232,11 @@ def without_dangling(e: DataFrame, n: DataFrame) -> DataFrame:
 
 
 def rdf_without_documents(rdf: DataFrame, gone: DataFrame) -> DataFrame:
-    """Triples left when documents (doc_id) go: all triples of subjects that refer to one by ref_doc_id, and of the
-    blank nodes and urn: subjects that speak of such a subject."""
+    """Triples left when documents (doc_id) go: all triples of the subjects, reifiers among them, that refer to one by
+    ref_doc_id themselves. Subjects that only speak of these stay, as do subjects of other documents."""
     refers = rdf.where(F.col("p") == ONTOLOGY + "ref_doc_id").select("s", F.col("o").alias("doc_id"))
-    subjects = refers.join(gone.select(F.col("doc_id").cast("string")), "doc_id", "left_semi").select("s").distinct()
-    about = rdf.where(F.startswith("s", F.lit("_:")) | F.startswith("s", F.lit("urn:"))).select(F.col("s").alias("by"), F.col("o").alias("s"))
-    reifiers = about.join(subjects, "s", "left_semi").select(F.col("by").alias("s"))
-    return rdf.join(subjects.unionByName(reifiers).distinct(), "s", "left_anti")
+    subjects = refers.join(gone.select(F.col("doc_id").cast("string")).distinct(), "doc_id", "left_semi").select("s")
+    return rdf.join(subjects, "s", "left_anti")
 
 
 def annotations(triples: DataFrame, properties: list[str]) -> DataFrame:
@@ -202,11 +248,38 @@ def annotations(triples: DataFrame, properties: list[str]) -> DataFrame:
     return x.where("value is not null")
 
 
-def turtle(rdf: DataFrame) -> DataFrame:
-    """(line): each triple as a line of Turtle; prefixed names stay, other names are set in angle brackets, literals in quotes."""
-    name = lambda c: F.when(F.col(c).rlike("^(rdf|rdfs|owl|xsd):"), F.col(c)).otherwise(F.concat(F.lit("<"), F.col(c), F.lit(">")))
-    literal = F.col("o")
+#: Prefixes of the names that to_rdf and annotations write.
+PREFIXES = {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "owl": "http://www.w3.org/2002/07/owl#", "xsd": "http://www.w3.org/2001/XMLSchema#"}
+
+
+def iri(c: Column, prefixes: dict[str, str] | None = None) -> Column:
+    """A name in Turtle: blank nodes and names with a declared prefix stay, others stand in angle brackets with what may not stand there escaped."""
+    declared = c.rlike("^(_|" + "|".join(prefixes or PREFIXES) + r"):[A-Za-z0-9_]([A-Za-z0-9_.-]*[A-Za-z0-9_-])?$")
+    bad = r"[\x00-\x20<>\"{}|^`\\]"
+    safe = lambda x: F.when(x.rlike(bad), F.concat(F.lit("\\u00"), F.lpad(F.hex(F.ascii(x)), 2, "0"))).otherwise(x)
+    escaped = F.when(c.rlike(bad), F.array_join(F.transform(F.split(c, ""), safe), "")).otherwise(c)
+    return F.when(declared, c).otherwise(F.concat(F.lit("<"), escaped, F.lit(">")))
+
+
+def literal(value: Column, datatype: Column) -> Column:
+    """A literal in Turtle: quoted, with its datatype if that is not null or xsd:string; booleans stand as they are."""
+    text = value
     for sign, escape in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        literal = F.replace(literal, F.lit(sign), F.lit(escape))
-    o = F.when(F.col("is_iri"), name("o")).otherwise(F.concat(F.lit('"'), literal, F.lit('"')))
-    return rdf.select(F.concat(name("s"), F.lit(" "), name("p"), F.lit(" "), o, F.lit(" .")).alias("line"))
+        text = F.replace(text, F.lit(sign), F.lit(escape))
+    quoted = F.concat(F.lit('"'), text, F.lit('"'))
+    typed = F.concat(quoted, F.lit("^^"), iri(datatype))
+    return F.when((datatype == "xsd:boolean") & value.isin("true", "false"), value).when(datatype.isNull() | (datatype == "xsd:string"), quoted).otherwise(typed)
+
+
+def turtle(rdf: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """(line): a line that declares each prefix, then each triple (s, p, o, is_iri[, datatype]) as a line of Turtle.
+
+    Lines may be written in any order, as long as the part with the declarations is the first; they carry section 0,
+    triples 1. Triples with a null part are left out.
+    """
+    prefixes = prefixes or PREFIXES
+    datatype = F.col("datatype") if "datatype" in rdf.columns else F.lit(None).cast("string")
+    o = F.when(F.col("is_iri"), iri(F.col("o"), prefixes)).otherwise(literal(F.col("o"), datatype))
+    lines = rdf.select(F.lit(1).alias("section"), F.concat(iri(F.col("s"), prefixes), F.lit(" "), iri(F.col("p"), prefixes), F.lit(" "), o, F.lit(" .")).alias("line"))
+    head = rdf.sparkSession.createDataFrame([(0, f"@prefix {k}: <{v}> .") for k, v in prefixes.items()], "section int, line string")
+    return head.unionByName(lines.where("line is not null"))

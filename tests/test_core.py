@@ -104,9 +104,9 @@ def test_patterns_need_a_shared_variable(spark):
 
 def test_what_speaks_of_a_document_goes_with_it(spark):
     ref = graph.ONTOLOGY + "ref_doc_id"
-    rows = [("x", ref, "7"), ("x", "p", "y"), ("y", "p", "x"), ("_:1", "says", "x"), ("_:1", "when", "now"), ("urn:2", "says", "y"), ("z", "says", "x")]
+    rows = [("x", ref, "7"), ("x", "p", "y"), ("y", "p", "x"), ("_:1", "says", "x"), ("_:1", ref, "2"), ("_:3", ref, "7"), ("_:3", "says", "z"), ("urn:2", "says", "y"), ("z", "says", "x")]
     left = graph.rdf_without_documents(spark.createDataFrame(rows, "s string, p string, o string"), spark.createDataFrame([(7,)], "doc_id long"))
-    assert {r.s for r in left.collect()} == {"y", "urn:2", "z"}
+    assert {r.s for r in left.collect()} == {"y", "_:1", "urn:2", "z"}
 
 
 def test_entities_of_several_documents_stay(spark):
@@ -152,3 +152,57 @@ def test_core_content(spark, text, want):
 @pytest.mark.parametrize(("name", "want"), [("Up\\Town  \t Hall\n", "Up\\Town Hall"), ("\x00 \x7f", "unknown"), (None, "unknown"), ("Köln #5", "Köln 5")])
 def test_node_id(spark, name, want):
     assert spark.createDataFrame([(name,)], "n string").select(T.node_id(F.col("n"), "#")).first()[0] == want
+
+
+def test_unbound_variables_agree_with_any_value(spark):
+    rdf = spark.createDataFrame([("a", "p", "b"), ("a", "q", "c"), ("b", "r", "d"), ("c", "r", "e"), ("f", "q", "c"), ("g", "q", "h")], "s string, p string, o string")
+    x = graph.either(graph.match(rdf, [("?x", "p", "?y")]), graph.match(rdf, [("?x", "q", "?z")]))
+    assert {f.name for f in x.schema.fields if f.metadata.get("unbound")} == {"y", "z"}
+    more = rdf.where("p = 'p' or p = 'q'").select(F.col("s").alias("x"), F.col("o").alias("y"))
+    got = sorted(tuple(r) for r in graph.joined(x, more).select("x", "y", "z").fillna("-").collect())
+    # (a, b, -) meets (a, b); (a, -, c) meets both of a; (f, -, c) and (g, -, h) meet their own
+    assert got == [("a", "b", "-"), ("a", "b", "c"), ("a", "c", "c"), ("f", "c", "c"), ("g", "h", "h")]
+    tail = graph.match(rdf, [("?z", "r", "?w"), ("?x", "q", "?z")]).select("x", "z", "w")
+    got = sorted(tuple(r) for r in graph.optional(x, tail).select("x", "y", "z", "w").fillna("-").collect())
+    assert got == [("a", "-", "c", "e"), ("a", "b", "c", "e"), ("f", "-", "c", "e"), ("g", "-", "h", "-")]
+    with pytest.raises(ValueError):
+        graph.joined(x.select("z"), graph.either(x.select("z"), x.select("x")))
+    with pytest.raises(ValueError):
+        graph.joined(x.select("z"), more)
+
+
+def test_turtle_is_escaped_typed_and_declared(spark):
+    rows = [("http://e/a>b c", "rdf:type", "owl:Class", True, None), ("_:n", "http://e/p", 'say "x"\n\\', False, None), ("s:1", "p", "1", False, "xsd:integer"), ("s", "p", "true", False, "xsd:boolean"), ("s", None, "o", True, None)]
+    got = [r.line for r in graph.turtle(spark.createDataFrame(rows, "s string, p string, o string, is_iri boolean, datatype string")).where("section = 1").collect()]
+    assert got == ['<http://e/a\\u003Eb\\u0020c> rdf:type owl:Class .', '_:n <http://e/p> "say \\"x\\"\\n\\\\" .', '<s:1> <p> "1"^^xsd:integer .', "<s> <p> true ."]
+
+
+@pytest.mark.parametrize(("name", "want"), [("Łódź Žižek Őű", "odz zizek ou"), ("ﬁne ½ ²", "fine 1 2 2"), ("Ａｂ１", "ab1"), ("𝔘𝔫", "n"), ("e\u0301t\u00e9", "ete"), ("", ""), (None, None)])
+def test_keys_are_decomposed(spark, name, want):
+    assert spark.createDataFrame([(name,)], "n string").select(T.normalized_key(F.col("n"))).first()[0] == want
+
+
+def test_pages_with_odd_tags_and_references(spark):
+    page = '<p title="x>y" class="a"">&copy;&#8212;&eacute;&#x41;&amp;lt; &bogus; &#0; 1 < 2</p><script>no</script>'
+    assert spark.createDataFrame([(page,)], "h string").select(T.html_to_text(F.col("h")).alias("t")).first().t == "©—éA&lt; &bogus; &#0; 1 < 2"
+
+
+def test_flat_scores_fall_over_all_results(spark):
+    rows = [(1, i, 0.5) for i in range(15)] + [(2, 7, 0.3), (3, 1, 0.0), (3, 2, 0.0)]
+    got = fusion.ranked(spark.createDataFrame(rows, "query_id long, node_id long, score double"), 10, ["query_id"]).collect()
+    assert [r.score for r in sorted((r for r in got if r.query_id == 1), key=lambda r: r.rank)] == [round(1 - i / 14 * 0.8, 3) for i in range(10)]
+    assert {(r.query_id, r.node_id, r.score) for r in got if r.query_id > 1} == {(2, 7, 1.0), (3, 1, 0.0), (3, 2, 0.0)}
+    one = fusion.ranked(spark.createDataFrame([r[1:] for r in rows[:15]], "node_id long, score double"), 10).collect()
+    assert [r.score for r in one][:2] == [1.0, round(1 - 1 / 14 * 0.8, 3)]
+
+
+def test_noise_of_one_query_does_not_hide_anothers(spark):
+    rows = [(1, "g", "A sentence."), (1, "g", "a -> KNOWS -> b"), (2, "g", "a -> KNOWS -> b"), (2, "g", " \t\n"), (2, "h", "Query: MATCH x"), (3, "g", "")]
+    got = fusion.without_noise(spark.createDataFrame(rows, "query_id long, retriever string, text string")).collect()
+    assert sorted((r.query_id, r.retriever, r.kind) for r in got) == [(1, "g", "content"), (2, "g", "relation"), (2, "h", "step")]
+
+
+def test_results_without_an_id_are_no_copies(spark):
+    rows = [(1, None, 0.9, "first text", "s"), (1, None, 0.8, "second text", "t"), (1, 5, 0.7, "first text", "u"), (1, 5, 0.6, "third text", "v")]
+    got = fusion.greedy_dedup(spark.createDataFrame(rows, "query_id long, node_id long, score double, text string, source string")).collect()
+    assert sorted(r.score for r in got) == [0.8, 0.9]  # 5 was dropped once and stays known

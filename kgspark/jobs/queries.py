@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
-from kgspark.operators import chunking, fusion, graph, metrics, retrieval, sync
+from kgspark.operators import chunking, fusion, graph, metrics, resolution, retrieval, sync
 from kgspark.operators.search_index import SearchIndex
+from kgspark.operators.vector_index import VectorIndex
 from kgspark.sources.readers import table, web_documents
 from kgspark.sources.shared import shared_dir, staged
 
@@ -110,6 +111,14 @@ def vector_topk_ip_each(spark: SparkSession, d: str) -> DataFrame:
     return _vectors_each(spark, d, "ip")
 
 
+@query()
+def vector_index_topk_each(spark: SparkSession, d: str) -> DataFrame:
+    """As vector_topk_cosine_each, from the nearest cells of an index alone."""
+    v = _vectors(spark, d)[0]
+    index = VectorIndex.create(v, shared_dir(spark, "vectors"))
+    return index.search_each(v.where("node_id % 100 = 0").withColumnRenamed("node_id", "query_id"))
+
+
 def _bm25_each_sql(docs: str = "documents", asked: str = "documents", k: int = 10) -> str:
     """The k best documents of docs for the terms of every hundredth text of asked, as tables that follow WITH; the last is bm."""
     words = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w"
@@ -334,10 +343,10 @@ def sanitized_node_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", T.node_id(F.col("text"), "/#?").alias("id"))
 
 
-@query(r"""WITH k AS (SELECT trim(regexp_replace(lower(p_type || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS key FROM part)
-SELECT split_part(key, ' ', 1) AS first, count(DISTINCT key) AS full_names FROM k WHERE contains(key, ' ') GROUP BY 1 HAVING count(DISTINCT key) > 1""")
+@query(r"""WITH k AS (SELECT trim(regexp_replace(p_type || ' ' || p_brand, '\s+', ' ', 'g')) AS name, trim(regexp_replace(lower(p_type || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS key FROM part)
+SELECT trim(regexp_replace(lower(split_part(name, ' ', 1)), '[^a-z0-9]+', ' ', 'g')) AS first, count(DISTINCT key) AS full_names FROM k WHERE contains(name, ' ') GROUP BY 1 HAVING count(DISTINCT key) > 1""")
 def ambiguous_first_names(spark: SparkSession, d: str) -> DataFrame:
-    return graph.ambiguous_first_names(table(spark, d, "part").select(T.normalized_key(F.concat_ws(" ", "p_type", "p_brand")).alias("key")))
+    return graph.ambiguous_first_names(table(spark, d, "part").select(F.concat_ws(" ", "p_type", "p_brand").alias("name")))
 
 
 @query(_T + " SELECT * FROM t")
@@ -599,3 +608,19 @@ def rdf_delete_doc(spark: SparkSession, d: str) -> DataFrame:
     refs = table(spark, d, "customer").select(F.concat(F.lit(graph.BASE + "customer_"), F.col("c_custkey").cast("string")).alias("s"), F.lit(graph.ONTOLOGY + "ref_doc_id").alias("p"), F.col("c_nationkey").cast("string").alias("o"), F.lit(False).alias("is_iri"))
     gone = table(spark, d, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("doc_id"))
     return graph.rdf_without_documents(staged(graph.to_rdf(_triples(spark, d)).unionByName(refs), "triples"), gone)
+
+
+def spelled_names(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, name): the first three words of each text as a name, in several spellings."""
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"[\\p{L}]+"), F.lit(0)), 1, 3)
+    docs = table(spark, d, "documents").select("doc_id", F.array_join(words, " ").alias("name")).where("name <> ''")
+    m, name = F.col("doc_id") % 5, F.col("name")
+    spelled = F.when(m == 0, F.upper(name)).when(m == 1, F.concat(name, F.lit("."))).when(m == 2, F.concat(F.substring(name, F.lit(1), F.length(name) - 1))).when(m == 3, F.replace(name, F.lit(" "), F.lit("  "))).otherwise(name)
+    return docs.select("doc_id", spelled.alias("name"))
+
+
+@query()
+def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Triples of documents and the names they start with, names in one spelling."""
+    t = spelled_names(spark, d).select(F.col("doc_id").cast("string").alias("subject"), F.lit("Document").alias("subject_type"), F.lit("starts with").alias("predicate"), F.col("name").alias("obj"), F.lit("Name").alias("obj_type"))
+    return resolution.resolve(t, ["Name"])

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kgspark.functions.text import slug
+from kgspark.functions.text import normalized_key, slug
+from kgspark.sources.shared import staged
 
 ONTOLOGY, BASE = "http://example.org/ontology#", "http://example.org/resource/"
 TRIPLE = ["subject", "subject_type", "predicate", "obj", "obj_type"]
@@ -198,20 +199,46 @@ def observed_schema(triples: DataFrame) -> DataFrame:
     return triples.groupBy("subject_type", "predicate", "obj_type").agg(F.count("*").alias("n"))
 
 
-def ambiguous_first_names(keys: DataFrame) -> DataFrame:
-    """(first, full_names) of normalized keys (key): first words that more than one longer name starts with. These never merge by themselves."""
-    k = keys.where(F.contains("key", F.lit(" "))).select(F.substring_index("key", " ", 1).alias("first"), "key")
-    return k.groupBy("first").agg(F.count_distinct("key").alias("full_names")).where("full_names > 1")
+def ambiguous_first_names(names: DataFrame) -> DataFrame:
+    """(first, full_names): normalized first words that more than one full name of names (name) starts with. These never merge by themselves.
+
+    A full name has two words or more between white space; its first word is normalized by itself, so O'Neil stays one.
+    """
+    words = F.split(F.trim(F.regexp_replace("name", r"\s+", " ")), " ")
+    full = names.where(F.size(words) > 1).select(normalized_key(words[0]).alias("first"), normalized_key(F.col("name")).alias("key"))
+    return full.groupBy("first").agg(F.count_distinct("key").alias("full_names")).where("full_names > 1")
 
 
-def rewritten(triples: DataFrame, names: DataFrame) -> DataFrame:
-    """Triples with both ends renamed by names (name, canonical; each name once); others stay."""
-    for end in ("subject", "obj"):
+def rewritten(triples: DataFrame, names: DataFrame, ends: tuple[str, ...] | list[str] = ("subject", "obj")) -> DataFrame:
+    """Triples with their ends renamed by names (name, canonical; each name once); others stay."""
+    for end in ends:
         to = names.select(F.col("name").alias(end), F.col("canonical").alias("_to"))
         triples = triples.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
     return triples
 
 
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component) for every node of edges (a, b) with another node: the smallest node it is linked with over any number of steps.
+
+    Each round ties every node's larger neighbours to its smallest, and then every node to the smallest of those; edges
+    never grow in number. Hubs meet in aggregates that combine before the shuffle. Rounds are written out one by one.
+    """
+    now, last = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"), None
+    for _ in range(rounds):
+        state = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
+        if state == last:
+            small = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+            return small.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        last = state
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        upper = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lower = upper.groupBy("u").agg(F.min("v").alias("m"))
+        tied = upper.join(lower, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        now = staged(tied.where("u <> v").distinct(), "links")
+    raise RuntimeError("components did not settle")
+
+
 def mentions(triples: DataFrame) -> DataFrame:
     """(doc_id, name): what entities each document's triples (doc_id, subject, obj) name."""
     x = triples.select("doc_id", F.explode(F.array("subject", "obj")).alias("name"))

@@ -19,6 +19,8 @@ from kgspark.llm.common import shared_dir, staged
 
 FILTERS = "ABCDE"
 BREAK = r"[\x20\x09-\x0D]+"
+#: Texts with over one in so many of all rows count as crowded.
+CROWDS = 1000
 #: Classes (part, filter, set of filters before), a small row each, that may be broadcast.
 BROADCAST_CLASSES = 200_000
 
@@ -45,8 +47,14 @@ def audited(docs: DataFrame, labels: DataFrame) -> DataFrame:
     x = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), alone.alias("alone"), F.sha2(text, 256).alias("mark"))
     x = staged(x.withColumn("row", F.monotonically_increasing_id()), "filtered")
     # the smallest id of each text that several rows have; counted before it is dealt out
-    firsts = x.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1").select("mark", "first")
-    copies = x.join(firsts, "mark").where("doc_id > first").select("row", F.lit("E").alias("copy"))
+    firsts = staged(x.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1"), "firsts")
+    n = x.count()
+    # no more than CROWDS texts have over 1 / CROWDS of all rows each; these rows stay where they are
+    crowd = F.broadcast(firsts.where(F.col("times") > n / CROWDS))
+    few = firsts.where(F.col("times") <= n / CROWDS)
+    own = x.select("row", "doc_id", "mark")
+    copies = own.join(crowd, "mark").unionByName(own.join(crowd, "mark", "left_anti").join(few, "mark"))
+    copies = copies.where("doc_id > first").select("row", F.lit("E").alias("copy"))
     x = x.join(kinds, "doc_id", "left").join(copies, "row", "left")
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     return x.select("row", "part", no("good"), no("toxic"), F.array_compact(F.concat("alone", F.array("copy"))).alias("failing"))

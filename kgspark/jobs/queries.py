@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
-from kgspark.operators import chunking, fusion, graph, metrics, resolution, retrieval, sync
+from kgspark.operators import chunking, fusion, graph, metrics, ontology, resolution, retrieval, similar, sync
 from kgspark.operators.search_index import SearchIndex
 from kgspark.operators.vector_index import VectorIndex
 from kgspark.sources.readers import table, web_documents
@@ -519,10 +519,76 @@ def kg_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_T + " SELECT subject_type, predicate, obj_type, count(*) AS n FROM t GROUP BY ALL")
-def validation_schema(spark: SparkSession, d: str) -> DataFrame:
+def observed_schema(spark: SparkSession, d: str) -> DataFrame:
     return graph.observed_schema(_triples(spark, d))
 
 
+def _statements(spark: SparkSession, d: str) -> DataFrame:
+    """An ontology that the parts tell: classes by type, relations by brand, properties by size, each with what its parts give it."""
+    p = table(spark, d, "part")
+    base, size, key = "http://example.org/parts#", F.col("p_size"), F.col("p_partkey")
+    name = lambda c: F.concat(F.lit(base), F.translate(F.col(c), " #", "__"))
+    row = lambda s, verb, o, there=None: F.when(F.lit(True) if there is None else there, F.struct(s.alias("s"), F.lit(verb).alias("p"), o.alias("o")))
+    kind, relation, prop = name("p_type"), name("p_brand"), F.concat(F.lit(base + "size_"), size.cast("string"))
+    xsd = F.element_at(F.array(*[F.lit(ontology.XSD + t) for t in ("decimal", "integer", "boolean", "date", "string")]), (size % 5 + 1).cast("int"))
+    all_ = [
+        row(kind, ontology.RDF + "type", F.lit(ontology.OWL + "Class"), key % 7 == 0), row(kind, ontology.RDFS + "comment", F.col("p_name"), key % 3 == 0),
+        row(relation, ontology.RDF + "type", F.lit(ontology.OWL + "ObjectProperty")), row(relation, ontology.RDFS + "domain", kind, key % 11 == 0), row(relation, ontology.RDFS + "range", kind, key % 13 == 0),
+        row(prop, ontology.RDF + "type", F.lit(ontology.OWL + "DatatypeProperty")), row(prop, ontology.RDFS + "domain", kind, (key % 5 == 0) & (size % 2 == 0)), row(prop, ontology.RDFS + "domain", relation, (key % 5 == 0) & (size % 2 == 1)),
+        row(prop, ontology.RDFS + "range", xsd, key % 4 == 1),
+    ]
+    return p.select(F.explode(F.array_compact(F.array(*all_))).alias("x")).select("x.*").distinct()
+
+
+def _ontology_sql() -> str:
+    name = lambda c: f"'http://example.org/parts#' || translate({c}, ' #', '__')"
+    kind, relation, prop = name("p_type"), name("p_brand"), "'http://example.org/parts#size_' || p_size"
+    xsd = f"'{ontology.XSD}' || ['decimal', 'integer', 'boolean', 'date', 'string'][p_size % 5 + 1]"
+    rows = [
+        (kind, ontology.RDF + "type", f"'{ontology.OWL}Class'", "p_partkey % 7 = 0"), (kind, ontology.RDFS + "comment", "p_name", "p_partkey % 3 = 0"), (relation, ontology.RDF + "type", f"'{ontology.OWL}ObjectProperty'", "true"),
+        (relation, ontology.RDFS + "domain", kind, "p_partkey % 11 = 0"), (relation, ontology.RDFS + "range", kind, "p_partkey % 13 = 0"), (prop, ontology.RDF + "type", f"'{ontology.OWL}DatatypeProperty'", "true"),
+        (prop, ontology.RDFS + "domain", kind, "p_partkey % 5 = 0 AND p_size % 2 = 0"), (prop, ontology.RDFS + "domain", relation, "p_partkey % 5 = 0 AND p_size % 2 = 1"), (prop, ontology.RDFS + "range", xsd, "p_partkey % 4 = 1"),
+    ]
+    every = " UNION ".join(f"SELECT {s} AS s, '{p}' AS p, {o} AS o FROM part WHERE {there}" for s, p, o, there in rows)
+    local = lambda c: f"upper(regexp_extract({c}, '([^#/]*)$', 1))"
+    return f"""WITH r AS ({every}), dom AS (SELECT s, o AS d FROM r WHERE p = '{ontology.RDFS}domain'), rng AS (SELECT s, o AS g FROM r WHERE p = '{ontology.RDFS}range'),
+ cs AS (SELECT s, c.o AS description FROM r LEFT JOIN (SELECT s, o FROM r WHERE p = '{ontology.RDFS}comment') c USING (s) WHERE p = '{ontology.RDF}type' AND r.o = '{ontology.OWL}Class'),
+ cl AS (SELECT {local('s')} AS name, min(s) AS uri, arg_min(description, (s, description)) AS description FROM cs GROUP BY 1),
+ rel AS (SELECT DISTINCT {local('r.s')} AS name, r.s AS uri, x.name AS domain, y.name AS range FROM r LEFT JOIN dom ON dom.s = r.s LEFT JOIN rng ON rng.s = r.s LEFT JOIN cl x ON x.name = {local('d')}
+  LEFT JOIN cl y ON y.name = {local('g')} WHERE p = '{ontology.RDF}type' AND o = '{ontology.OWL}ObjectProperty'),
+ pr AS (SELECT DISTINCT coalesce(x.name, y.name) AS owner, CASE WHEN x.name IS NOT NULL THEN 'entity' WHEN y.name IS NOT NULL THEN 'relation' END AS owner_kind, {local('r.s')} AS name,
+  CASE WHEN regexp_matches(g, 'decimal|float|double') THEN 'float' WHEN contains(g, 'int') THEN 'int' WHEN contains(g, 'boolean') THEN 'bool' WHEN contains(g, 'date') THEN 'str' ELSE 'string' END AS type,
+  coalesce(g, '{ontology.XSD}string') AS datatype FROM r LEFT JOIN dom ON dom.s = r.s LEFT JOIN rng ON rng.s = r.s LEFT JOIN cl x ON x.name = {local('d')}
+  LEFT JOIN (SELECT DISTINCT name FROM rel) y ON y.name = {local('d')} WHERE p = '{ontology.RDF}type' AND o = '{ontology.OWL}DatatypeProperty')"""
+
+
+_ONTOLOGY = _ontology_sql()
+
+
+@query(_ONTOLOGY + """ SELECT 'class' AS kind, name, uri, description AS a, NULL AS b FROM cl UNION ALL SELECT 'relation', name, uri, domain, range FROM rel
+ UNION ALL SELECT 'property', name, owner, owner_kind, type FROM pr""")
+def ontology_schema(spark: SparkSession, d: str) -> DataFrame:
+    """Classes with their comments, relations with domain and range, properties with their owners and types."""
+    rdf = staged(_statements(spark, d), "statements")
+    rows = ontology.classes(rdf).select(F.lit("class").alias("kind"), "name", "uri", F.col("description").alias("a"), F.lit(None).cast("string").alias("b"))
+    rows = rows.unionByName(ontology.relations(rdf).select(F.lit("relation").alias("kind"), "name", "uri", F.col("domain").alias("a"), F.col("range").alias("b")))
+    return rows.unionByName(ontology.properties(rdf).select(F.lit("property").alias("kind"), "name", F.col("owner").alias("uri"), F.col("owner_kind").alias("a"), F.col("type").alias("b")))
+
+
+@query(_ONTOLOGY + """ SELECT domain AS subject_type, name AS predicate, range AS obj_type FROM rel WHERE domain IS NOT NULL AND range IS NOT NULL
+ UNION SELECT domain, rel.name, cl.name FROM rel, cl WHERE domain IS NOT NULL AND range IS NULL""")
+def validation_schema(spark: SparkSession, d: str) -> DataFrame:
+    return ontology.validation_schema(staged(_statements(spark, d), "statements"))
+
+
+@query(_ONTOLOGY + f""", t AS (SELECT name, min(datatype) AS datatype FROM pr GROUP BY 1)
+SELECT 'Part:' || p_partkey AS s, 'size_' || p_size AS prop, p_brand AS value, coalesce(datatype, '{ontology.XSD}string') AS datatype FROM part LEFT JOIN t ON name = upper('size_' || p_size)""")
+def xsd_type_map(spark: SparkSession, d: str) -> DataFrame:
+    """Properties of parts as literals of the datatypes that the ontology declares."""
+    values = table(spark, d, "part").select(F.concat(F.lit("Part:"), F.col("p_partkey").cast("string")).alias("s"), F.concat(F.lit("size_"), F.col("p_size").cast("string")).alias("prop"), F.col("p_brand").alias("value"))
+    return ontology.typed_literals(values, ontology.xsd_types(staged(_statements(spark, d), "statements")))
+
+
 @query(_E + """, b AS (SELECT source AS node, 'out' AS direction, label, target AS other FROM e UNION ALL SELECT target, 'in', label, source FROM e)
 SELECT * FROM b WHERE contains(lower(node), 'nation:1') AND label IN ('LOCATED_IN', 'PART_OF')""")
 def entity_onehop_inout(spark: SparkSession, d: str) -> DataFrame:
@@ -624,3 +690,22 @@ def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Triples of documents and the names they start with, names in one spelling."""
     t = spelled_names(spark, d).select(F.col("doc_id").cast("string").alias("subject"), F.lit("Document").alias("subject_type"), F.lit("starts with").alias("predicate"), F.col("name").alias("obj"), F.lit("Name").alias("obj_type"))
     return resolution.resolve(t, ["Name"])
+
+
+_SETS = """s AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> ''))) AS w FROM documents WHERE text IS NOT NULL),
+ m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS class_id, w FROM s WHERE len(w) > 0), c AS (SELECT class_id, w, len(w) AS n FROM m WHERE doc_id = class_id),
+ j AS (SELECT x.class_id AS a, y.class_id AS b, len(list_intersect(x.w, y.w)) AS shared, x.n + y.n - len(list_intersect(x.w, y.w)) AS total FROM c x JOIN c y ON x.class_id < y.class_id AND least(x.n, y.n) * 10 >= greatest(x.n, y.n) * {0}),
+ p AS (SELECT * FROM j WHERE shared * 10 >= total * {0})"""
+
+
+@query("WITH " + _SETS.format(6) + " SELECT a, b, CAST(shared AS INTEGER) AS shared, CAST(total AS INTEGER) AS total FROM p")
+def near_dup_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different sets of words that are similar, by the smallest document of each."""
+    return similar.similar_classes(similar.word_classes(table(spark, d, "documents"))[0], 0.6)
+
+
+@query("WITH " + _SETS.format(7) + """, k AS (SELECT class_id, count(*) AS members FROM m GROUP BY 1), l AS (SELECT a AS class_id, b AS other FROM p UNION ALL SELECT b, a FROM p),
+ t AS (SELECT l.class_id, sum(members) AS links FROM l JOIN k ON k.class_id = l.other GROUP BY 1) SELECT doc_id, class_id, CAST(coalesce(links, 0) AS BIGINT) AS links FROM m LEFT JOIN t USING (class_id)""")
+def near_dup_jaccard_links(spark: SparkSession, d: str) -> DataFrame:
+    """For each document the class of its set of words, and how many documents have a similar one."""
+    return similar.similar_texts(table(spark, d, "documents"), 0.7)

@@ -24,3 +24,23 @@ def files(spark: SparkSession, path: str, glob: str = "*", content: bool = True)
 def web_documents(pages: DataFrame) -> DataFrame:
     """Web pages (page_id, url, html) as documents: doc_id, source, text. Pages without text are left out."""
     return pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("source"), html_to_text(F.col("html")).alias("text")).where("text <> ''")
+
+
+#: A line of N-Triples: subject, predicate, then a name, a blank node or a literal with its language or datatype.
+STATEMENT = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*+)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$'
+
+
+def statements(spark: SparkSession, path: str) -> DataFrame:
+    """Statements of N-Triples files below a path: s, p, o, is_iri, lang, datatype. Lines that are none, comments and
+    empty ones among them, are left out; numeric escapes stay as they are, others are resolved."""
+    part = lambda k: F.regexp_extract("value", STATEMENT, k)
+    lines = spark.read.option("recursiveFileLookup", True).text(path).where(F.col("value").rlike(STATEMENT))
+    text = part(5)
+    for sign, char in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
+        text = F.replace(text, F.lit(sign), F.lit(char))
+    name = F.concat(part(3), part(4))
+    none = lambda c: F.when(c != "", c)
+    return lines.select(
+        F.regexp_replace(part(1), "^<|>$", "").alias("s"), part(2).alias("p"), F.when(name != "", name).otherwise(text).alias("o"),
+        (name != "").alias("is_iri"), none(part(6)).alias("lang"), none(part(7)).alias("datatype"),
+    )

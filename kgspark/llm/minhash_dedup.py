@@ -36,14 +36,13 @@ PERCENT = 75
 
 def _features(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for ids, texts in rows_of(batches, "doc_id", "text"):
-        sets = [shingle_set(t) for t in texts]
+        size, key, sketch = [], [], []
+        for s in map(shingle_set, texts):  # no set is kept beside the next one
+            size.append(len(s))
+            key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            sketch.append(s[:k].copy())
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, pa.int64()),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                pa.array([s[:k] for s in sets], pa.list_(pa.int64())),
-            ],
+            [pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))],
             ["doc_id", "n_shingles", "set_key", "sketch"],
         )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from kgspark.functions import text as T
 from kgspark.operators import chunking, fusion, graph, metrics, ontology, resolution, retrieval, similar, sync
@@ -11,6 +12,7 @@ from kgspark.operators.search_index import SearchIndex
 from kgspark.operators.vector_index import VectorIndex
 from kgspark.sources.readers import table, web_documents
 from kgspark.sources.shared import shared_dir, staged
+from kgspark.streaming.changes import ChangeTable
 
 TERMS = ["the", "tion", "ander"]
 QUERIES, ORACLES = {}, {}
@@ -709,3 +711,125 @@ def near_dup_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
 def near_dup_jaccard_links(spark: SparkSession, d: str) -> DataFrame:
     """For each document the class of its set of words, and how many documents have a similar one."""
     return similar.similar_texts(table(spark, d, "documents"), 0.7)
+
+
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    """The events as changes of documents, of which some are of no known kind."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_id") % 97 == 0, "oops").when(F.col("event_type") == "signup", "CREATE").when(F.col("event_type") == "error", "delete").otherwise("UPDATE")
+    return e.select(
+        "event_id", F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"),
+        F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("content"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("s"), (F.col("event_id") % 10).cast("string"))).alias("source_id"),
+    )
+
+
+@query("""WITH e AS (SELECT event_id, '/u/' || user_id AS path, CASE event_type WHEN 'signup' THEN 'CREATE' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS kind, ts, event_type || ':' || event_id AS content,
+  CASE WHEN event_id % 3 = 0 THEN 's' || event_id % 10 END AS source_id FROM events WHERE event_id % 97 <> 0 AND user_id IS NOT NULL AND ts IS NOT NULL),
+ m AS (SELECT *, last_value(CASE WHEN kind = 'CREATE' THEN epoch_us(ts) END IGNORE NULLS) OVER (PARTITION BY path ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS made FROM e),
+ k AS (SELECT * FROM m WHERE kind <> 'UPDATE' OR made IS NULL OR epoch_us(ts) - made >= 3600000000),
+ l AS (SELECT path, arg_max(content, (ts, event_id)) AS content, arg_max(kind, (ts, event_id)) AS kind, arg_max(source_id, (ts, event_id)) FILTER (WHERE source_id IS NOT NULL) AS source_id FROM k GROUP BY path)
+SELECT path, content, source_id FROM l WHERE kind <> 'DELETE'""")
+def stream_replay_matches_batch(spark: SparkSession, d: str) -> DataFrame:
+    """What a stream of changes leaves, taken in four batches by time, each of which comes twice."""
+    e, folder = staged(_changes(spark, d), "changes"), shared_dir(spark, "stream")
+    low, high = e.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    at = F.least(F.floor((F.unix_micros("ts") - F.lit(low or 0)) * 4 / ((high or 1) - (low or 0) + 1)), F.lit(3))
+    for k in range(4):
+        e.where(F.coalesce(at, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    kept = ChangeTable(spark, f"{folder}/table", 3600)
+    kept.follow(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), f"{folder}/mark")
+    for batch in kept.batches():
+        kept.apply(e, batch)
+    return kept.documents().drop("ts")
+
+
+@query("""SELECT doc_id, version, content FROM (SELECT user_id AS doc_id, max(event_id) AS version, arg_max(event_type || ':' || value, event_id) AS content, arg_max(event_type, event_id) AS last
+ FROM events WHERE user_id IS NOT NULL GROUP BY 1) WHERE last <> 'error'""")
+def snapshot_then_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """The last event of each user, from a snapshot of the first half and later events that overlap it."""
+    e = table(spark, d, "events").where("user_id is not null")
+    rows = e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("version"), F.concat_ws(":", "event_type", F.col("value").cast("string")).alias("content"), (F.col("event_type") == "error").alias("deleted"))
+    cut = (rows.agg(F.max("version")).first()[0] or 0) // 2
+    none = rows.limit(0).drop("deleted")
+    return sync.snapshot_then_deltas(sync.snapshot_then_deltas(none, rows.where(F.col("version") <= cut)), rows.where(F.col("version") > cut // 2))
+
+
+@query("""WITH s AS (SELECT doc_id, source || '/' || doc_id AS source_id, 's3://b/' || doc_id AS uri, '/' || lang || '/' || doc_id || '.TXT' AS path FROM documents),
+ a AS (SELECT doc_id AS event_id, CASE doc_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 END AS rank, doc_id FROM labels WHERE doc_id % 5 < 4)
+SELECT event_id, s.doc_id, ['source_id', 'doc_id', 'uri', 'path'][rank + 1] AS by FROM a JOIN s USING (doc_id)""")
+def delete_id_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Which document each delete means, by the first id that is known of it."""
+    i, text = F.col("doc_id"), F.col("doc_id").cast("string")
+    docs = table(spark, d, "documents")
+    state = docs.select("doc_id", F.concat_ws("/", "source", text).alias("source_id"), F.concat(F.lit("s3://b/"), text).alias("uri"), F.concat(F.lit("/"), "lang", F.lit("/"), text, F.lit(".TXT")).alias("path"))
+    x = table(spark, d, "labels").select("doc_id").join(state, "doc_id").where(i % 5 < 4)
+    # earlier ways name nothing that is there, later ones another document
+    asked = x.select(
+        i.alias("event_id"), F.when(i % 5 == 0, F.col("source_id")).otherwise("gone").alias("source_id"), F.when(i % 5 == 1, i).when(i % 5 == 0, i + 1).alias("doc_id"),
+        F.when(i % 5 == 2, F.col("uri")).when(i % 5 < 2, "s3://b/0").alias("uri"), F.when(i % 5 == 3, F.lower("path")).alias("path"),
+    )
+    return sync.resolved_deletes(asked, state)
+
+
+_BUCKETS = """b AS (SELECT event_type AS kind, le, count(*) FILTER (WHERE le IS NULL OR value <= le) AS n FROM events, (VALUES (50), (100), (200), (500), (1000), (2000), (5000), (10000), (NULL)) AS b(le) WHERE value IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_BUCKETS}, w AS (SELECT *, coalesce(lag(n) OVER o, 0) AS below, coalesce(lag(le) OVER o, 0) AS start, 0.95 * max(n) OVER (PARTITION BY kind) AS wanted FROM b WINDOW o AS (PARTITION BY kind ORDER BY le NULLS LAST))
+SELECT kind, round(CASE WHEN le IS NULL THEN start ELSE start + (le - start) * (wanted - below) / (n - below) END, 6) AS quantile FROM w WHERE n >= wanted QUALIFY row_number() OVER (PARTITION BY kind ORDER BY le NULLS LAST) = 1""")
+def histogram_quantile(spark: SparkSession, d: str) -> DataFrame:
+    """The 95th percentile of each kind of event, from its cumulative buckets."""
+    e = _events(spark, d).where("value is not null")
+    whole = e.groupBy("kind").agg(F.count("*").alias("n")).select("kind", F.lit(None).cast("int").alias("le"), "n")
+    return metrics.bucket_quantile(metrics.histogram(e).unionByName(whole), 0.95, ["kind"])
+
+
+_COUNTERS = "c AS (SELECT event_type AS series, ts, CAST(row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) - INTERVAL 1 HOUR * (hour(ts) % 6) ORDER BY ts, event_id) AS DOUBLE) AS value FROM events)"
+
+
+def _counters(spark: SparkSession, d: str) -> DataFrame:
+    """How many events of each kind there were, by a counter that begins anew every six hours."""
+    six = F.window("ts", "6 hours")["start"]
+    n = F.row_number().over(W.partitionBy("kind", six).orderBy("ts", "event_id"))
+    return _events(spark, d).select(F.col("kind").alias("series"), "ts", n.cast("double").alias("value"))
+
+
+@query(f"""WITH {_COUNTERS}, l AS (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts, value) AS was FROM c)
+SELECT series, date_trunc('day', ts) AS start, round(sum(CASE WHEN was IS NULL THEN 0 WHEN value >= was THEN value - was ELSE value END), 4) AS increase FROM l GROUP BY 1, 2""")
+def counter_increase(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.increases(_counters(spark, d))
+
+
+@query("SELECT event_type AS series, date_trunc('hour', ts) AS start, round(avg(value), 6) AS mean, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+def value_mean_over_time(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.mean_over_time(_events(spark, d).select(F.col("kind").alias("series"), "ts", "value"))
+
+
+@query("SELECT user_id AS path, round(CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) / count(*), 6) AS ratio FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def error_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """The share of errors among each user's events."""
+    e = table(spark, d, "events").where("user_id is not null").select(F.col("user_id").alias("path"), "event_type")
+    n = lambda df: df.groupBy("path").agg(F.count("*").alias("value"))
+    return metrics.ratio(n(e.where("event_type = 'error'")), n(e), ["path"])
+
+
+@query(_E + """, b AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e), s AS (SELECT n_nationkey AS query_id, 'Nation:' || n_nationkey AS name FROM nation),
+ h1 AS (SELECT DISTINCT query_id, b.b AS name FROM s JOIN b ON b.a = s.name), h2 AS (SELECT DISTINCT query_id, b.b AS name FROM h1 JOIN b ON b.a = h1.name),
+ f AS (SELECT query_id, name, min(hop) AS hop FROM (SELECT *, 0 AS hop FROM s UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY 1, 2),
+ tx AS (SELECT 'Order:' || o_orderkey AS name FROM orders WHERE o_orderkey % 4 = 0),
+ x AS (SELECT query_id, name, hop, CASE WHEN name IN (SELECT name FROM tx) THEN 1.0 ELSE 0.6 END AS score FROM f WHERE name IN (SELECT a FROM b) OR name IN (SELECT name FROM tx))
+SELECT query_id, name, score, hop FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hop, name) <= 10""")
+def scored_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
+    """The best nodes around each nation, where some orders have a text."""
+    seeds = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("Nation:"), F.col("n_nationkey").cast("string")).alias("name"))
+    texts = table(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.concat(F.lit("Order:"), F.col("o_orderkey").cast("string")).alias("name"))
+    return graph.scored_neighbourhood(graph.edges(_triples(spark, d)), seeds, texts)
+
+
+@query(_E + """, k AS (SELECT r_regionkey AS query_id, 'REGION:' || r_regionkey AS keyword FROM region UNION ALL SELECT 100 + n_nationkey, 'nation:' || n_nationkey FROM nation),
+ x AS (SELECT DISTINCT query_id, label, source || ' -> ' || label || ' -> ' || target AS line FROM e, k WHERE contains(lower(source), lower(keyword)) OR contains(lower(target), lower(keyword)))
+SELECT query_id, label, line FROM x QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY line) <= 40""")
+def relation_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Lines for the edges that touch each region's and nation's name."""
+    named = lambda t, k, n, at: table(spark, d, t).select((F.col(k) + at).cast("long").alias("query_id"), F.concat(F.lit(n), F.col(k).cast("string")).alias("keyword"))
+    words = named("region", "r_regionkey", "REGION:", 0).unionByName(named("nation", "n_nationkey", "nation:", 100))
+    return graph.relation_paths(graph.edges(_triples(spark, d)), words)

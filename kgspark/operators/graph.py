@@ -12,6 +12,8 @@ from kgspark.functions.text import normalized_key, slug
 from kgspark.sources.shared import staged
 
 ONTOLOGY, BASE = "http://example.org/ontology#", "http://example.org/resource/"
+#: Parts that the edges of each node are dealt to where many queries meet them.
+SPREAD = 8
 TRIPLE = ["subject", "subject_type", "predicate", "obj", "obj_type"]
 
 
@@ -64,6 +66,39 @@ def neighbourhood(e: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     return reduce(DataFrame.unionByName, found).groupBy("name").agg(F.min("hop").alias("hop"))
 
 
+def scored_neighbourhood(e: DataFrame, seeds: DataFrame, texts: DataFrame | None = None, hops: int = 2, k: int = 10) -> DataFrame:
+    """(query_id, name, score, hop): the k best nodes within so many steps of each query's seeds (query_id, name), at the fewest.
+
+    Nodes of texts (name) score 1, others 0.6; ties by the fewest steps, then name; seeds are in it themselves, if any edge or
+    text has them. Each step is written out, and a node is looked up once for all queries that reached it before: edges
+    of a hub are joined by the node's name and one of SPREAD parts.
+    """
+    both = e.select(_either(("source", "target"), ("target", "source"), "name", "other")).select("x.*").where("name <> other").distinct()
+    both = staged(both.withColumn("part", F.pmod(F.xxhash64("other"), F.lit(SPREAD))), "both")
+    parts = F.explode(F.array(*map(F.lit, range(SPREAD)))).alias("part")
+    found = staged(seeds.where("name is not null").select("query_id", "name").distinct().withColumn("hop", F.lit(0)), "reached")
+    for hop in range(1, hops + 1):
+        last = found.where(F.col("hop") == hop - 1).select("query_id", "name", parts)
+        more = both.join(last, ["name", "part"]).select("query_id", F.col("other").alias("name")).distinct().withColumn("hop", F.lit(hop))
+        found = staged(found.unionByName(more.join(found, ["query_id", "name"], "left_anti")), "reached")
+    kinds = both.select("name").distinct().withColumn("text", F.lit(False))
+    if texts is not None:
+        kinds = kinds.unionByName(texts.select("name", F.lit(True).alias("text"))).groupBy("name").agg(F.max("text").alias("text"))
+    x = found.join(kinds, "name").withColumn("score", F.when(F.col("text"), 1.0).otherwise(0.6))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "hop", "name"))
+    return x.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "name", "score", "hop")
+
+
+def relation_paths(e: DataFrame, keywords: DataFrame, most: int = 40) -> DataFrame:
+    """(query_id, label, line): 'a -> LABEL -> b' of the edges that touch a keyword (query_id, keyword), whatever its case,
+    the first `most` of each label in order. Keywords go to all tasks; each counts as it stands."""
+    word = F.lower("keyword")
+    touched = F.contains(F.lower("source"), word) | F.contains(F.lower("target"), word)
+    x = e.distinct().join(F.broadcast(keywords.where("keyword <> ''")), touched).select("query_id", "label", F.concat_ws(" -> ", "source", "label", "target").alias("line")).distinct()
+    rank = F.row_number().over(W.partitionBy("query_id", "label").orderBy("line"))
+    return x.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+
+
 def valid(triples: DataFrame, schema: DataFrame) -> DataFrame:
     """The triples whose types and predicate the schema (subject_type, predicate, obj_type) allows."""
     return triples.join(schema, ["subject_type", "predicate", "obj_type"], "left_semi").select(*TRIPLE)

@@ -82,3 +82,44 @@ def duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, content_hash, first, n) of the documents (doc_id, text) whose text others have too: the smallest id with it, and how many have it."""
     x = docs.where("text is not null").select("doc_id", content_hash().alias("content_hash"))
     return x.join(x.groupBy("content_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "content_hash")
+
+
+KINDS = ("CREATE", "UPDATE", "DELETE")
+
+
+def sound_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events (event_id, path, kind, ts, ...) that can be applied, and the others (event_id, reason): without id, path or
+    time, or of an unknown kind. Kinds are taken in any case."""
+    kind = F.upper(F.trim("kind"))
+    reason = (
+        F.when(F.col("event_id").isNull(), "no id").when(F.coalesce(F.trim("path"), F.lit("")) == "", "no path").when(F.col("ts").isNull(), "no time")
+        .when(~F.coalesce(kind.isin(*KINDS), F.lit(False)), "unknown kind")
+    )
+    x = events.withColumn("kind", kind).withColumn("reason", reason)
+    return x.where("reason is null").drop("reason"), x.where("reason is not null").select("event_id", "reason")
+
+
+def resolved_deletes(deletes: DataFrame, state: DataFrame) -> DataFrame:
+    """(event_id, doc_id, by) for deletes (event_id, source_id, doc_id, uri, path): the document of the state (doc_id,
+    source_id, uri, path) that the first of these ways finds: its source_id, its doc_id, its uri, its path whatever the case.
+
+    Where one way finds several documents, the smallest doc_id is taken; deletes that find none are left out.
+    """
+    ways = [("source_id", F.col("source_id")), ("doc_id", F.col("doc_id")), ("uri", F.col("uri")), ("path", F.lower("path"))]
+    key = lambda: F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(n).alias("by"), c.cast("string").alias("value")) for k, (n, c) in enumerate(ways)])).alias("x")
+    asked = deletes.select("event_id", key()).select("event_id", "x.*").where("value is not null")
+    held = state.select(F.col("doc_id").alias("found"), key()).select("found", F.col("x.rank").alias("rank"), F.col("x.value").alias("value")).where("value is not null")
+    hits = asked.join(held.groupBy("rank", "value").agg(F.min("found").alias("found")), ["rank", "value"])
+    return hits.groupBy("event_id").agg(F.min(F.struct("rank", "found", "by")).alias("x")).select("event_id", F.col("x.found").alias("doc_id"), "x.by")
+
+
+def snapshot_then_deltas(snapshot: DataFrame, deltas: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The table (key, version, ...) after deltas (the same columns and deleted), whatever part of them the snapshot holds.
+
+    Of a key the row of the highest version counts. So deltas may begin before the snapshot was taken, overlap it and
+    repeat, and nothing is lost or applied twice; they must only reach back to the snapshot's moment.
+    """
+    rest = [c for c in snapshot.columns if c not in (key, "version")]
+    x = snapshot.withColumn("deleted", F.lit(False)).unionByName(deltas.select(*snapshot.columns, "deleted"))
+    last = x.groupBy(key).agg(F.max(F.struct("version", "deleted", *rest)).alias("x"))
+    return last.where("not x.deleted").select(key, "x.version", *[f"x.{c}" for c in rest])

@@ -1,4 +1,4 @@
-"""Streams of events: windowed rates with a watermark, and change state kept for each document."""
+"""Streams of events: windowed rates with a watermark. Change state kept for each document is in changes.py."""
 
 from __future__ import annotations
 

@@ -167,3 +167,57 @@ def node_id(c: Column, forbidden: str = "") -> Column:
     s = F.translate(s, forbidden, "") if forbidden else s
     s = F.trim(F.regexp_replace(s, r"\s+", " "))
     return F.when(s == "", F.lit("unknown")).otherwise(s)
+
+
+def metadata_key(c: Column) -> Column:
+    """A key for stores that take names alone: white space and hyphens become _, other signs go, a digit in front gets a _; _unknown if nothing is left."""
+    s = F.regexp_replace(F.regexp_replace(c, r"[\s\-]+", "_"), "[^A-Za-z0-9_]", "")
+    s = F.when(s.rlike("^[0-9]"), F.concat(F.lit("_"), s)).otherwise(s)
+    return F.when(F.coalesce(s, F.lit("")) == "", F.lit("_unknown")).otherwise(s)
+
+
+def normal_path(c: Column) -> Column:
+    """A path without . and empty parts, each .. taking the part in front of it; . if nothing is left; null and '' stay. Three slashes or more in front count as one."""
+    root = F.when(c.rlike("^//[^/]|^//$"), "//").when(F.startswith(c, F.lit("/")), "/").otherwise("")
+    parts = F.filter(F.split(c, "/"), lambda x: ~x.isin("", "."))
+
+    def step(t: Column, x: Column) -> Column:
+        last = F.try_element_at(t, F.lit(-1))
+        up = (x == "..") & last.isNotNull() & (last != "..")
+        return F.when(up, F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0)))).when((x == "..") & last.isNull() & (root != ""), t).otherwise(F.array_append(t, x))
+
+    s = F.concat(root, F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    return F.when(c == "", c).when(s == "", F.lit(".")).otherwise(s)
+
+
+def timestamp(c: Column) -> Column:
+    """An ISO date or time, with Z, an offset or none (the session's zone), as a timestamp; null for anything else."""
+    iso = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+    return F.when(c.rlike(iso), F.translate(c, ",", ".").try_cast("timestamp"))
+
+
+def uuid5(namespace: str, c: Column) -> Column:
+    """The version 5 UUID of a name: of the SHA-1 of the namespace's sixteen bytes and the name."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(c, "UTF-8")))
+    variant = F.lower(F.hex((F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 8))
+    cut = lambda a, n: F.substring(h, a, n)
+    return F.concat(cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-5"), cut(14, 3), F.lit("-"), variant, cut(18, 3), F.lit("-"), cut(21, 12))
+
+
+def synonyms(raw: Column, original: Column) -> Column:
+    """The parts of a text between ^, trimmed, each once whatever its case, without the original."""
+    parts = F.filter(F.transform(F.split(raw, r"\^"), lambda x: F.trim(x)), lambda x: (x != "") & (F.lower(x) != F.lower(original)))
+
+    def step(t: Column, x: Column) -> Column:
+        return F.when(F.exists(t, lambda y: F.lower(y) == F.lower(x)), t).otherwise(F.array_append(t, x))
+
+    return F.aggregate(parts, F.array().cast("array<string>"), step)
+
+
+def article(c: Column, language: str = "en") -> Column:
+    """(title, language) of an encyclopedia's article: from its web address, decoded, or a title as it stands."""
+    pattern = r"https?://(?:www\.)?([a-zA-Z]{2,3})\.wikipedia\.org/wiki/(.*)"
+    t = F.trim(c)
+    # a + is no space in a path
+    title = F.try_url_decode(F.replace(F.regexp_extract(t, pattern, 2), F.lit("+"), F.lit("%2B")))
+    return F.when(t.rlike(pattern), F.struct(title.alias("title"), F.regexp_extract(t, pattern, 1).alias("language"))).otherwise(F.struct(t.alias("title"), F.lit(language).alias("language")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kgspark.functions import text as T
-from kgspark.operators import chunking, fusion, graph, metrics, ontology, resolution, retrieval, similar, sync
+from kgspark.operators import chunking, fusion, graph, graph_documents, metrics, ontology, resolution, retrieval, similar, sync
 from kgspark.operators.search_index import SearchIndex
 from kgspark.operators.vector_index import VectorIndex
 from kgspark.sources.readers import table, web_documents
@@ -833,3 +833,64 @@ def relation_paths(spark: SparkSession, d: str) -> DataFrame:
     named = lambda t, k, n, at: table(spark, d, t).select((F.col(k) + at).cast("long").alias("query_id"), F.concat(F.lit(n), F.col(k).cast("string")).alias("keyword"))
     words = named("region", "r_regionkey", "REGION:", 0).unionByName(named("nation", "n_nationkey", "nation:", 100))
     return graph.relation_paths(graph.edges(_triples(spark, d)), words)
+
+
+def _chunk_triples(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Turns of conversations as chunks, and triples of who said what there."""
+    c = table(spark, d, "conversations").where("conv_id is not null and turn is not null")
+    chunk = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    chunks = c.select(F.col("conv_id").alias("doc_id"), chunk.alias("chunk_id"), F.col("turn").alias("index"), "text")
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), r"^\s*(\S+)", 1)
+    props = lambda a, b: F.concat(F.lit('{ "turn" : '), a.cast("string"), F.lit(', "a": "'), b, F.lit('" }'))
+    t = c.select(
+        F.col("conv_id").alias("doc_id"), F.when(F.col("turn") % 3 != 2, chunk).alias("chunk_id"), F.col("turn").alias("at"), F.col("role").alias("subject"), F.when(F.col("turn") % 2 == 0, "Speaker").alias("subject_type"),
+        props(F.col("turn"), F.lit("s")).alias("subject_properties"), F.lit("begins with").alias("predicate"), F.regexp_replace(word, r'[\\"]', "").alias("obj"), F.lit("Word").alias("obj_type"),
+        F.when(F.col("turn") % 4 == 0, "no json").alias("obj_properties"), props(F.col("turn") * 2, F.col("role")).alias("properties"),
+    )
+    return t, chunks
+
+
+_CHUNK_T = r"""WITH c AS (SELECT * FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL), t AS (SELECT conv_id AS doc_id, CASE WHEN turn % 3 <> 2 THEN conv_id || '-' || turn ELSE CAST(conv_id AS VARCHAR) END AS chunk_id, turn AS pos, role AS subject,
+ CASE WHEN turn % 2 = 0 THEN 'Speaker' ELSE 'Entity' END AS subject_type, '{"a":"s","turn":' || turn || '}' AS sp, 'begins with' AS predicate, regexp_replace(regexp_extract(coalesce(text, ''), '^\s*(\S+)', 1), '[\\"]', '', 'g') AS obj,
+ '{"a":"' || role || '","turn":' || turn * 2 || '}' AS pp FROM c), n AS (SELECT doc_id, pos, 0 AS side, subject AS name, subject_type AS type, sp AS properties FROM t UNION ALL SELECT doc_id, pos, 1, obj, 'Word', '{}' FROM t),
+ f AS (SELECT doc_id, name, arg_min(type, (pos, side, type)) AS type, arg_min(properties, (pos, side, type, properties)) AS properties FROM n WHERE trim(name) <> '' GROUP BY 1, 2)"""
+
+
+@query(_CHUNK_T + """, e AS (SELECT DISTINCT doc_id, chunk_id, unnest([subject, obj]) AS name FROM t), g AS (SELECT e.doc_id, chunk_id, string_agg(name || '|' || type || '|' || properties, ' ; ' ORDER BY name) AS entities FROM e JOIN f USING (doc_id, name) GROUP BY 1, 2),
+ r AS (SELECT doc_id, chunk_id, string_agg(subject || '|BEGINS_WITH|' || obj || '|' || pp, ' ; ' ORDER BY pos, subject, obj, pp) AS relations FROM t GROUP BY 1, 2)
+SELECT r.doc_id, r.chunk_id, coalesce(x.text, '') AS text, coalesce(entities, '') AS entities, relations FROM r LEFT JOIN g ON g.doc_id = r.doc_id AND g.chunk_id = r.chunk_id LEFT JOIN c x ON x.conv_id || '-' || x.turn = r.chunk_id""")
+def graph_documents_by_chunk(spark: SparkSession, d: str) -> DataFrame:
+    x = graph_documents.graph_documents(*_chunk_triples(spark, d))
+    flat = lambda c, *names: F.array_join(F.transform(c, lambda v: F.concat_ws("|", *[v[n] for n in names])), " ; ")
+    return x.select("doc_id", "chunk_id", "text", flat("entities", "name", "type", "properties").alias("entities"), flat("relations", "source", "type", "target", "properties").alias("relations"))
+
+
+@query()
+def graph_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return graph_documents.graph_fingerprint(*_chunk_triples(spark, d))
+
+
+@query(_CHUNK_T + f""" SELECT '{graph_documents.BASE}' || name AS s, 'rdf:type' AS p, '{graph_documents.BASE}' || type AS o, true AS is_iri FROM f
+ UNION SELECT '{graph_documents.BASE}' || name, '{graph_documents.BASE}' || k, json_extract_string(properties, k), false FROM f, (VALUES ('a'), ('turn')) v(k) WHERE json_extract_string(properties, k) IS NOT NULL
+ UNION SELECT '{graph_documents.BASE}' || subject, '{graph_documents.BASE}begins with', '{graph_documents.BASE}' || obj, true FROM t
+ UNION SELECT '{graph_documents.BASE}' || subject, '{graph_documents.BASE}begins with_' || k, json_extract_string(pp, k), false FROM t, (VALUES ('a'), ('turn')) v(k)""")
+def property_graph_rdf(spark: SparkSession, d: str) -> DataFrame:
+    t = _chunk_triples(spark, d)[0]
+    nodes = graph_documents.first_entities(t).select("name", "type", "properties")
+    return graph_documents.rdf_view(nodes, t.select(F.col("subject").alias("source"), F.col("predicate").alias("label"), F.col("obj").alias("target"), "properties"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT conv_id AS id, turn * 7.5::DOUBLE AS start, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) AS k, count(*) OVER (PARTITION BY conv_id) AS n, max(turn) OVER (PARTITION BY conv_id) * 7.5::DOUBLE AS final FROM conversations WHERE turn IS NOT NULL),
+ f AS (SELECT id, k, n, final, start, CASE WHEN start >= 20 THEN 40 ELSE 20 END::DOUBLE AS till, CASE WHEN start >= 20 THEN '' ELSE text || ' ' END AS held, CASE WHEN start >= 20 THEN text || ' ' END AS done FROM s WHERE k = 1
+  UNION ALL SELECT s.id, s.k, s.n, s.final, s.start, CASE WHEN s.start >= till THEN till + 20 ELSE till END, CASE WHEN s.start >= till THEN '' ELSE held || s.text || ' ' END, CASE WHEN s.start >= till THEN held || s.text || ' ' END FROM f JOIN s ON s.id = f.id AND s.k = f.k + 1),
+ p AS (SELECT id, k, till - 40 AS start, start AS "end", trim(done) AS text FROM f WHERE done IS NOT NULL UNION ALL SELECT id, k + 1, till - 20, final, trim(held) FROM f WHERE k = n)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS INTEGER) AS chunk, start, "end", text FROM p WHERE text <> ''""")
+def transcript_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as transcripts, a turn every seven and a half seconds, in pieces of twenty."""
+    c = table(spark, d, "conversations").where("turn is not null")
+    return chunking.timed(c.select(F.col("conv_id").alias("id"), (F.col("turn") * 7.5).alias("start"), "text"), 20)
+
+
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(url, '[\s\-]+', '_', 'g'), '[^A-Za-z0-9_]', '', 'g') AS key FROM pages""")
+def metadata_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", T.metadata_key(F.col("url")).alias("key"))

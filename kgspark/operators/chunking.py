@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATORS = (r"\n{2,}", r"[.!?…]\s+", r"[:;]\s+")
@@ -56,3 +56,26 @@ def chunks(docs: DataFrame, size: int = 1024, overlap: int = 128) -> DataFrame:
 def sections(docs: DataFrame, pattern: str) -> DataFrame:
     """(doc_id, section, text): a text's parts between matches of a pattern, numbered from 0; blank ones go."""
     return docs.select("doc_id", F.posexplode(F.split("text", pattern)).alias("section", "text")).where("trim(text) <> ''")
+
+
+def timed(segments: DataFrame, seconds: int = 60) -> DataFrame:
+    """(id, chunk, start, end, text) of transcripts (id, start, text), start in seconds: pieces of some so many seconds.
+
+    A segment that reaches the end of the running piece still belongs to it and closes it; the next piece's end is so many
+    seconds on, wherever that segment stood. So a piece depends on those before it, and a transcript is gone through in
+    order by a fold. The last piece ends where the last segment begins. Blank pieces are left out.
+    """
+    rows = segments.where("start is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("double").alias("start"), F.coalesce("text", F.lit("")).alias("text")))).alias("all"))
+    piece = "struct<start: double, end: double, text: string>"
+    begin = F.struct(F.lit(float(seconds)).alias("till"), F.lit("").alias("text"), F.array().cast(f"array<{piece}>").alias("done"))
+
+    def step(t: Column, x: Column) -> Column:
+        text = F.concat(t["text"], x["text"], F.lit(" "))
+        full = F.struct((t["till"] - seconds).alias("start"), x["start"].alias("end"), F.trim(text).alias("text"))
+        closed = F.struct((t["till"] + seconds).alias("till"), F.lit("").alias("text"), F.array_append(t["done"], full).alias("done"))
+        return F.when(x["start"] >= t["till"], closed).otherwise(F.struct(t["till"].alias("till"), text.alias("text"), t["done"].alias("done")))
+
+    last = lambda t: F.struct((t["till"] - seconds).alias("start"), F.element_at("all", -1)["start"].alias("end"), F.trim(t["text"]).alias("text"))
+    folded = rows.withColumn("t", F.aggregate("all", begin, step))
+    pieces = F.filter(F.array_append(F.col("t.done"), last(F.col("t"))), lambda v: v["text"] != "")
+    return folded.select("id", F.posexplode(pieces).alias("chunk", "x")).select("id", "chunk", "x.start", "x.end", "x.text")

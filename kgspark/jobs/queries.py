@@ -894,3 +894,41 @@ def transcript_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(url, '[\s\-]+', '_', 'g'), '[^A-Za-z0-9_]', '', 'g') AS key FROM pages""")
 def metadata_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.metadata_key(F.col("url")).alias("key"))
+
+
+def _order_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Who placed which order, with properties of some and the customer's nation as their document."""
+    named = lambda c, n: F.concat(F.lit(n), F.col(c).cast("string"))
+    key = F.col("o_orderkey")
+    props = F.create_map(
+        F.lit("Status"), F.when(key % 2 == 0, F.col("o_orderstatus")), F.lit("order priority"), F.when(key % 3 == 0, F.col("o_orderpriority")), F.lit("file_name"), F.lit("x.txt"),
+        F.lit("Size"), F.when(key % 3 == 0, key.cast("string")),
+    )
+    return table(spark, d, "orders").select(named("o_custkey", "Customer:").alias("subject"), F.lit("placed").alias("predicate"), named("o_orderkey", "Order:").alias("obj"), F.when(key % 5 > 0, key % 25).alias("ref_doc_id"), props.alias("properties"))
+
+
+_ANNOTATED = """WITH r AS (SELECT '<http://example.org/resource/customer_' || o_custkey || '>' AS s, '<http://example.org/ontology#placed>' AS p, '<http://example.org/resource/order_' || o_orderkey || '>' AS o,
+ CASE WHEN o_orderkey % 5 > 0 THEN '<http://example.org/ontology#ref_doc_id> "' || o_orderkey % 25 || '"' END AS ref, CASE WHEN o_orderkey % 3 = 0 THEN '"' || o_orderkey || '"^^xsd:integer' END AS size,
+ CASE WHEN o_orderkey % 2 = 0 THEN '"' || o_orderstatus || '"' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN '"' || o_orderpriority || '"' END AS priority FROM orders)"""
+
+
+@query(_ANNOTATED + """, b AS (SELECT s, p, o, concat_ws(' ; ', ref, '<http://example.org/ontology#size> ' || size, '<http://example.org/ontology#status> ' || status, '<http://example.org/ontology#order_priority> ' || priority) AS b FROM r)
+SELECT DISTINCT s || ' ' || p || ' ' || o || CASE WHEN b <> '' THEN ' {| ' || b || ' |}' ELSE '' END || ' .' AS line FROM b""")
+def rdf_annotation_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return graph.annotated_turtle(_order_relations(spark, d), "rdf_1.2", _order_types(spark))
+
+
+@query(_ANNOTATED + """ SELECT DISTINCT line FROM (SELECT s || ' ' || p || ' ' || o || ' .' AS line FROM r UNION ALL SELECT '<< ' || s || ' ' || p || ' ' || o || ' >> ' || unnest([ref, '<http://example.org/ontology#size> ' || size,
+ '<http://example.org/ontology#status> ' || status, '<http://example.org/ontology#order_priority> ' || priority]) || ' .' FROM r) WHERE line IS NOT NULL""")
+def rdf_quoted_statements(spark: SparkSession, d: str) -> DataFrame:
+    return graph.annotated_turtle(_order_relations(spark, d), "rdf_star", _order_types(spark))
+
+
+@query(_ANNOTATED + """ SELECT DISTINCT line FROM (SELECT s || ' ' || p || ' ' || o || ' .' AS line FROM r UNION ALL SELECT s || ' ' || unnest(['<http://example.org/ontology#placed__size> ' || size,
+ '<http://example.org/ontology#placed__status> ' || status, '<http://example.org/ontology#placed__order_priority> ' || priority]) || ' .' FROM r) WHERE line IS NOT NULL""")
+def rdf_flat_properties(spark: SparkSession, d: str) -> DataFrame:
+    return graph.annotated_turtle(_order_relations(spark, d), "flat", _order_types(spark))
+
+
+def _order_types(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("SIZE", "xsd:integer")], "name string, datatype string")

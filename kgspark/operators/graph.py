@@ -345,3 +345,47 @@ def turtle(rdf: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
     lines = rdf.select(F.lit(1).alias("section"), F.concat(iri(F.col("s"), prefixes), F.lit(" "), iri(F.col("p"), prefixes), F.lit(" "), o, F.lit(" .")).alias("line"))
     head = rdf.sparkSession.createDataFrame([(0, f"@prefix {k}: <{v}> .") for k, v in prefixes.items()], "section int, line string")
     return head.unionByName(lines.where("line is not null"))
+
+
+# Keys that tell where a relation comes from; they describe documents and are no annotations.
+PROVENANCE = ("file_path", "file_name", "file_type", "source", "modified_at", "modified at", "ref_doc_id", "doc_id", "conversion_method")
+#: Ways to write properties of a relation: an annotation block, a quoted statement, or a property of the subject.
+MODES = ("rdf_1.2", "rdf_star", "flat")
+#: Datatypes, by property, that go to every task as one map.
+MOST_TYPES = 100_000
+
+
+def annotated_turtle(relations: DataFrame, mode: str = "rdf_1.2", types: DataFrame | None = None) -> DataFrame:
+    """(line): Turtle of relations (subject, predicate, obj, ref_doc_id, properties), names and a map of strings, with their properties.
+
+    rdf_1.2 writes each relation with its ref_doc_id and then its properties as one annotation block; rdf_star the plain
+    relation, and a quoted statement with each of them; flat the plain relation, and each property at its subject as
+    predicate__property. Plain relations stand once. PROVENANCE and null values are left out. types (name, datatype), by
+    upper-case property, gives literals their datatype. Relations with a missing part give no line.
+    """
+    if mode not in MODES:
+        raise ValueError(mode)
+    spark = relations.sparkSession
+    types = spark.createDataFrame([], "name string, datatype string") if types is None else types
+    if types.limit(MOST_TYPES + 1).count() > MOST_TYPES:
+        raise ValueError("too many datatypes for one map")
+    known = types.where("name is not null").groupBy("name").agg(F.min("datatype").alias("datatype")).agg(F.map_from_entries(F.collect_list(F.struct("name", "datatype"))).alias("types"))
+    node = lambda c: F.when(F.col(c).rlike("^(https?|urn):"), F.col(c)).otherwise(F.concat(F.lit(BASE), slug(F.col(c))))
+    name = lambda c: F.concat(F.lit(ONTOLOGY), slug(c))
+    x = relations.where("subject is not null and predicate is not null and obj is not null").crossJoin(F.broadcast(known))
+    own = F.array_sort(F.map_entries(F.map_filter(F.coalesce("properties", F.create_map().cast("map<string, string>")), lambda k, v: v.isNotNull() & ~k.isin(*PROVENANCE))))
+    x = x.select(iri(node("subject")).alias("s"), F.col("predicate"), iri(name(F.col("predicate"))).alias("p"), iri(node("obj")).alias("o"), F.col("ref_doc_id").cast("string").alias("ref"), own.alias("own"), "types")
+    datatype = lambda k: F.coalesce(F.try_element_at(F.col("types"), F.upper(k)), F.lit("xsd:string"))
+    triple = F.concat_ws(" ", "s", "p", "o")
+    if mode == "flat":
+        flat = lambda e: F.concat_ws(" ", F.col("s"), iri(F.concat(F.lit(ONTOLOGY), slug(F.col("predicate")), F.lit("__"), slug(e["key"]))), literal(e["value"], datatype(e["key"])), F.lit("."))
+        lines = F.array_prepend(F.transform("own", flat), F.concat(triple, F.lit(" .")))
+        return x.select(F.explode(lines).alias("line")).distinct()
+    said = F.transform("own", lambda e: F.concat(iri(name(e["key"])), F.lit(" "), literal(e["value"], datatype(e["key"]))))
+    ref = F.concat(iri(F.lit(ONTOLOGY + "ref_doc_id")), F.lit(" "), literal(F.col("ref"), F.lit("xsd:string")))
+    said = F.when(F.col("ref").isNotNull(), F.array_prepend(said, ref)).otherwise(said)
+    if mode == "rdf_1.2":
+        block = F.when(F.size(said) > 0, F.concat(F.lit(" {| "), F.array_join(said, " ; "), F.lit(" |}"))).otherwise("")
+        return x.select(F.concat(triple, block, F.lit(" .")).alias("line")).distinct()
+    quoted = F.transform(said, lambda v: F.concat(F.lit("<< "), triple, F.lit(" >> "), v, F.lit(" .")))
+    return x.select(F.explode(F.array_prepend(quoted, F.concat(triple, F.lit(" .")))).alias("line")).distinct()

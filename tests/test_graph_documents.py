@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
-from kgspark.operators import chunking, graph_documents
+from kgspark.operators import chunking, graph, graph_documents
 
 TRIPLES = "doc_id long, chunk_id string, at int, subject string, subject_type string, subject_properties string, predicate string, obj string, obj_type string, obj_properties string, properties string"
 CHUNKS = "doc_id long, chunk_id string, index int, text string"
@@ -84,3 +84,17 @@ def test_scalars_equal_the_standard_library(spark):
     urls = [("https://de.wikipedia.org/wiki/Stra%C3%9Fe_1+1", "Straße_1+1", "de"), (" Old Pier ", "Old Pier", "en"), ("", "", "en")]
     got = spark.createDataFrame([(u,) for u, *_ in urls], "u string").select(T.article(F.col("u")).alias("a")).collect()
     assert [(r.a.title, r.a.language) for r in got] == [u[1:] for u in urls]
+
+
+def test_properties_of_relations_in_three_ways(spark):
+    rows = [("A b", "Works For", "http://x/c>d", 7, {"Since": "2001", "doc_id": "9", "n": None}), ("A b", "Works For", "http://x/c>d", None, None), ("A b", "Works For", None, 1, {})]
+    r = spark.createDataFrame(rows, "subject string, predicate string, obj string, ref_doc_id long, properties map<string, string>")
+    types = spark.createDataFrame([("SINCE", "xsd:gYear")], "name string, datatype string")
+    got = lambda mode: {x.line for x in graph.annotated_turtle(r, mode, types).collect()}
+    s, p, o, on = "<http://example.org/resource/a_b>", "<http://example.org/ontology#works_for>", "<http://x/c\\u003Ed>", "http://example.org/ontology#"
+    assert got("rdf_1.2") == {f'{s} {p} {o} {{| <{on}ref_doc_id> "7" ; <{on}since> "2001"^^xsd:gYear |}} .', f"{s} {p} {o} ."}
+    assert got("rdf_star") == {f"{s} {p} {o} .", f'<< {s} {p} {o} >> <{on}ref_doc_id> "7" .', f'<< {s} {p} {o} >> <{on}since> "2001"^^xsd:gYear .'}
+    assert got("flat") == {f"{s} {p} {o} .", f'{s} <{on}works_for__since> "2001"^^xsd:gYear .'}
+    with pytest.raises(ValueError):
+        graph.annotated_turtle(r, "xml")
+    assert graph.annotated_turtle(r.limit(0)).count() == 0

@@ -221,3 +221,30 @@ def article(c: Column, language: str = "en") -> Column:
     # a + is no space in a path
     title = F.try_url_decode(F.replace(F.regexp_extract(t, pattern, 2), F.lit("+"), F.lit("%2B")))
     return F.when(t.rlike(pattern), F.struct(title.alias("title"), F.regexp_extract(t, pattern, 1).alias("language"))).otherwise(F.struct(t.alias("title"), F.lit(language).alias("language")))
+
+
+# How answers without a result start, and what they hold.
+NO_ANSWER_STARTS = (
+    "i don't have", "i do not have", "no information", "not enough information", "cannot find", "could not find", "no results", "i don't know", "i do not know", "i couldn't find", "i could not find", "no data", "not found",
+    "unable to find", "unable to answer", "the information provided does not", "the provided information does not", "the context does not", "the data does not", "based on the information provided, i cannot",
+    "based on the provided information, i cannot", "i'm sorry, but i don't", "i'm sorry, but i do not", "i'm sorry, i don't", "i'm sorry, i do not", "i am sorry, but i don't", "i am sorry, but i do not",
+)
+NO_ANSWER_PARTS = (
+    "unable to determine", "unable to specify", "cannot be determined", "does not specify who", "does not mention who", "does not contain information", "no relevant information", "not mentioned in the", "not specified in the",
+)
+
+
+def is_no_answer(c: Column) -> Column:
+    """A text that says that there is no answer, by how it starts or what it holds, in any case; false for null."""
+    t = F.lower(stripped(F.coalesce(c, F.lit(""))))
+    return t.rlike("^(?:" + "|".join(NO_ANSWER_STARTS) + ")|" + "|".join(NO_ANSWER_PARTS))
+
+
+def query_language(c: Column) -> Column:
+    """The language of a generated query, by the first of these that it holds: sparql, gremlin, aql, cypher, else unknown."""
+    q = F.upper(c)
+    kind = (
+        F.when(q.rlike("SELECT|CONSTRUCT|ASK|DESCRIBE"), "sparql").when(c.rlike(r"g\.[VE]\("), "gremlin")
+        .when(F.contains(q, F.lit("FOR ")) & F.contains(q, F.lit(" RETURN ")), "aql").when(q.rlike("MATCH|CREATE|MERGE"), "cypher")
+    )
+    return F.coalesce(kind, F.lit("unknown"))

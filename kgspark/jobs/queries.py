@@ -932,3 +932,23 @@ def rdf_flat_properties(spark: SparkSession, d: str) -> DataFrame:
 
 def _order_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("SIZE", "xsd:integer")], "name string, datatype string")
+
+
+_SAID = "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN ' I DO NOT know ' || text WHEN 1 THEN text || ' is not mentioned in the text' WHEN 2 THEN 'match (n) return ' || text ELSE text END AS text FROM conversations"
+
+
+def _said(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("turn") % 4
+    text = F.when(m == 0, F.concat(F.lit(" I DO NOT know "), "text")).when(m == 1, F.concat("text", F.lit(" is not mentioned in the text"))).when(m == 2, F.concat(F.lit("match (n) return "), "text")).otherwise(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.alias("text"))
+
+
+@query(f"WITH s AS ({_SAID}) SELECT conv_id, turn FROM s WHERE NOT (" + " OR ".join([f"starts_with(lower(trim(coalesce(text, ''))), '{x}')".replace("n't", "n''t").replace("i'm", "i''m") for x in T.NO_ANSWER_STARTS] + [f"contains(lower(coalesce(text, '')), '{x}')" for x in T.NO_ANSWER_PARTS]) + ")")
+def answers_with_a_result(spark: SparkSession, d: str) -> DataFrame:
+    return _said(spark, d).where(~T.is_no_answer(F.col("text"))).select("conv_id", "turn")
+
+
+@query(f"""WITH s AS ({_SAID}) SELECT conv_id, turn, CASE WHEN regexp_matches(upper(text), 'SELECT|CONSTRUCT|ASK|DESCRIBE') THEN 'sparql' WHEN contains(text, 'g.V(') OR contains(text, 'g.E(') THEN 'gremlin'
+ WHEN contains(upper(text), 'FOR ') AND contains(upper(text), ' RETURN ') THEN 'aql' WHEN regexp_matches(upper(text), 'MATCH|CREATE|MERGE') THEN 'cypher' ELSE 'unknown' END AS language FROM s""")
+def query_languages(spark: SparkSession, d: str) -> DataFrame:
+    return _said(spark, d).select("conv_id", "turn", T.query_language(F.col("text")).alias("language"))

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str, glob: str = "*", content: bool = True) -> DataFrame:
-    """Files below a path on any file system Spark reads: path, modified, ordinal (microseconds), size, fingerprint[, content]."""
+    """Files below a path on any file system Spark reads: path, modified, ordinal (microseconds), size, fingerprint[, content]. Spark gives no row for empty files."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     ordinal = F.unix_micros("modificationTime")
     cols = ["path", F.col("modificationTime").alias("modified"), ordinal.alias("ordinal"), F.col("length").alias("size"), F.concat(F.lit("ord:"), ordinal).alias("fingerprint")]

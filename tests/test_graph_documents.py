@@ -98,3 +98,24 @@ def test_properties_of_relations_in_three_ways(spark):
     with pytest.raises(ValueError):
         graph.annotated_turtle(r, "xml")
     assert graph.annotated_turtle(r.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("text", "want"), [("  I don't know.", True), ("It cannot be Determined here", True), ("I know", False), ("We could not find it", False), ("Not found", True), (None, False), ("", False)])
+def test_answers_without_a_result(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(T.is_no_answer(F.col("t"))).first()[0] is want
+
+
+def test_files_and_overlap(spark, tmp_path):
+    from kgspark.sources.readers import files
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.txt").write_text("abc")
+    (tmp_path / "sub" / "b.txt").write_text("ü")
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "c.bin").write_text("x")
+    got = {r.path.split("/")[-1]: r for r in files(spark, f"file://{tmp_path}", "*.txt").collect()}
+    assert {k: (r.size, bytes(r.content)) for k, r in got.items()} == {"a.txt": (3, b"abc"), "b.txt": (2, "ü".encode())}
+    assert all(r.fingerprint == f"ord:{r.ordinal}" for r in got.values())
+    assert "content" not in files(spark, f"file://{tmp_path}", content=False).columns
+    rows = [("a b c", "B c d"), ("x", "x"), ("a a", "a")]
+    assert [r[0] for r in spark.createDataFrame(rows, "x string, y string").select(T.word_overlap(F.col("x"), F.col("y"))).collect()] == [0.5, 1.0, 1.0]

@@ -164,7 +164,8 @@ _BOTH = f"""WITH {_bm25_sql()},
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.labelled({"bm25": _index(spark, d).search(TERMS, 15), "vector": retrieval.vector_topk(*_vectors(spark, d), 15)})
+    # thirty rows, read more than once
+    return staged(fusion.labelled({"bm25": _index(spark, d).search(TERMS, 15), "vector": retrieval.vector_topk(*_vectors(spark, d), 15)}), "results")
 
 
 def _rank_sql(by: str = "") -> str:
@@ -196,7 +197,7 @@ _BOTH_EACH = f"""WITH {_bm25_each_sql(k=15)}, v AS (SELECT vec_id AS node_id, CA
 
 def _results_each(spark: SparkSession, d: str) -> DataFrame:
     """For every hundredth id: the best by its text and by its vector."""
-    return fusion.labelled({"bm25": _index(spark, d).search_each(_asked(spark, d), 15), "vector": _vectors_each(spark, d, "cosine", 15)})
+    return staged(fusion.labelled({"bm25": _index(spark, d).search_each(_asked(spark, d), 15), "vector": _vectors_each(spark, d, "cosine", 15)}), "results")
 
 
 @query(_BOTH_EACH + """, x AS (SELECT query_id, node_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END / 2 AS score

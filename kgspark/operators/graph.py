@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -14,6 +17,8 @@ from kgspark.sources.shared import staged
 ONTOLOGY, BASE = "http://example.org/ontology#", "http://example.org/resource/"
 #: Parts that the edges of each node are dealt to where many queries meet them.
 SPREAD = 8
+#: Seeds that may be broadcast, and rows of the best so far that a task holds before it hands them on.
+FEW_SEEDS, HELD = 100_000, 100_000
 TRIPLE = ["subject", "subject_type", "predicate", "obj", "obj_type"]
 
 
@@ -66,6 +71,24 @@ def neighbourhood(e: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     return reduce(DataFrame.unionByName, found).groupBy("name").agg(F.min("hop").alias("hop"))
 
 
+def _foremost(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows (query_id, name, score, hop) of each query_id among those of a task, or some more: nothing is sorted but a batch and what was best before it."""
+    best = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if best is None else pa.concat_tables([best, rows])
+        # text in Arrow is ordered by its bytes, as in Spark
+        rows = rows.append_column("of", rows.column(0).combine_chunks().dictionary_encode("encode").indices)
+        rows = rows.sort_by([("of", "ascending"), ("score", "descending"), ("hop", "ascending"), ("name", "ascending")])
+        of = rows.column("of").to_numpy()
+        best = rows.filter(pa.array(np.arange(len(of)) - np.searchsorted(of, of) < k)).drop_columns("of")
+        if best.num_rows > HELD:
+            yield from best.combine_chunks().to_batches()
+            best = None
+    if best is not None:
+        yield from best.combine_chunks().to_batches()
+
+
 def scored_neighbourhood(e: DataFrame, seeds: DataFrame, texts: DataFrame | None = None, hops: int = 2, k: int = 10) -> DataFrame:
     """(query_id, name, score, hop): the k best nodes within so many steps of each query's seeds (query_id, name), at the fewest.
 
@@ -73,18 +96,30 @@ def scored_neighbourhood(e: DataFrame, seeds: DataFrame, texts: DataFrame | None
     text has them. Each step is written out, and a node is looked up once for all queries that reached it before: edges
     of a hub are joined by the node's name and one of SPREAD parts.
     """
-    both = e.select(_either(("source", "target"), ("target", "source"), "name", "other")).select("x.*").where("name <> other").distinct()
+    both = e.select(_either(("source", "target"), ("target", "source"), "name", "other")).select("x.*").where("name <> other")
     both = staged(both.withColumn("part", F.pmod(F.xxhash64("other"), F.lit(SPREAD))), "both")
     parts = F.explode(F.array(*map(F.lit, range(SPREAD)))).alias("part")
     found = staged(seeds.where("name is not null").select("query_id", "name").distinct().withColumn("hop", F.lit(0)), "reached")
     for hop in range(1, hops + 1):
-        last = found.where(F.col("hop") == hop - 1).select("query_id", "name", parts)
-        more = both.join(last, ["name", "part"]).select("query_id", F.col("other").alias("name")).distinct().withColumn("hop", F.lit(hop))
+        last = found.where(F.col("hop") == hop - 1).select("query_id", "name")
+        # Spark would broadcast the parts by the size of the file that they are made from
+        few = last.limit(FEW_SEEDS + 1).count() <= FEW_SEEDS
+        met = both.join(F.broadcast(last), "name") if few else both.join(last.select("*", parts).hint("merge"), ["name", "part"])
+        # dealt out before repeats go: a task of a scan would hold all that it reaches at once
+        more = met.select("query_id", F.col("other").alias("name")).repartition("query_id", "name").distinct().withColumn("hop", F.lit(hop))
         found = staged(found.unionByName(more.join(found, ["query_id", "name"], "left_anti")), "reached")
-    kinds = both.select("name").distinct().withColumn("text", F.lit(False))
+    # what a step reached has an edge; of the seeds, those that have one are looked up
+    seed = found.where("hop = 0").select("name").distinct()
+    few = seed.limit(FEW_SEEDS + 1).count() <= FEW_SEEDS
+    tied = both.select("name").join(F.broadcast(seed) if few else seed, "name", "left_semi").distinct()
+    plain = found.where("hop > 0").unionByName(found.where("hop = 0").join(tied, "name", "left_semi").select(*found.columns)).withColumn("score", F.lit(0.6))
+    x = plain
     if texts is not None:
-        kinds = kinds.unionByName(texts.select("name", F.lit(True).alias("text"))).groupBy("name").agg(F.max("text").alias("text"))
-    x = found.join(kinds, "name").withColumn("score", F.when(F.col("text"), 1.0).otherwise(0.6))
+        named = texts.select("name")
+        x = plain.join(named, "name", "left_anti").unionByName(found.join(named, "name", "left_semi").withColumn("score", F.lit(1.0)))
+    x = x.select("query_id", "name", F.col("score").cast("double").alias("score"), "hop")
+    kinds = ", ".join(f"{c} {t}" for c, t in x.dtypes)
+    x = x.mapInArrow(lambda it: _foremost(it, k), kinds)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "hop", "name"))
     return x.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "name", "score", "hop")
 

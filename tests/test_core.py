@@ -206,3 +206,42 @@ def test_results_without_an_id_are_no_copies(spark):
     rows = [(1, None, 0.9, "first text", "s"), (1, None, 0.8, "second text", "t"), (1, 5, 0.7, "first text", "u"), (1, 5, 0.6, "third text", "v")]
     got = fusion.greedy_dedup(spark.createDataFrame(rows, "query_id long, node_id long, score double, text string, source string")).collect()
     assert sorted(r.score for r in got) == [0.8, 0.9]  # 5 was dropped once and stays known
+
+
+def test_chunks_are_handed_on_in_parts(spark, monkeypatch):
+    """However many texts come in one batch, only chunks of some are held."""
+    import pyarrow as pa
+
+    texts = ["One. Two words.\n\n" * 20, None, "", "  ", "x" * 300, "A b. " * 100]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+
+    class Docs:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, f, _: list(f(iter([batch])))
+
+    monkeypatch.setattr(chunking, "TOGETHER", 200)
+    parts = chunking.chunks(Docs(), 100, 10)
+    want = [(i, n, a, b, t[a:b]) for i, t in enumerate(texts) for n, (a, b) in enumerate(s for s in chunking.packed(t or "", 100, 10) if t[s[0] : s[1]].strip())]
+    assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == want
+    assert sum(p.num_rows > 0 for p in parts) == 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert sorted(tuple(r) for r in chunking.chunks(docs, 100, 10).collect()) == want
+
+
+def test_neighbours_are_cut_to_the_best_before_they_are_ranked(spark, monkeypatch):
+    """However many nodes a hub has, a task hands on the best of each query alone."""
+    monkeypatch.setattr(graph, "HELD", 15)
+    monkeypatch.setattr(graph, "FEW_SEEDS", 6)  # the seeds are broadcast, what they reach is not
+    rows = [("hub", "KNOWS", f"n{i:03d}") for i in range(400)] + [("n001", "LIKES", "hub"), ("n007", "SAW", "far"), ("é", "SAW", "hub"), ("z", "SAW", "z")]
+    e = spark.createDataFrame(rows, "source string, label string, target string").repartition(3)
+    seeds = spark.createDataFrame([(1, "hub"), (2, "hub"), (2, "n007"), (3, "lost"), (4, "named"), (5, "z"), (6, None)], "query_id int, name string")
+    texts = spark.createDataFrame([("n399",), ("n399",), ("named",), ("é",), (None,)], "name string")
+    near = {"n399": 1.0, "é": 1.0} | {f"n{i:03d}": 0.6 for i in range(399)}
+    first = sorted([("hub", 0.6, 0), *((n, s, 1) for n, s in near.items()), ("far", 0.6, 2)], key=lambda r: (-r[1], r[2], r[0].encode()))[:4]
+    second = sorted([("hub", 0.6, 0), ("n007", 0.6, 0), *((n, s, 1) for n, s in near.items() if n != "n007"), ("far", 0.6, 1)], key=lambda r: (-r[1], r[2], r[0].encode()))[:4]
+    want = {(1, *r) for r in first} | {(2, *r) for r in second} | {(4, "named", 1.0, 0)}
+    got = graph.scored_neighbourhood(e, seeds, texts, 2, 4).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert len(graph.scored_neighbourhood(e, seeds, None, 1, 4).collect()) == 8
+    x = spark.range(1000).selectExpr("cast(id % 2 as int) as query_id", "string(id) as name", "1D as score", "1 as hop").repartition(2)
+    assert x.mapInArrow(lambda it: graph._foremost(it, 3), "query_id int, name string, score double, hop int").count() <= 12

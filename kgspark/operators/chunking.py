@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of texts whose chunks are held and handed on together, at least one text's.
+TOGETHER = 1 << 20
 SEPARATORS = (r"\n{2,}", r"[.!?…]\s+", r"[:;]\s+")
 
 
@@ -42,15 +44,25 @@ def packed(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
 def chunks(docs: DataFrame, size: int = 1024, overlap: int = 128) -> DataFrame:
     """(doc_id, chunk_index, start_char, end_char, text) of documents (doc_id, text), in true offsets; blank chunks go."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                spans = [(a, b) for a, b in packed(text or "", size, overlap) if text[a:b].strip()]
-                rows += [(doc, i, a, b, text[a:b]) for i, (a, b) in enumerate(spans)]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "start_char", "end_char", "text"])
-
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, chunk_index int, start_char int, end_char int, text string")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, rows, held = batch.column(0), batch.column(1), [], 0
+            for i in range(batch.num_rows):
+                text = texts[i].as_py() or ""
+                spans = [(a, b) for a, b in packed(text, size, overlap) if text[a:b].strip()]
+                rows += [(i, at, a, b, text[a:b]) for at, (a, b) in enumerate(spans)]
+                held += len(text)
+                if held >= TOGETHER:
+                    yield written(ids, rows)
+                    rows, held = [], 0
+            yield written(ids, rows)
+
+    def written(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        row, *cols = zip(*rows, strict=True) if rows else [()] * 5
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string())
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), *map(pa.array, cols, kinds)], ["doc_id", "chunk_index", "start_char", "end_char", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, chunk_index int, start_char int, end_char int, text string")
 
 
 def sections(docs: DataFrame, pattern: str) -> DataFrame:

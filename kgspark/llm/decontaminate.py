@@ -5,7 +5,8 @@ with at most d edits, d a quarter of its words, leaves a run of ceil((n - d) / (
 that share such a run with an item at the same place in both are looked at. The CGK walk reads a window's words one by
 one, at each step moving on or staying by a random bit of the step and the word, and writes down what it reads; few
 edits then leave most places equal. TRIES times SAMPLED places of that are compared, over several walks; a window
-that agrees in all places of any try is aligned with the item word by word. d edits need not align by place: the window
+that agrees in all places of any try is aligned with the item word by word. Windows with fewer than n - d words of the item, as far
+as a match may reach, are left out before; they can't align. d edits need not align by place: the window
 is tried with its start shifted by up to SHIFTS words too.
 """
 
@@ -30,6 +31,8 @@ MIN_WORDS = 5
 #: tries over all walks then miss it with a chance of (1 - 0.5**2) ** 48, about one in a million.
 WALKS, TRIES, SAMPLED = 3, 16, 2
 SHIFTS = 1
+#: Words of windows that are looked at together.
+TOGETHER = 600_000
 SEED = 11
 #: Characters of benchmark items that a pass over the documents holds in each task; more take more passes.
 PASS_CHARS = 32 << 20
@@ -49,14 +52,16 @@ def plain_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes_at(a, start, end), np.searchsorted(ends, start, "right")
 
 
-def walk(words: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embeddings of rows of equally many words, each three times as long; past the end stands 0."""
+def walk(words: np.ndarray, seeds: int, steps: int) -> np.ndarray:
+    """What the first steps of CGK walks read: for each row of equally many words and each seed; past the end stands 0."""
     rows, n = words.shape
-    padded = np.concatenate((words, np.zeros((rows, 1), np.uint64)), 1)
-    at, out, every = np.zeros(rows, np.int64), np.empty((rows, 3 * n), np.uint64), np.arange(rows)
-    for j in range(3 * n):
-        out[:, j] = now = padded[every, at]
-        at = np.minimum(n, at + (mixed(now + np.uint64(int(BASE) * (j + 1 + 100_003 * seed) % (1 << 64))) & np.uint64(1)).astype(np.int64))
+    padded = np.concatenate((words, np.zeros((rows, 1), np.uint64)), 1).ravel()
+    first = np.repeat(np.arange(rows) * (n + 1), seeds).reshape(rows, seeds)
+    at, out = np.zeros((rows, seeds), np.int64), np.empty((steps, rows, seeds), np.uint64)
+    for j in range(steps):
+        out[j] = now = padded[first + at]
+        salt = np.array([int(BASE) * (j + 1 + 100_003 * seed) % (1 << 64) for seed in range(seeds)], np.uint64)
+        at = np.minimum(n, at + (mixed(now + salt) & np.uint64(1)).astype(np.int64))
     return out
 
 
@@ -64,16 +69,14 @@ def samples(words: np.ndarray) -> np.ndarray:
     """For each row a hash for each try: of the sampled places of one of the walks."""
     n = words.shape[1]
     rng = np.random.default_rng(SEED + n)
-    out = []
-    for seed in range(WALKS):
-        embedded = walk(words, seed)
-        for _ in range(TRIES):
-            # places of the walk's first half: it reaches the end of the words at about two thirds
-            key = np.zeros(len(words), np.uint64)
-            for j in rng.choice(2 * n, SAMPLED, replace=False):
-                key = mixed(key * BASE + embedded[:, j])
-            out.append(key)
-    return np.stack(out, 1)
+    # places of the walk's first half: it reaches the end of the words at about two thirds
+    places = np.array([rng.choice(2 * n, SAMPLED, replace=False) for _ in range(WALKS * TRIES)])
+    embedded = walk(words, WALKS, int(places.max()) + 1)
+    of = np.repeat(np.arange(WALKS), TRIES)
+    key = np.zeros((len(places), len(words)), np.uint64)
+    for j in places.T:
+        key = mixed(key * BASE + embedded[j, :, of])
+    return key.T
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -121,6 +124,32 @@ class Items:
             at = np.concatenate([np.arange(len(h)) for h, _ in runs])
             order = np.argsort(key, kind="stable")
             self.runs[q] = (key[order], item[order], at[order])
+        self.known = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
+
+    def numbered(self, words: np.ndarray) -> np.ndarray:
+        """The place of each word among all items' words, from 1; 0 if no item has it."""
+        if not len(self.known):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        return np.where(self.known[at] == words, at + 1, 0)
+
+    def enough(self, its: np.ndarray, at: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Which windows (item, start), in order of items, hold enough words of their item to be it but for the allowed
+        edits, looked at as far as a match may reach; the others can't align, so no match is lost."""
+        ok = np.zeros(len(its), bool)
+        held = np.zeros(len(self.known) + 1, bool)
+        starts = np.flatnonzero(np.diff(its, prepend=-1))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(its)], strict=True):
+            k = its[a]
+            n, d, own = len(self.words[k]), self.most[k], self.numbered(self.words[k])
+            held[own] = True
+            step = max(1, TOGETHER // n)
+            for c in range(a, b, step):
+                place = at[c : min(b, c + step), None] + np.arange(-d, n + d)
+                inside = (place >= 0) & (place < len(number))
+                ok[c : c + len(place)] = (held[number[np.clip(place, 0, len(number) - 1)]] & inside).sum(1) >= n - d
+            held[own] = False
+        return ok
 
     def places(self, words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, start) of the windows that share a run with an item."""
@@ -149,15 +178,21 @@ class Items:
         first = np.searchsorted(of, np.arange(len(texts) + 1))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         size = np.array([len(w) for w in self.words], np.int64)
+        number = self.numbered(words)
         for n in np.unique(size[item]) if len(item) else ():
             own = size[item] == n
             its, at = item[own], start[own]
             its, at = np.repeat(its, 2 * SHIFTS + 1), (at[:, None] + np.arange(-SHIFTS, SHIFTS + 1)).ravel()
             its, at = np.unique(np.stack((its, at), 1), axis=0).T
+            ok = self.enough(its, at, number)
+            if not ok.any():
+                continue
+            its, at = its[ok], at[ok]
             mine = np.stack([self.samples[k] for k in its])
             padded = np.concatenate((words, np.zeros(n, np.uint64)))
-            for a in range(0, len(its), 20_000):
-                part = slice(a, a + 20_000)
+            step = max(1, TOGETHER // int(n))
+            for a in range(0, len(its), step):
+                part = slice(a, a + step)
                 window = padded[np.clip(at[part, None] + np.arange(n), 0, len(words))]
                 like = np.flatnonzero((samples(window) == mine[part]).any(1)) + a
                 for k, s in zip(its[like].tolist(), at[like].tolist(), strict=True):

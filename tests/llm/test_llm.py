@@ -329,6 +329,27 @@ def test_align_is_the_edit_distance():
         assert 0 <= start <= end <= len(b)
 
 
+def test_windows_that_cannot_align_are_not_walked(monkeypatch):
+    item = " ".join(f"b{i}" for i in range(40))
+    held = decontaminate.Items([(1, item)])
+    walked, real = [], decontaminate.samples
+    monkeypatch.setattr(decontaminate, "samples", lambda w: walked.append(len(w)) or real(w))
+    apart = "x y " + " ".join(["b5 b6 b7 b8 b9 u v w"] * 3)
+    assert held.matches([apart]) == [] and not walked
+    edited = item.replace("b9 ", "").replace("b20", "zz zz")
+    assert [(t, i, e) for t, i, e, *_ in held.matches([apart, f"q r {edited} s", None])] == [(1, 1, 3)] and walked
+    # no window that aligns is left out, over the ends of the words too
+    rng = np.random.default_rng(3)
+    items = decontaminate.Items([(k, " ".join(f"w{x}" for x in rng.integers(0, 12, 8))) for k in range(30)])
+    words = np.concatenate([w[rng.random(len(w)) < 0.9] for w in items.words])
+    its, at = (x.ravel() for x in np.meshgrid(np.arange(30), np.arange(-3, len(words)), indexing="ij"))
+    ok = items.enough(its, at, items.numbered(words))
+    for k, s, good in zip(its.tolist(), at.tolist(), ok.tolist(), strict=True):
+        d = items.most[k]
+        assert good or decontaminate.align(items.words[k], words[max(s - d, 0) : s + 8 + d])[0] > d
+    assert not ok.all()
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(1).integers(0, 300, 3000)
     m = WaveletMatrix.loads(WaveletMatrix.build(ids, 9).dumps())

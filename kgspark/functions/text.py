@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 def slug(c: Column) -> Column:
     """Lower-case; runs of other than a-z, 0-9 and _ become one _; none at the ends; 'entity' if nothing is left."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9_]+", "_"), "^_+|_+$", "")
-    return F.when(F.coalesce(s, F.lit("")) == "", F.lit("entity")).otherwise(s)
+    # each step stands once in the next, as Spark would work out all of it again for each mention; never null, so no filter does either
+    s = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), "[^a-z0-9_]+", "_")
+    return F.regexp_replace(F.regexp_replace(s, "^_+|_+$", ""), "^$", "entity")
 
 
 def label(c: Column, default: str = "Entity") -> Column:

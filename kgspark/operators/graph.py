@@ -150,13 +150,16 @@ def canonical_names(names: DataFrame) -> DataFrame:
 
 def to_rdf(triples: DataFrame) -> DataFrame:
     """(s, p, o, is_iri): type and label of every node, and the relations."""
-    iri = lambda c: F.concat(F.lit(BASE), slug(F.col(c)))
-    # a union of literal predicates, so that a pattern's predicate leaves the scans of all others out
+    iri = lambda c: F.concat(F.lit(BASE), c)
+    # a union of literal predicates, so that a pattern's predicate leaves the scans of all others out; no part shares a
+    # predicate with another, so each has its own repeats alone, which go while the names are still short
     n = nodes(triples)
-    kinds = n.select(iri("name").alias("s"), F.lit("rdf:type").alias("p"), F.concat(F.lit(ONTOLOGY), F.col("type")).alias("o"), F.lit(True).alias("is_iri"))
-    names = n.select(iri("name").alias("s"), F.lit("rdfs:label").alias("p"), F.col("name").alias("o"), F.lit(False).alias("is_iri"))
-    e = triples.select(iri("subject").alias("s"), F.concat(F.lit(ONTOLOGY), slug(F.col("predicate"))).alias("p"), iri("obj").alias("o"), F.lit(True).alias("is_iri"))
-    return kinds.unionByName(names).unionByName(e).distinct()
+    kinds = n.select(slug(F.col("name")).alias("s"), "type").distinct()
+    kinds = kinds.select(iri("s").alias("s"), F.lit("rdf:type").alias("p"), F.concat(F.lit(ONTOLOGY), "type").alias("o"), F.lit(True).alias("is_iri"))
+    names = n.select(iri(slug(F.col("name"))).alias("s"), F.lit("rdfs:label").alias("p"), F.col("name").alias("o"), F.lit(False).alias("is_iri"))
+    e = triples.select(slug(F.col("subject")).alias("s"), slug(F.col("predicate")).alias("p"), slug(F.col("obj")).alias("o")).distinct()
+    e = e.select(iri("s").alias("s"), F.concat(F.lit(ONTOLOGY), "p").alias("p"), iri("o").alias("o"), F.lit(True).alias("is_iri"))
+    return kinds.unionByName(names).unionByName(e)
 
 
 def match(rdf: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
@@ -377,9 +380,10 @@ def turtle(rdf: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
     prefixes = prefixes or PREFIXES
     datatype = F.col("datatype") if "datatype" in rdf.columns else F.lit(None).cast("string")
     o = F.when(F.col("is_iri"), iri(F.col("o"), prefixes)).otherwise(literal(F.col("o"), datatype))
-    lines = rdf.select(F.lit(1).alias("section"), F.concat(iri(F.col("s"), prefixes), F.lit(" "), iri(F.col("p"), prefixes), F.lit(" "), o, F.lit(" .")).alias("line"))
+    # asked of the parts: a filter on the lines would write them a second time
+    lines = rdf.where("s is not null and p is not null and o is not null").select(F.lit(1).alias("section"), F.concat(iri(F.col("s"), prefixes), F.lit(" "), iri(F.col("p"), prefixes), F.lit(" "), o, F.lit(" .")).alias("line"))
     head = rdf.sparkSession.createDataFrame([(0, f"@prefix {k}: <{v}> .") for k, v in prefixes.items()], "section int, line string")
-    return head.unionByName(lines.where("line is not null"))
+    return head.unionByName(lines)
 
 
 # Keys that tell where a relation comes from; they describe documents and are no annotations.

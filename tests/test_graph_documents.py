@@ -119,3 +119,20 @@ def test_files_and_overlap(spark, tmp_path):
     assert "content" not in files(spark, f"file://{tmp_path}", content=False).columns
     rows = [("a b c", "B c d"), ("x", "x"), ("a a", "a")]
     assert [r[0] for r in spark.createDataFrame(rows, "x string, y string").select(T.word_overlap(F.col("x"), F.col("y"))).collect()] == [0.5, 1.0, 1.0]
+
+
+def test_names_of_a_triple_are_written_once(spark, tmp_path):
+    rows = [("A b", "X", "is in", "C", "Y"), ("a_B", "X", "is in", "c", "Y"), ("A b", "X", "is in", "C", "Y"), (None, None, "of", " ", "Y"), ("D", None, "of", "C", "Y")]
+    spark.createDataFrame(rows, "subject string, subject_type string, predicate string, obj string, obj_type string").write.parquet(f"{tmp_path}/t")
+    rdf = graph.to_rdf(spark.read.parquet(f"{tmp_path}/t"))
+    lines = graph.turtle(rdf)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9_]+") == 5  # a node's type and label, a relation's three parts: not again in filters or branches
+    got = [r.line for r in lines.where("section = 1").collect()]
+    r, o = graph.BASE, graph.ONTOLOGY
+    assert sorted(got) == sorted([
+        f"<{r}a_b> rdf:type <{o}X> .", f"<{r}c> rdf:type <{o}Y> .", f'<{r}a_b> rdfs:label "A b" .', f'<{r}a_b> rdfs:label "a_B" .', f'<{r}c> rdfs:label "C" .', f'<{r}c> rdfs:label "c" .', f'<{r}d> rdfs:label "D" .',
+        f"<{r}a_b> <{o}is_in> <{r}c> .", f"<{r}entity> <{o}of> <{r}entity> .", f"<{r}d> <{o}of> <{r}c> .",
+    ])
+    # a pattern's predicate leaves the other parts out
+    assert graph.match(rdf, [("?s", o + "is_in", "?o")])._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1

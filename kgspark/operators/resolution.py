@@ -42,8 +42,7 @@ def letter_vectors(keys: DataFrame) -> DataFrame:
 def near_pairs(vectors: DataFrame, n: int = 5, max_distance: float = 0.5) -> DataFrame:
     """(a, b, score), a < b: each of vectors (node_id, embedding) and its n nearest within a cosine distance, by an index of cells."""
     index = VectorIndex.create(vectors, shared_dir(vectors.sparkSession, "names"))
-    found = index.search_each(vectors.withColumnRenamed("node_id", "query_id"), n + 1).where(F.col("query_id") != F.col("node_id"))
-    pairs = found.where(F.col("score") >= 1 - max_distance)
+    pairs = index.search_each(vectors.withColumnRenamed("node_id", "query_id"), n + 1, least=1 - max_distance).where(F.col("query_id") != F.col("node_id"))
     return pairs.groupBy(F.least("query_id", "node_id").alias("a"), F.greatest("query_id", "node_id").alias("b")).agg(F.max("score").alias("score"))
 
 

@@ -7,14 +7,14 @@ number that held TARGET of the sample's own nearest neighbours, measured when th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.operators.retrieval import BLOCK, Best, best_each, in_passes, likenesses, matrix, unit
+from kgspark.operators.retrieval import BLOCK, Best, best_each, likenesses, matrix, unit
+from kgspark.sources.shared import shared_dir
 
 #: Rows that the centers are fitted on, at most some so many, and rows of these that the number of probes is fitted with.
 SAMPLE, TRIED = 20_000, 200
@@ -22,6 +22,8 @@ SAMPLE, TRIED = 20_000, 200
 ROUNDS, FEWEST = 8, 8
 #: The share of a sampled row's NEAREST neighbours that its probes must hold on average.
 TARGET, NEAREST = 0.97, 10
+#: Queries of a pass: all cells are read once for so many. What products of single precision may be wrong by, twice, and more.
+TOGETHER, NEAR = 1 << 14, 3e-5
 
 
 def _placed(x: np.ndarray, metric: str, longest: float) -> np.ndarray:
@@ -77,23 +79,33 @@ def _celled(batches: Iterator[pa.RecordBatch], centers: np.ndarray, metric: str,
             yield pa.RecordBatch.from_arrays([pa.array(cell), part.column(0).take(rows), part.column(1).take(rows)], ["cell", "node_id", "embedding"])
 
 
-def _searched(batches: Iterator[pa.RecordBatch], ids: pa.Array, q: np.ndarray, probed: np.ndarray, k: int, metric: str) -> Iterator[pa.RecordBatch]:
-    best, kept, at = Best(len(q), k, 1e-5), [], 0
-    asks = {int(c): np.flatnonzero((probed == c).any(1)) for c in np.unique(probed)}
+def asking(probed: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The queries that look at each cell, cell after cell, and where each cell's begin; a row of probed has a query's cells."""
+    order = np.argsort(probed.ravel(), kind="stable")
+    return (order // probed.shape[1]).astype(np.int32), np.concatenate(([0], np.cumsum(np.bincount(probed.ravel(), minlength=cells))))
+
+
+def _searched(batches: Iterator[pa.RecordBatch], ids: pa.Array, q: np.ndarray, probed: np.ndarray, cells: int, k: int, metric: str, least: float) -> Iterator[pa.RecordBatch]:
+    best, kept, at = Best(len(q), k, NEAR, least), [], 0
+    who, begin = asking(probed, cells)
     q = unit(q) if metric == "cosine" else q
+    # products of unit vectors in single precision leave most out; what may be among the best is multiplied again
+    rough = q.astype(np.float32) if metric == "cosine" else q
     for batch in batches:
-        cells = batch.column(2).to_numpy()
+        own = batch.column(2).to_numpy()
         x, rows = matrix(batch.column(1), q.shape[1])
-        x, cells = unit(x) if metric == "cosine" else x, cells[rows]
-        for c in np.unique(cells):
-            mine, those = asks.get(int(c)), np.flatnonzero(cells == c)
-            if mine is None:
-                continue
+        x, own = unit(x) if metric == "cosine" else x, own[rows]
+        fast = x.astype(np.float32) if metric == "cosine" else x
+        for c in np.unique(own):
+            mine, those = who[begin[c] : begin[c + 1]], np.flatnonzero(own == c)
             for first in range(0, len(those), BLOCK):
                 some = those[first : first + BLOCK]
-                scores = likenesses(q[mine], x[some], metric)
-                hit, where = best.above(scores, mine)
-                best.add(mine[hit], scores[hit, where], at + rows[some[where]])
+                for a in range(0, len(mine), BLOCK):
+                    asks = mine[a : a + BLOCK]
+                    scores = likenesses(rough[asks], fast[some], metric)
+                    hit, where = best.above(scores, asks)
+                    value = scores[hit, where] if metric != "cosine" else np.einsum("ij,ij->i", q[asks[hit]], x[some[where]])
+                    best.add(asks[hit], value, at + rows[some[where]])
         kept.append(batch.column(0))
         at += batch.num_rows
         if len(kept) >= 16:
@@ -138,26 +150,38 @@ class VectorIndex:
         spark.createDataFrame(about, "metric string, width int, probes int, id_kind string, kind string, centers array<array<double>>").coalesce(1).write.parquet(f"{index.path}/about")
         return index
 
-    def search_each(self, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
+    def search_each(self, queries: DataFrame, k: int = 10, probes: int | None = None, least: float | None = None) -> DataFrame:
         """(query_id, node_id, score): some k best for each of queries (query_id, embedding), of the probes nearest cells; ties by node_id.
 
-        Queries go to all tasks, in passes; only the cells that one of a pass's queries looks at are read, each by as
-        many tasks as it has parts. Queries of another length give no rows. With as many probes as cells it is exact.
+        With least, only scores of that or more. Queries go to all tasks, TOGETHER in a pass, whose results are written
+        before the next begins; only the cells that one of a pass's queries looks at are read, each by as many tasks as
+        it has parts. Queries of another length give no rows. With as many probes as cells it is exact.
         """
         about = self.spark.read.parquet(f"{self.path}/about").first()
         centers, metric = np.array(about.centers), about.metric
         schema = f"cell int, node_id {about.id_kind}, embedding {about.kind}"
         rows = self.spark.read.schema(schema).parquet(f"{self.path}/cells").select("node_id", "embedding", "cell")
-        out, parts = f"query_id {dict(queries.dtypes)['query_id']}, node_id {about.id_kind}, score double", []
-        for table in in_passes(queries.select("query_id", "embedding")) if about.width else ():
+        out = f"query_id {dict(queries.dtypes)['query_id']}, node_id {about.id_kind}, score double"
+        passes = max(1, -(-queries.count() // TOGETHER)) if about.width else 0
+        asked, n, written = queries.select("query_id", "embedding"), min(probes or about.probes, len(centers)), False
+        if passes > 1:  # so that a pass reads its own queries alone
+            dealt, found = shared_dir(self.spark, "queries"), shared_dir(self.spark, "nearest")
+            asked.withColumn("pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)).cast("int")).repartition("pass").write.partitionBy("pass").parquet(dealt)
+            asked = self.spark.read.schema(f"{out.split(',')[0]}, embedding {dict(queries.dtypes)['embedding']}, pass int").parquet(dealt)
+        for at in range(passes):
+            table = (asked.where(F.col("pass") == at).drop("pass") if passes > 1 else asked).toArrow()
             q, own = matrix(table.column("embedding"), about.width)
             if not len(q):
                 continue
             ids = table.column("query_id").combine_chunks().take(pa.array(own))
-            n = min(probes or about.probes, len(centers))
-            probed = np.argpartition(_by_distance(_asked(q, metric), centers), n - 1, 1)[:, :n]
+            probed = np.concatenate([np.argpartition(_by_distance(_asked(q[i : i + BLOCK], metric), centers), n - 1, 1)[:, :n].astype(np.int16 if len(centers) < 1 << 15 else np.int32) for i in range(0, len(q), BLOCK)])
             some = rows.where(F.col("cell").isin(np.unique(probed).tolist())) if n < len(centers) else rows
-            parts.append(some.mapInArrow(lambda it, a=(ids, q, probed): _searched(it, *a, k, metric), out))
-        if not parts:
-            return self.spark.createDataFrame([], out)
-        return best_each(reduce(DataFrame.unionByName, parts).withColumn("score", F.round("score", 6)), k)
+            some = some.coalesce(self.spark.sparkContext.defaultParallelism)  # each task hands on the best of each query
+            some = some.mapInArrow(lambda it, a=(ids, q, probed, len(centers)): _searched(it, *a, k, metric, -np.inf if least is None else least), out)
+            some = best_each(some.withColumn("score", F.round("score", 6)), k)
+            some = some if least is None else some.where(F.col("score") >= least)
+            if passes == 1:
+                return some
+            some.write.mode("append").parquet(found)
+            written = True
+        return self.spark.read.schema(out).parquet(found) if written else self.spark.createDataFrame([], out)

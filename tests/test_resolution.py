@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kgspark.jobs import queries
 from kgspark.operators import graph, resolution, retrieval, vector_index
 from kgspark.operators.vector_index import VectorIndex
 
@@ -88,3 +89,34 @@ def test_candidates_hold_nine_of_ten_alike_pairs(spark):
     want = {tuple(r) for r in x.where(resolution.alike(F.col("a"), F.col("b"))).collect()}
     got = {(r.a, r.b) for r in resolution.near_pairs(resolution.letter_vectors(keys)).collect()}
     assert len(want) >= 90 and len(got & want) / len(want) >= 0.9
+
+
+def test_passes_and_a_least_score_change_no_neighbour(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6, 12))[rng.integers(0, 6, 400)] + rng.normal(size=(400, 12)) * 0.6
+    x[:30] = x[0]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], VECTORS).repartition(3)
+    asked = v.withColumnRenamed("node_id", "query_id")
+    index = VectorIndex.create(v, f"file://{tmp_path}/index")
+    every = sorted(map(tuple, index.search_each(asked, 7).collect()))
+    monkeypatch.setattr(vector_index, "TOGETHER", 90)
+    assert sorted(map(tuple, index.search_each(asked, 7).collect())) == every
+    some = sorted(map(tuple, index.search_each(asked, 7, least=0.8).collect()))
+    assert some == [r for r in every if r[2] >= 0.8] and 0 < len(some) < len(every)
+    wrong = spark.createDataFrame([(i, [1.0]) for i in range(200)], "query_id long, embedding array<double>")
+    assert index.search_each(wrong).count() == 0
+
+
+def test_queries_are_found_by_cell_at_once():
+    rng = np.random.default_rng(3)
+    probed = np.array([rng.permutation(9)[:4] for _ in range(50)], np.int16)
+    who, begin = vector_index.asking(probed, 10)
+    assert len(begin) == 11
+    for c in range(10):
+        assert who[begin[c] : begin[c + 1]].tolist() == np.flatnonzero((probed == c).any(1)).tolist()
+
+
+def test_names_are_the_first_three_words_whatever_stands_between(spark, tmp_path):
+    rows = [(4, "12 -- Ann,\n\nÅse's end of all"), (9, "…"), (14, "one"), (19, None), (24, "a1b2c3d4"), (29, "x " * 5000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.name for r in queries.spelled_names(spark, str(tmp_path)).collect()} == {4: "Ann Åse s", 14: "one", 24: "a b c", 29: "x x x"}

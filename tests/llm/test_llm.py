@@ -1,6 +1,8 @@
 import hashlib
+import pathlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -267,6 +269,55 @@ def test_near_passages_behind_texts_that_hold_parts(spark):
     assert got == {(10 * g + 3, 10 * g + 7) for g in range(10)}
 
 
+def test_near_passages_of_common_shingles_alone(spark, monkeypatch):
+    """No shingle counts as uncommon, so the texts with the whole passage meet by what they hold in common with many."""
+    monkeypatch.setattr(compact_windows, "COMMON", 0)
+    rng = random.Random(8)
+    words = [f"x{i}" for i in range(20000)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = []
+    for g in range(5):
+        left, right = some(35), some(35)
+        parts = [f"{some(20)} {left} {some(60)} {right} {some(20)}" for _ in range(6)]
+        whole = [f"{some(20)} {left} {right} {some(20)}" for _ in range(2)]
+        rows += [(10 * g + k, t) for k, t in enumerate([*parts[:3], whole[0], *parts[3:], whole[1]])]
+    got = {(r.match_doc_id, r.doc_id) for r in compact_windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(10 * g + 3, 10 * g + 7) for g in range(5)}
+
+
+def test_cells_that_share_a_run():
+    """Against one pair after another: what is open in a cell shares a long enough run with the other's set."""
+    rng = np.random.default_rng(13)
+    length, percent = 10, 75
+    x = [np.sort(rng.choice(30, int(rng.integers(10, 30)), False)).astype(np.int64) for _ in range(20)]
+    at = [np.sort(rng.choice(40, len(v), False)) for v in x]
+    y = [np.unique(rng.integers(0, 30, int(rng.integers(0, 40)))) for _ in range(30)]
+    loss = 2 * percent / (100 - percent)  # of a place that is not shared
+    want = set()
+    for i, (v, a) in enumerate(zip(x, at, strict=True)):
+        for j, w in enumerate(y):
+            score = np.full(40, -loss)
+            score[a[np.isin(v, w)]] = 1
+            if any(score[b:e].sum() >= -1e-6 for b in range(31) for e in range(b + length, 41)):
+                want.add((i, j))
+    got = {(i, int(j)) for i, some in compact_windows._shared(x, at, np.full(20, 40), y, length, percent) for j in some}
+    assert got == want and 0 < len(want) < 600
+
+
+def test_staged_drops_shuffle_files(spark):
+    before = spark.conf.get(common.CLEANUP)
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {p for d in folders for p in pathlib.Path(d).rglob("shuffle_*.data")}
+    first = files()
+    table = common.staged(spark.range(1000).selectExpr("id % 10 as k").repartition(5, "k").groupBy("k").count(), "counts")
+    for _ in range(20):
+        if not files() - first:
+            break
+        time.sleep(0.5)
+    assert not files() - first and spark.conf.get(common.CLEANUP) == before
+    assert table.count() == 10
+
+
 def test_passages_of_one_region():
     """Two passages with changed words between; a wide run hidden by a short one of a higher sum; one beside a run that fails."""
     rng = np.random.default_rng(9)
